@@ -1,4 +1,309 @@
-from pyspark.sql import functions as F
+"""Two detectors of multivariate outliers: isolation forest and density noise."""
 
-def agreement(a, b):
-    pass
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from panelforge.binding import col
+from panelforge.functions import zscore
+from panelforge.operators.aggregates import one_row
+from panelforge.operators.quantiles import quantile_table
+from panelforge.operators.sampling import hash_sample, row_hash
+from panelforge.session import durable
+
+# Labels for the agreement of two detectors.
+AGREEMENT = ("Normal", "Isolation Forest only", "DBSCAN only", "Both detectors")
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """Which of two flags are set."""
+    neither, first, second, both = AGREEMENT
+    return (
+        F.when(a & b, both).when(a, first).when(b, second).otherwise(neither)
+    )
+
+
+def prepare(
+    df: DataFrame, ids: Sequence[str], features: Sequence[str], most: int | None = None,
+    seed: int = 42,
+) -> DataFrame:
+    """Complete rows with standardised features, optionally a sample of at most ``most`` rows."""
+    rows = df.select(*[col(c) for c in ids], *[col(c).cast("double").alias(c) for c in features])
+    rows = rows.dropna(subset=list(features))
+    if most is not None:
+        rows = hash_sample(rows, ids, most, seed)
+    stats = one_row(
+        rows,
+        *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(features)],
+        *[F.stddev_pop(col(c)).alias(f"s{i}") for i, c in enumerate(features)],
+    )
+    return rows.withColumns(
+        {c: zscore(col(c), stats[f"m{i}"], stats[f"s{i}"]) for i, c in enumerate(features)}
+    )
+
+
+# ------------------------------------------------------------ isolation forest
+
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, depth double"
+
+
+def average_depth(n):
+    """Mean depth of an unsuccessful search among ``n`` keys (Liu, Ting and Zhou, 2008)."""
+    n = np.asarray(n, dtype=float)
+    harmonic = np.log(np.maximum(n - 1, 1)) + np.euler_gamma
+    return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
+
+
+def tree_samples(
+    df: DataFrame, ids: Sequence[str], trees: int, sample: int, seed: int
+) -> DataFrame:
+    """About as many rows for each tree as it needs, then the ``sample`` first by hash.
+
+    Every row draws one hash. Of a large table only a small share stays; in a
+    small one each row serves several trees. Either way the rows that go on
+    number a few times ``trees * sample``, whatever the size of the table.
+    """
+    from panelforge.operators.windows import top_per_group
+
+    total = df.agg(F.count("*")).scalar().cast("double")
+    wanted = 2.0 * trees * sample
+    keep = F.least(F.lit(1.0), wanted / total)
+    copies = F.least(F.lit(trees), F.greatest(F.lit(1), F.ceil(wanted / total))).cast("int")
+    draw = F.pmod(row_hash(ids, seed), F.lit(2**40)) / F.lit(float(2**40))
+    first = F.pmod(row_hash(ids, seed + 1), F.lit(trees)).cast("int")
+    spread = df.where(draw < keep).withColumn(
+        "_step", F.explode(F.sequence(F.lit(0), copies - 1))
+    )
+    placed = spread.withColumn("tree", F.pmod(first + F.col("_step"), F.lit(trees)).cast("int"))
+    order = F.xxhash64(*[col(c) for c in ids], F.col("tree"), F.lit(seed + 2))
+    return top_per_group(placed.drop("_step"), ["tree"], [order.asc(), *[col(c) for c in ids]], sample)
+
+
+def fit_isolation_forest(
+    df: DataFrame, ids: Sequence[str], features: Sequence[str], trees: int = 200,
+    sample: int = 256, seed: int = 42,
+) -> DataFrame:
+    """Node table of the forest, one Spark task per group of trees.
+
+    A tree sees at most ``sample`` rows, so the table has at most
+    ``2 * trees * sample`` rows however large the input is.
+    """
+    names = list(features)
+    limit = math.ceil(math.log2(max(sample, 2)))
+
+    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(ids))  # the same tree for any arrival order
+        rng = np.random.default_rng([seed, int(key[0])])
+        points = pdf[names].to_numpy(float)
+        rows: list[list] = []
+        waiting = [(points, 0)]
+        rows.append([])
+        place = [0]
+        while waiting:
+            part, depth = waiting.pop()
+            at = place.pop()
+            low, high = part.min(axis=0), part.max(axis=0)
+            usable = np.flatnonzero(high > low)
+            if depth >= limit or len(part) < 2 or not len(usable):
+                rows[at] = [at, -1, 0.0, -1, -1, depth + float(average_depth(len(part)))]
+                continue
+            f = int(rng.choice(usable))
+            cut = float(rng.uniform(low[f], high[f]))
+            goes_left = part[:, f] <= cut
+            left, right = len(rows), len(rows) + 1
+            rows.extend([[], []])
+            rows[at] = [at, f, cut, left, right, 0.0]
+            waiting += [(part[goes_left], depth + 1), (part[~goes_left], depth + 1)]
+            place += [left, right]
+        out = pd.DataFrame(rows, columns=["node", "feature", "threshold", "left", "right", "depth"])
+        out.insert(0, "tree", int(key[0]))
+        return out
+
+    complete = df.select(*[col(c) for c in ids], *[col(c).cast("double").alias(c) for c in features])
+    samples = tree_samples(complete.dropna(subset=names), ids, trees, sample, seed)
+    return samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+
+
+def isolation_scores(
+    df: DataFrame, features: Sequence[str], forest: DataFrame, sample: int = 256,
+    score: str = "score",
+) -> DataFrame:
+    """Anomaly score of each row, between 0 and 1; rows with a missing feature get NULL.
+
+    The forest is collected: its size is set by its parameters, not by the data.
+    """
+    nodes = forest.orderBy("tree", "node").toPandas()
+    trees = []
+    for _, part in nodes.groupby("tree"):
+        trees.append(tuple(part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "depth")))
+    shared = df.sparkSession.sparkContext.broadcast(trees)
+    norm = float(average_depth(sample))
+
+    @F.pandas_udf("double")
+    def path_score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for frame in batches:
+            points = frame.to_numpy(float)
+            missing = np.isnan(points).any(axis=1)
+            total = np.zeros(len(points))
+            rows = np.arange(len(points))
+            for feature, threshold, left, right, depth in shared.value:
+                at = np.zeros(len(points), dtype=np.int64)
+                while True:
+                    f = feature[at]
+                    inner = f >= 0
+                    if not inner.any():
+                        break
+                    low = points[rows, np.maximum(f, 0)] <= threshold[at]
+                    at = np.where(inner, np.where(low, left[at], right[at]), at)
+                total += depth[at]
+            score_ = 2.0 ** (-total / len(shared.value) / norm)
+            yield pd.Series(np.where(missing, np.nan, score_)).astype("Float64")
+
+    inputs = F.struct(*[col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
+    return df.withColumn(score, path_score(inputs)).withColumn(
+        score, F.when(~F.isnan(score), F.col(score))
+    )
+
+
+def isolation_forest(
+    df: DataFrame, ids: Sequence[str], features: Sequence[str], contamination: float = 0.01,
+    trees: int = 200, sample: int = 256, seed: int = 42, flag: str = "outlier_iforest",
+) -> DataFrame:
+    """Add ``score`` and a flag for the ``contamination`` share of rows with the highest scores."""
+    forest = fit_isolation_forest(df, ids, features, trees, sample, seed)
+    # Scores are written down: the threshold needs them twice before the flag.
+    scored = durable(isolation_scores(df, features, forest, sample))
+    limit = quantile_table(scored, [], {"_q": (F.col("score"), 1 - contamination)}).select("_q").scalar()
+    return scored.withColumn(flag, F.coalesce(F.col("score") > limit, F.lit(False)))
+
+
+# ---------------------------------------------------------------- density noise
+
+
+def dbscan_noise(
+    df: DataFrame, ids: Sequence[str], features: Sequence[str], eps: float = 1.2,
+    min_samples: int = 10, grid_dims: int = 3, flag: str = "is_noise",
+) -> DataFrame:
+    """Mark the points that density clustering would leave out.
+
+    A core point has at least ``min_samples`` points within ``eps``, itself
+    included; noise is any point without a core point within ``eps``.
+
+    Points fall into cells so small that all points of a cell are within
+    ``eps`` of each other. A cell with ``min_samples`` points is core as a
+    whole and needs no distances, however many points crowd in it. Only the
+    thin cells are compared with the cells around them: by their counts where
+    one cell lies within ``eps`` of the other as a whole, point by point only
+    where that stays open. A thin cell has fewer than ``min_samples`` points,
+    so the pairs grow with the number of points, not with its square.
+    """
+    d = len(features)
+    side = eps / math.sqrt(d) * (1 - 1e-9)
+    near, sure = eps * eps * (1 + 1e-9), eps * eps * (1 - 1e-9)
+    points = df.select(
+        *[col(c) for c in ids],
+        F.array(*[col(c).cast("double") for c in features]).alias("_x"),
+    ).where(F.forall("_x", lambda x: x.isNotNull()))
+    points = durable(points.withColumn(
+        "_cell", F.transform("_x", lambda x: F.floor(x / side).cast("long"))
+    ))
+    cells = points.groupBy("_cell").agg(F.count("*").alias("_n"))
+    pairs = _cell_pairs(cells, side, near, sure, eps, min(grid_dims, d), min_samples)
+    pairs = durable(pairs)
+
+    # What the counts of whole cells already decide.
+    tally = pairs.groupBy("_cell").agg(
+        F.sum(F.when(F.col("_inside"), F.col("_n")).otherwise(0)).alias("_at_least"),
+        F.sum("_n").alias("_at_most"),
+    )
+    state = tally.select(
+        "_cell", "_at_least",
+        F.when(F.col("_at_least") >= min_samples, "core")
+        .when(F.col("_at_most") < min_samples, "sparse").otherwise("open").alias("_state"),
+    )
+    thin = points.join(state, "_cell")
+    open_points = thin.where(F.col("_state") == "open").select(*ids, "_x", "_cell", "_at_least")
+    edges = pairs.where(~F.col("_inside")).select("_cell", "_other")
+    others = points.select(F.col("_cell").alias("_other"), F.col("_x").alias("_y"))
+    distance = F.aggregate(
+        F.zip_with("_x", "_y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v
+    )
+    counted = (
+        open_points.join(edges, "_cell").join(others, "_other")
+        .where(distance <= eps * eps)
+        .groupBy(*[col(c) for c in ids]).agg(F.count("*").alias("_close"))
+    )
+    resolved = open_points.join(counted, list(ids), "left").select(
+        *ids, (F.col("_at_least") + F.coalesce("_close", F.lit(0)) >= min_samples).alias("_core")
+    )
+    judged = thin.join(resolved, list(ids), "left").select(
+        *ids, "_x", "_cell",
+        ((F.col("_state") == "core") | F.coalesce("_core", F.lit(False))).alias("_core"),
+    )
+    judged = durable(judged)
+
+    # Points that are not core: is any core point within reach?
+    lonely = judged.where(~F.col("_core")).select(*ids, "_x", "_cell")
+    thin_cores = judged.where("_core")
+    dense_cells = cells.where(F.col("_n") >= min_samples).select(F.col("_cell").alias("_other"))
+    core_cells = dense_cells.unionByName(
+        thin_cores.select(F.col("_cell").alias("_other")).distinct()
+    )
+    reach = pairs.join(core_cells, "_other", "left_semi").select("_cell", "_other", "_inside")
+    saved_whole = lonely.join(
+        reach.where("_inside").select("_cell").distinct(), "_cell", "left_semi"
+    ).select(*ids)
+    rest = lonely.join(saved_whole, list(ids), "left_anti")
+    core_points = others.join(dense_cells, "_other", "left_semi").unionByName(
+        thin_cores.select(F.col("_cell").alias("_other"), F.col("_x").alias("_y"))
+    )
+    saved_near = (
+        rest.join(reach.where(~F.col("_inside")).select("_cell", "_other"), "_cell")
+        .join(core_points, "_other")
+        .where(distance <= eps * eps).select(*ids).distinct()
+    )
+    noise = rest.select(*ids).join(saved_near, list(ids), "left_anti").withColumn(flag, F.lit(True))
+    return points.select(*ids).join(noise, list(ids), "left").withColumn(
+        flag, F.coalesce(flag, F.lit(False))
+    )
+
+
+def _cell_pairs(
+    cells: DataFrame, side: float, near: float, sure: float, eps: float, dims: int,
+    min_samples: int,
+) -> DataFrame:
+    """Thin cells with every cell that may hold a point within reach, itself included.
+
+    The join runs over a coarse grid of width ``eps`` on the first ``dims``
+    dimensions: cells in reach lie in neighbouring coarse cells. It moves
+    cells, not points.
+    """
+    span = math.ceil(eps / side) + 1
+
+    def coarse(cell: Column) -> Column:
+        return F.transform(F.slice(cell, 1, dims), lambda i: F.floor(i / span).cast("long"))
+
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    thin = cells.where(F.col("_n") < min_samples).select("_cell", coarse(F.col("_cell")).alias("_g"))
+    for k in range(dims):
+        thin = thin.withColumn("_s", F.explode(steps)).withColumn(
+            "_g", F.transform("_g", lambda g, i, k=k: F.when(i == k, g + F.col("_s")).otherwise(g))
+        )
+    right = cells.select(
+        F.col("_cell").alias("_other"), "_n", coarse(F.col("_cell")).alias("_g")
+    )
+    gaps = F.zip_with("_cell", "_other", lambda a, b: F.abs(a - b).cast("double"))
+
+    def squared(extra: int) -> Column:
+        return F.aggregate(
+            gaps, F.lit(0.0),
+            lambda s, g: s + F.pow(F.greatest(g + extra, F.lit(0.0)) * side, F.lit(2.0)),
+        )
+
+    joined = thin.drop("_s").join(right, "_g").where(squared(-1) <= near)
+    return joined.select("_cell", "_other", "_n", (squared(1) <= sure).alias("_inside"))

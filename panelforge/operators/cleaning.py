@@ -37,30 +37,36 @@ def dedupe(df: DataFrame, b: Binding) -> DataFrame:
 
 def impute_median(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], accuracy: int | None = None,
-    exact: bool = True,
+    exact: bool = True, cut: bool = True,
 ) -> DataFrame:
     """Fill numbers with the median of their series, then with the median over all rows.
 
-    The second median is taken after the first fill.
+    The second median is taken after the first fill. Both tables of medians are
+    small next to the rows; ``cut`` writes them down as they are found, so that
+    later steps do not compute them again.
     """
-    medians = quantile_table(
+    keep = durable if cut else lambda table: table
+    medians = keep(quantile_table(
         df, keys, {f"_m{i}": (col(c), 0.5) for i, c in enumerate(columns)}, accuracy, exact
-    )
+    ))
     filled = df.join(medians, list(keys), "left").withColumns(
         {c: F.coalesce(col(c), F.col(f"_m{i}")) for i, c in enumerate(columns)}
     ).select(*[col(c) for c in df.columns])
-    overall = quantile_table(
+    overall = keep(quantile_table(
         filled, [], {f"_m{i}": (col(c), 0.5) for i, c in enumerate(columns)}, accuracy, exact
-    )
+    ))
     m = overall.select(F.struct(*[F.col(f"_m{i}") for i in range(len(columns))])).scalar()
     return filled.withColumns(
         {c: F.coalesce(col(c), m[f"_m{i}"]) for i, c in enumerate(columns)}
     )
 
 
-def impute_mode(df: DataFrame, columns: Sequence[str], fallback: str = "Unknown") -> DataFrame:
+def impute_mode(
+    df: DataFrame, columns: Sequence[str], fallback: str = "Unknown", cut: bool = True
+) -> DataFrame:
     """Fill text with the most frequent value of its column."""
     modes = mode_per_column(df, columns)
+    modes = durable(modes) if cut else modes
     found = one_row(
         modes, *[F.max(F.when(F.col("column") == c, F.col("mode"))).alias(f"m{i}")
                  for i, c in enumerate(columns)]
@@ -99,19 +105,23 @@ def winsor_bounds(
     return q.select(*out)
 
 
-def winsorize(df: DataFrame, columns: Sequence[str], **fences) -> DataFrame:
-    """Pull values outside the fences of their column back to the fence."""
+def _fences(df: DataFrame, columns: Sequence[str], cut: bool, fences: Mapping) -> Column:
     table = winsor_bounds(df, columns, **fences)
-    at = table.select(F.struct(*[F.col(c) for c in table.columns])).scalar()
+    table = durable(table) if cut else table
+    return table.select(F.struct(*[F.col(c) for c in table.columns])).scalar()
+
+
+def winsorize(df: DataFrame, columns: Sequence[str], cut: bool = True, **fences) -> DataFrame:
+    """Pull values outside the fences of their column back to the fence."""
+    at = _fences(df, columns, cut, fences)
     return df.withColumns(
         {c: capped(col(c), at[f"low_{i}"], at[f"high_{i}"]) for i, c in enumerate(columns)}
     )
 
 
-def capped_counts(df: DataFrame, columns: Sequence[str], **fences) -> DataFrame:
+def capped_counts(df: DataFrame, columns: Sequence[str], cut: bool = True, **fences) -> DataFrame:
     """Number of values that :func:`winsorize` changes, per column."""
-    table = winsor_bounds(df, columns, **fences)
-    at = table.select(F.struct(*[F.col(c) for c in table.columns])).scalar()
+    at = _fences(df, columns, cut, fences)
     return to_long(
         df,
         {c: F.count_if((col(c) < at[f"low_{i}"]) | (col(c) > at[f"high_{i}"]))
@@ -190,19 +200,20 @@ def scaled_table(
 def clean_panel(
     df: DataFrame, b: Binding, numeric: Sequence[str], text: Sequence[str],
     required: Sequence[str], cap: Sequence[str], rules: Rules = PLAUSIBLE,
-    drop: Sequence[str] = (), multiplier: float = 3.0, cut: bool = False,
+    drop: Sequence[str] = (), multiplier: float = 3.0, cut: bool = True,
 ) -> DataFrame:
     """All cleaning steps in order: drop, dedupe, validate, require, impute, winsorize.
 
-    ``cut`` writes the imputed rows down before the quantile passes over them;
-    worth it when the input is large and the steps before are costly.
+    Every statistic needs a pass over the valid rows before the next step can
+    use it. ``cut`` writes these rows down once, after the costly deduplication,
+    and the small statistics as they are found; each pass is then one scan.
     """
     rows = dedupe(drop_columns(df, drop), b)
     rows = require(keep_in_range(rows, rules), required)
-    rows = impute_mode(impute_median(rows, b.key, numeric), text)
     if cut:
         rows = durable(rows)
-    return winsorize(rows, cap, multiplier=multiplier, hard=rules)
+    rows = impute_mode(impute_median(rows, b.key, numeric, cut=cut), text, cut=cut)
+    return winsorize(rows, cap, cut=cut, multiplier=multiplier, hard=rules)
 
 
 def cleaning_report(
@@ -211,7 +222,7 @@ def cleaning_report(
     multiplier: float = 3.0,
 ) -> DataFrame:
     """Row counts before and after each step and per-column counts: ``(step, item, n)``."""
-    unique = dedupe(df, b)
+    unique = durable(dedupe(df, b))
     valid = keep_in_range(unique, rules)
     present = require(valid, required)
     filled = impute_mode(impute_median(present, b.key, numeric), text)

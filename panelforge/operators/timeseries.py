@@ -14,15 +14,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelforge.binding import col
 
 
-def spine(table: DataFrame, series: Sequence[str], date: str, step: str = "1 day") -> DataFrame:
-    """Every period between the first and the last one of each series."""
-    ends = table.groupBy(*[col(s) for s in series]).agg(
-        F.min(date).alias("_from"), F.max(date).alias("_to")
-    )
-    every = F.explode(F.sequence("_from", "_to", F.expr(f"INTERVAL {step}")))
-    return ends.where(F.col("_from").isNotNull()).select(
-        *[col(s) for s in series], every.alias(date)
-    )
+def _series_window(series: Sequence[str]):
+    return Window.partitionBy(*[col(s) for s in series])
+
+
+def fill_calendar(
+    table: DataFrame, columns: Sequence[str], series: Sequence[str], date: str, unit: str = "day"
+) -> DataFrame:
+    """Add the missing periods between the first and the last one of each series.
+
+    Each row also yields the periods up to the next row, so no calendar has to
+    be built and joined.
+    """
+    step = F.expr(f"INTERVAL 1 {unit}")
+    following = F.lead(col(date)).over(_series_window(series).orderBy(date))
+    until = F.coalesce(F.to_date(following - step), col(date))
+    periods = F.explode(F.sequence(col(date), F.col("_until"), step))
+    out = table.withColumn("_until", until).withColumn("_period", periods)
+    own = F.col("_period") == col(date)
+    return out.withColumns({c: F.when(own, col(c)) for c in columns}).withColumn(
+        date, F.col("_period")
+    ).drop("_period", "_until")
 
 
 def resample(
@@ -31,8 +43,8 @@ def resample(
 ) -> DataFrame:
     """Mean per period with empty periods kept as NULL; ``unit`` is day or month.
 
-    The rows shrink to one per period in the first aggregation, so the spine
-    joins small tables only.
+    The rows shrink to one per period in the first aggregation; all that
+    follows works on that small table, partitioned by series.
     """
     period = F.to_date(F.date_trunc(unit, col(ts))) if unit != "day" else F.to_date(col(ts))
     rows = df.where(col(ts).isNotNull())
@@ -45,8 +57,7 @@ def resample(
     )
     if not keep_empty:
         return table
-    full = spine(table, series, date, f"1 {unit}")
-    return full.join(table, [*series, date], "left").fillna({count: 0})
+    return fill_calendar(table, [*means, count], series, date, unit).fillna({count: 0})
 
 
 def mask_low_coverage(
@@ -54,15 +65,10 @@ def mask_low_coverage(
     share: float = 0.5,
 ) -> DataFrame:
     """Blank the days with fewer rows than ``share`` of the median day (empty days count as 0)."""
-    middle = daily.groupBy(*[col(s) for s in series]).agg(F.median(count).alias("_median"))
-    if series:
-        joined = daily.join(middle, list(series))
-        limit = F.col("_median") * share
-    else:
-        joined, limit = daily, middle.select("_median").scalar() * share
-    return joined.withColumns(
-        {c: F.when(F.col(count) >= limit, col(c)) for c in columns}
-    ).drop("_median")
+    limit = F.median(count).over(_series_window(series)) * share
+    return daily.withColumn("_limit", limit).withColumns(
+        {c: F.when(F.col(count) >= F.col("_limit"), col(c)) for c in columns}
+    ).drop("_limit")
 
 
 def interpolate(

@@ -1 +1,358 @@
-"""Models."""
+"""Anomalies, clusters, forecasts, ensembles and importances."""
+
+from __future__ import annotations
+
+from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import functions as F
+
+from panelforge.operators import anomaly, cluster, ensemble, forecast, importance, trees
+from panelforge.operators.aggregates import group_means
+from panelforge.operators.sampling import hash_split
+from panelforge.operators.windows import rank_by
+from panelforge.plans.panels import SERIES, nation_series
+from panelforge.plans.registry import R, events, query, rounded, table
+from panelforge.session import durable
+from panelforge.sources import read_model, scratch_path, write_model
+
+KEY = ["n_name"]
+TOP_SPEED = {"numTrees": 20, "maxDepth": 6}  # smaller than the defaults, for the registry
+BOOSTS = {"maxIter": 20, "stepSize": 0.1}
+
+# --------------------------------------------------------------------- anomalies
+
+
+def _event_points(spark, d):
+    ev = events(spark, d).withColumn(
+        "second", F.hour("ts") * 3600.0 + F.minute("ts") * 60.0 + F.floor(F.second("ts"))
+    )
+    return anomaly.prepare(ev, ["event_id"], ["value", "second"])
+
+
+def _noise_sql(points: str, key: str, axes: list[str], eps: float, least: int) -> str:
+    near = " AND ".join(
+        [f"q.{axes[0]} BETWEEN p.{axes[0]} - {eps * 1.000001} AND p.{axes[0]} + {eps * 1.000001}",
+         "(" + " + ".join(f"(p.{a} - q.{a}) * (p.{a} - q.{a})" for a in axes) + f") <= CAST({eps * eps} AS DOUBLE)"]
+    )
+    return f"""WITH {points}, near AS MATERIALIZED (SELECT p.{key} AS a, q.{key} AS b FROM pts p JOIN pts q ON {near}),
+core AS (SELECT a FROM near GROUP BY 1 HAVING count(*) >= {least})
+SELECT {key}, {key} NOT IN (SELECT near.a FROM near JOIN core ON near.b = core.a) AS is_noise FROM pts"""
+
+
+EVENT_POINTS = """raw AS (SELECT event_id, value, hour(ts) * 3600.0 + minute(ts) * 60.0 + second(ts) AS s FROM events),
+pts AS (SELECT event_id, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS x,
+  (s - avg(s) OVER ()) / stddev_pop(s) OVER () AS y FROM raw)"""
+
+
+@query("ml_dbscan_noise", _noise_sql(EVENT_POINTS, "event_id", ["x", "y"], 0.1, 10))
+def ml_dbscan_noise(spark, d):
+    return anomaly.dbscan_noise(
+        _event_points(spark, d), ["event_id"], ["value", "second"], eps=0.1, min_samples=10
+    )
+
+
+CUSTOMER_POINTS = """raw AS (SELECT c_custkey, c_acctbal AS b, CAST(count(o_orderkey) AS DOUBLE) AS n, coalesce(avg(o_totalprice), 0) AS p,
+  coalesce(max(o_totalprice), 0) AS m FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL),
+pts AS (SELECT c_custkey, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS x, (n - avg(n) OVER ()) / stddev_pop(n) OVER () AS y,
+  (p - avg(p) OVER ()) / stddev_pop(p) OVER () AS z, (m - avg(m) OVER ()) / stddev_pop(m) OVER () AS u FROM raw)"""
+
+
+def _customer_points(spark, d):
+    per = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count("*").cast("double").alias("n"), F.avg("o_totalprice").alias("p"),
+        F.max("o_totalprice").alias("m"),
+    )
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("b")).join(
+        per, "c_custkey", "left"
+    ).fillna(0.0)
+    return anomaly.prepare(rows, ["c_custkey"], ["b", "n", "p", "m"])
+
+
+@query("ml_dbscan_noise_4d", _noise_sql(CUSTOMER_POINTS, "c_custkey", ["x", "y", "z", "u"], 0.5, 10))
+def ml_dbscan_noise_4d(spark, d):
+    return anomaly.dbscan_noise(
+        _customer_points(spark, d), ["c_custkey"], ["b", "n", "p", "m"], eps=0.5, min_samples=10
+    )
+
+
+@query("ml_prepare", """WITH """ + EVENT_POINTS + f""" SELECT event_id, {R('x')} AS value, {R('y')} AS second FROM pts""")
+def ml_prepare(spark, d):
+    return rounded(_event_points(spark, d))
+
+
+@query("ml_isolation_forest")
+def ml_isolation_forest(spark, d):
+    lines = table(spark, d, "lineitem").select(
+        F.xxhash64("*").alias("row_id"), "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+    )
+    return anomaly.isolation_forest(
+        lines, ["row_id"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    )
+
+
+@query("ml_detector_report")
+def ml_detector_report(spark, d):
+    """Both detectors over the same points: agreement, and what drives each."""
+    from panelforge.operators.aggregates import detector_agreement
+
+    points = _customer_points(spark, d)
+    names = ["b", "n", "p", "m"]
+    a = anomaly.isolation_forest(points, ["c_custkey"], names, trees=100)
+    b = anomaly.dbscan_noise(points, ["c_custkey"], names, eps=0.5)
+    return detector_agreement(a.join(b, "c_custkey"), "outlier_iforest", "is_noise")
+
+
+# ---------------------------------------------------------------------- clusters
+
+
+def _vectors(spark, d, n: int = 64):
+    """Embeddings with their elements as columns."""
+    return table(spark, d, "embeddings").select(
+        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)]
+    )
+
+
+@query("ml_pca2")
+def ml_pca2(spark, d):
+    names = [f"e{i}" for i in range(64)]
+    out, _ = cluster.pca(_vectors(spark, d), names)
+    return out.select("vec_id", "label", "pc1", "pc2")
+
+
+PLACES = {"price": "o_totalprice", "priority": "rank"}
+
+
+def _places(spark, d):
+    orders = table(spark, d, "orders").withColumn("rank", F.substring("o_orderpriority", 1, 1).cast("int"))
+    return group_means(orders, ["o_custkey"], PLACES, count="observations")
+
+
+@query("ml_kmeans")
+def ml_kmeans(spark, d):
+    names = ["price", "priority", "observations"]
+    found = cluster.kmeans(_places(spark, d), names, k=5, starts=10)
+    return cluster.rank_clusters(found, "price")
+
+
+PROFILE = f"""WITH c AS (SELECT o_custkey % 5 AS c, avg(o_totalprice) AS p, count(*) AS n FROM orders GROUP BY o_custkey),
+m AS (SELECT c, avg(p) AS price, avg(n) AS orders, count(*) AS n FROM c GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY price, c) - 1 AS INTEGER) AS cluster, {R('price')} AS price, {R('orders')} AS orders, n FROM m"""
+
+
+@query("ml_cluster_profile", PROFILE)
+def ml_cluster_profile(spark, d):
+    """Ranking and profile of a fixed assignment."""
+    per = table(spark, d, "orders").groupBy("o_custkey").agg(
+        F.avg("o_totalprice").alias("price"), F.count("*").alias("orders")
+    ).withColumn("cluster", (F.col("o_custkey") % 5).cast("int"))
+    ranked = cluster.rank_clusters(per, "price")
+    return rounded(cluster.cluster_profile(ranked, {"price": "price", "orders": "orders"}))
+
+
+# --------------------------------------------------------------------- forecasts
+
+BASE = f"""{SERIES}, b AS (SELECT n_name, date, price,
+  lag(price, 1) OVER w AS "Naive", lag(price, 7) OVER w AS "SeasonalNaive7",
+  avg(price) OVER (PARTITION BY n_name ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS "Mean7",
+  avg(price) OVER (PARTITION BY n_name ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS "Mean30",
+  row_number() OVER (PARTITION BY n_name ORDER BY date DESC) AS e FROM filled
+  WINDOW w AS (PARTITION BY n_name ORDER BY date)),
+preds AS (UNPIVOT (SELECT n_name, date, price AS y_true, "Naive", "SeasonalNaive7", "Mean7", "Mean30" FROM b WHERE e <= 90)
+  ON "Naive", "SeasonalNaive7", "Mean7", "Mean30" INTO NAME model VALUE y_pred)"""
+
+METRIC = f"""{R('avg(abs(y_true - y_pred))')} AS mae, {R('sqrt(avg((y_true - y_pred) * (y_true - y_pred)))')} AS rmse,
+  {R('avg(abs((y_true - y_pred) / y_true)) FILTER (abs(y_true) > 0.001) * 100')} AS mape,
+  {R('CASE WHEN var_pop(y_true) > 0 THEN 1 - sum((y_true - y_pred) * (y_true - y_pred)) / (var_pop(y_true) * count(*)) END')} AS r2,
+  count(*) AS n"""
+
+
+def _baselines(spark, d):
+    return forecast.baselines(nation_series(spark, d), "price", KEY)
+
+
+@query("fc_baselines", f"""
+{BASE} SELECT n_name, date, model, {R('y_true')} AS y_true, {R('y_pred')} AS y_pred FROM preds""")
+def fc_baselines(spark, d):
+    return rounded(_baselines(spark, d).drop("lo", "hi"))
+
+
+@query("fc_backtest_metrics", f"{BASE} SELECT n_name, model, {METRIC} FROM preds GROUP BY 1, 2")
+def fc_backtest_metrics(spark, d):
+    return rounded(forecast.backtest_metrics(_baselines(spark, d), KEY))
+
+
+@query("fc_arima")
+def fc_arima(spark, d):
+    return forecast.arima_forecast(nation_series(spark, d), "price", KEY)
+
+
+@query("fc_sarima")
+def fc_sarima(spark, d):
+    return forecast.sarima_forecast(nation_series(spark, d), "price", KEY)
+
+
+@query("fc_additive")
+def fc_additive(spark, d):
+    return forecast.additive_forecast(nation_series(spark, d), "price", KEY)
+
+
+@query("fc_future")
+def fc_future(spark, d):
+    return forecast.future_outlook(nation_series(spark, d), "price", KEY)
+
+
+@query("fc_tree")
+def fc_tree(spark, d):
+    daily = durable(nation_series(spark, d))
+    forest = forecast.tree_forecast(daily, "price", KEY, "RandomForest", **TOP_SPEED)
+    boosted = forecast.tree_forecast(daily, "price", KEY, "GradientBoosting", **BOOSTS)
+    leafy = forecast.tree_forecast(daily, "price", KEY, "GradientBoosting5", **BOOSTS)
+    return forest.unionByName(boosted).unionByName(leafy)
+
+
+@query("fc_all_models")
+def fc_all_models(spark, d):
+    """Metrics of every forecaster on every series."""
+    daily = durable(nation_series(spark, d))
+    small = {"RandomForest": TOP_SPEED, "GradientBoosting": BOOSTS, "GradientBoosting5": BOOSTS}
+    predictions = forecast.all_models(daily, "price", KEY, trees=small)
+    return forecast.backtest_metrics(predictions, KEY)
+
+
+# --------------------------------------------------------------------- ensembles
+
+MARKED = f"""{BASE}, ranked AS (SELECT *, dense_rank() OVER (PARTITION BY n_name ORDER BY date) AS dr FROM preds),
+marked AS (SELECT *, dr <= floor(max(dr) OVER (PARTITION BY n_name) / 3) AS is_blend FROM ranked),
+err AS (SELECT n_name, model, sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse FROM marked WHERE is_blend GROUP BY 1, 2),
+topm AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY rmse, model) AS rank FROM err QUALIFY rank <= 3),
+w AS (SELECT *, (1 / rmse) / sum(1 / rmse) OVER (PARTITION BY n_name) AS weight FROM topm),
+vote AS (SELECT m.n_name, m.date, any_value(m.y_true) AS y_true, avg(m.y_pred) AS y_pred FROM marked m JOIN w
+  ON m.n_name = w.n_name AND m.model = w.model WHERE NOT is_blend GROUP BY 1, 2),
+wavg AS (SELECT m.n_name, m.date, any_value(m.y_true) AS y_true, sum(weight * m.y_pred) AS y_pred FROM marked m JOIN w
+  ON m.n_name = w.n_name AND m.model = w.model WHERE NOT is_blend GROUP BY 1, 2),
+evald AS (SELECT n_name, model, y_true, y_pred FROM marked WHERE NOT is_blend
+  UNION ALL SELECT n_name, 'Voting', y_true, y_pred FROM vote
+  UNION ALL SELECT n_name, 'WeightedAverage', y_true, y_pred FROM wavg),
+scores AS (SELECT n_name, model, sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS exact, {METRIC} FROM evald GROUP BY 1, 2)"""
+
+
+def _marked(spark, d):
+    return ensemble.split(_baselines(spark, d), KEY)
+
+
+@query("wn_blend_eval_split", f"{MARKED} SELECT n_name, date, model, is_blend FROM marked")
+def wn_blend_eval_split(spark, d):
+    return _marked(spark, d).select("n_name", "date", "model", "is_blend")
+
+
+@query("en_select_top", f"{MARKED} SELECT n_name, model, {R('rmse')} AS rmse, CAST(rank AS INTEGER) AS rank, {R('weight')} AS weight FROM w")
+def en_select_top(spark, d):
+    return rounded(ensemble.select_top(_marked(spark, d), KEY))
+
+
+@query("en_voting", f"{MARKED} SELECT n_name, date, 'Voting' AS model, {R('y_true')} AS y_true, {R('y_pred')} AS y_pred FROM vote")
+def en_voting(spark, d):
+    marked = _marked(spark, d)
+    return rounded(ensemble.voting(marked, ensemble.select_top(marked, KEY), KEY))
+
+
+@query("en_weighted", f"{MARKED} SELECT n_name, date, 'WeightedAverage' AS model, {R('y_true')} AS y_true, {R('y_pred')} AS y_pred FROM wavg")
+def en_weighted(spark, d):
+    marked = _marked(spark, d)
+    return rounded(ensemble.weighted(marked, ensemble.select_top(marked, KEY), KEY))
+
+
+@query("en_stacking")
+def en_stacking(spark, d):
+    return ensemble.stacking(_marked(spark, d), KEY)
+
+
+@query("en_model_leaderboard", f"""{MARKED} SELECT n_name, model, mae, rmse, mape, r2, n,
+  CAST(row_number() OVER (PARTITION BY n_name ORDER BY exact, model) AS INTEGER) AS rank FROM scores""")
+def en_model_leaderboard(spark, d):
+    metrics = ensemble.evaluate(_marked(spark, d), KEY, stack=False)
+    return rounded(ensemble.leaderboard(metrics, KEY))
+
+
+@query("en_best_model", f"""{MARKED} SELECT n_name, model AS best_model, rmse, n AS eval_days FROM scores
+  QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY exact, model) = 1""")
+def en_best_model(spark, d):
+    metrics = ensemble.evaluate(_marked(spark, d), KEY, stack=False)
+    return rounded(ensemble.best_model(metrics, KEY))
+
+
+@query("en_compare_all")
+def en_compare_all(spark, d):
+    """Base models and all three ensembles, stacking included."""
+    return ensemble.evaluate(_marked(spark, d), KEY)
+
+
+# ------------------------------------------------------------------- importances
+
+PREDICTORS = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "ship_month"]
+
+
+def _supervised_lines(spark, d):
+    lines = table(spark, d, "lineitem").select(
+        F.xxhash64("*").alias("row_id"), "l_quantity", "l_discount", "l_tax", "l_linenumber",
+        F.month("l_shipdate").alias("ship_month"), F.col("l_extendedprice").alias("label"),
+    )
+    return hash_split(trees.assemble(lines, PREDICTORS), ["row_id"]).select(
+        "row_id", "features", "label", "is_train"
+    )
+
+
+def _fitted(spark, d):
+    rows = durable(_supervised_lines(spark, d))
+    train = rows.where("is_train")
+    booster = trees.boosting(**{**BOOSTS, "maxDepth": 5, "seed": 42}).fit(train)
+    return rows, train, booster
+
+
+@query("ml_random_forest")
+def ml_random_forest(spark, d):
+    rows = _supervised_lines(spark, d)
+    model = trees.forest(minInstancesPerNode=3, seed=42, **TOP_SPEED).fit(rows.where("is_train"))
+    return model.transform(rows.where(~F.col("is_train"))).select("row_id", "label", "prediction")
+
+
+@query("ml_gbt")
+def ml_gbt(spark, d):
+    rows, _, booster = _fitted(spark, d)
+    return booster.transform(rows.where(~F.col("is_train"))).select("row_id", "label", "prediction")
+
+
+@query("fi_tree")
+def fi_tree(spark, d):
+    _, train, booster = _fitted(spark, d)
+    forest = trees.forest(minInstancesPerNode=3, seed=42, **TOP_SPEED).fit(train)
+    a = trees.importances(forest, PREDICTORS, spark, 20).withColumn("model", F.lit("random_forest"))
+    b = trees.importances(booster, PREDICTORS, spark, 20).withColumn("model", F.lit("boosting"))
+    return a.unionByName(b)
+
+
+@query("fi_permutation")
+def fi_permutation(spark, d):
+    rows, _, booster = _fitted(spark, d)
+    held_out = rows.where(~F.col("is_train"))
+    return importance.permutation_importance(booster, held_out, ["row_id"], PREDICTORS)
+
+
+@query("fi_shap")
+def fi_shap(spark, d):
+    rows, _, booster = _fitted(spark, d)
+    explained = importance.shap_values(booster, rows.where(~F.col("is_train")), PREDICTORS)
+    return importance.shap_importance(explained, PREDICTORS)
+
+
+@query("io_model_roundtrip")
+def io_model_roundtrip(spark, d):
+    """Predictions of a model that was saved and loaded again."""
+    rows, _, booster = _fitted(spark, d)
+    path = write_model(booster, scratch_path(spark, "model"))
+    loaded = read_model(spark, path, GBTRegressionModel)
+    return loaded.transform(rows.where(~F.col("is_train"))).agg(
+        F.avg("prediction").alias("mean_prediction"), F.count("*").alias("n")
+    )
+
+
+__all__ = ["rank_by"]

@@ -85,10 +85,10 @@ means AS (SELECT n_name, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS
 daily AS (SELECT s.n_name, s.date, m.price, coalesce(m.n_obs, 0) AS n_obs FROM spine s
   LEFT JOIN means m ON s.n_name = m.n_name AND s.date = m.date)"""
 
-INTERP = """prevs AS (SELECT *, last_value(date ORDER BY date) FILTER (price IS NOT NULL) OVER b AS pd,
-    last_value(price ORDER BY date) FILTER (price IS NOT NULL) OVER b AS pv,
-    first_value(date ORDER BY date) FILTER (price IS NOT NULL) OVER f AS nd,
-    first_value(price ORDER BY date) FILTER (price IS NOT NULL) OVER f AS nv FROM src
+INTERP = """prevs AS (SELECT *, last_value(CASE WHEN price IS NOT NULL THEN date END IGNORE NULLS) OVER b AS pd,
+    last_value(price IGNORE NULLS) OVER b AS pv,
+    first_value(CASE WHEN price IS NOT NULL THEN date END IGNORE NULLS) OVER f AS nd,
+    first_value(price IGNORE NULLS) OVER f AS nv FROM src
   WINDOW b AS (PARTITION BY n_name ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
     f AS (PARTITION BY n_name ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 filled AS (SELECT n_name, date, CASE WHEN price IS NOT NULL THEN price WHEN nd IS NULL THEN pv
@@ -155,11 +155,11 @@ def ts_resample(spark, d):
 
 CLIM = f"""{SERIES}, clim AS (SELECT n_name, dayofyear(date) AS doy, avg(price) AS m FROM filled GROUP BY 1, 2),
 pos AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY doy) AS p, count(*) OVER (PARTITION BY n_name) AS n FROM clim),
-wrapped AS (SELECT n_name, doy, m, p AS at, true AS own FROM pos
+wrapped AS (SELECT n_name, doy, m, p AS place, true AS own FROM pos
   UNION ALL SELECT n_name, doy, m, p - n, false FROM pos WHERE p > n - 15
   UNION ALL SELECT n_name, doy, m, p + n, false FROM pos WHERE p <= 15),
 base AS (SELECT * FROM (SELECT n_name, doy, own,
-    avg(m) OVER (PARTITION BY n_name ORDER BY at ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS baseline FROM wrapped) WHERE own),
+    avg(m) OVER (PARTITION BY n_name ORDER BY place ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS baseline FROM wrapped) WHERE own),
 anom AS (SELECT f.n_name, f.date, f.price, b.baseline, f.price - b.baseline AS anomaly FROM filled f
   JOIN base b ON f.n_name = b.n_name AND dayofyear(f.date) = b.doy)"""
 
@@ -209,11 +209,11 @@ def ts_supervised(spark, d):
   WINDOW w AS (PARTITION BY n_name ORDER BY date ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)),
 ph AS (SELECT n_name, i % 365 AS phase, avg(price - trend) AS s FROM t GROUP BY 1, 2),
 c AS (SELECT n_name, phase, s - avg(s) OVER (PARTITION BY n_name) AS seasonal FROM ph)
-SELECT t.n_name, date, {R('price')} AS price, {R('trend')} AS trend, {R('seasonal')} AS seasonal,
-  {R('price - trend - seasonal')} AS resid FROM t JOIN c ON t.n_name = c.n_name AND i % 365 = phase""")
+SELECT t.n_name, date, {R("price", 4)} AS price, {R("trend", 4)} AS trend, {R("seasonal", 4)} AS seasonal,
+  {R("price - trend - seasonal", 4)} AS resid FROM t JOIN c ON t.n_name = c.n_name AND i % 365 = phase""")
 def ts_decompose_classical(spark, d):
     out = ts.classical_decomposition(nation_series(spark, d), "price", 365, ["n_name"])
-    return rounded(out.select("n_name", "date", "price", "trend", "seasonal", "resid"))
+    return rounded(out.select("n_name", "date", "price", "trend", "seasonal", "resid"), 4)
 
 
 @query("ts_stl")

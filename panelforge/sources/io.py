@@ -62,7 +62,9 @@ def write_parquet(
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").csv(path, header=True)
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # the default would cut to milliseconds
+    writer = df.write.mode("overwrite").option("header", True)
+    writer.option("timestampFormat", micros).option("timestampNTZFormat", micros).csv(path)
     return path
 
 
