@@ -138,31 +138,34 @@ def isolation_scores(
     The forest is collected: its size is set by its parameters, not by the data.
     """
     nodes = forest.orderBy("tree", "node").toPandas()
-    trees = []
-    for _, part in nodes.groupby("tree"):
-        trees.append(tuple(part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "depth")))
+    leaf = nodes["feature"] < 0
+    nodes.loc[leaf, "left"] = nodes.loc[leaf, "node"]
+    nodes.loc[leaf, "right"] = nodes.loc[leaf, "node"]
+    nodes["feature"] = nodes["feature"].clip(lower=0)
+    trees = [
+        tuple(part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "depth"))
+        for _, part in nodes.groupby("tree")
+    ]
     shared = df.sparkSession.sparkContext.broadcast(trees)
     norm = float(average_depth(sample))
+    steps = math.ceil(math.log2(max(sample, 2)))
 
     @F.pandas_udf("double")
     def path_score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for frame in batches:
             points = frame.to_numpy(float)
             missing = np.isnan(points).any(axis=1)
+            flat, width = points.ravel(), points.shape[1]
+            first = np.arange(len(points)) * width
             total = np.zeros(len(points))
-            rows = np.arange(len(points))
             for feature, threshold, left, right, depth in shared.value:
-                at = np.zeros(len(points), dtype=np.int64)
-                while True:
-                    f = feature[at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    low = points[rows, np.maximum(f, 0)] <= threshold[at]
-                    at = np.where(inner, np.where(low, left[at], right[at]), at)
+                at = np.zeros(len(points), dtype=np.intp)
+                for _ in range(steps):  # a leaf leads to itself
+                    low = flat[first + feature[at]] <= threshold[at]
+                    at = np.where(low, left[at], right[at])
                 total += depth[at]
             score_ = 2.0 ** (-total / len(shared.value) / norm)
-            yield pd.Series(np.where(missing, np.nan, score_)).astype("Float64")
+            yield pd.Series(np.where(missing, np.nan, score_))
 
     inputs = F.struct(*[col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
     return df.withColumn(score, path_score(inputs)).withColumn(
@@ -290,10 +293,9 @@ def _cell_pairs(
 
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
     thin = cells.where(F.col("_n") < min_samples).select("_cell", coarse(F.col("_cell")).alias("_g"))
-    for k in range(dims):
-        thin = thin.withColumn("_s", F.explode(steps)).withColumn(
-            "_g", F.transform("_g", lambda g, i, k=k: F.when(i == k, g + F.col("_s")).otherwise(g))
-        )
+    for axis in range(dims):
+        moved = [F.col("_g")[i] + (F.col("_s") if i == axis else 0) for i in range(dims)]
+        thin = thin.withColumn("_s", F.explode(steps)).withColumn("_g", F.array(*moved))
     right = cells.select(
         F.col("_cell").alias("_other"), "_n", coarse(F.col("_cell")).alias("_g")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -14,7 +15,7 @@ from panelforge.functions import zscore
 from panelforge.operators.aggregates import group_means, one_row
 from panelforge.operators.trees import assemble
 from panelforge.operators.windows import rank_by
-from panelforge.session import durable
+from panelforge.session import durable, side_by_side
 
 
 def fill_and_scale(df: DataFrame, features: Sequence[str]) -> dict[str, Column]:
@@ -35,10 +36,12 @@ def kmeans(
     """Cluster the rows; of ``starts`` runs the one with the lowest cost wins."""
     scaled = fill_and_scale(df, features)
     rows = durable(assemble(df.withColumns(scaled), list(scaled)).drop(*scaled))
-    fits = [
-        KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol=name).fit(rows)
-        for i in range(starts)
-    ]
+    fits = side_by_side(
+        [
+            partial(KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol=name).fit, rows)
+            for i in range(starts)
+        ]
+    )
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(rows).drop("features")
 

@@ -9,7 +9,7 @@ the days before the test window.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ from panelforge.operators import additive, arima
 from panelforge.operators.aggregates import regression_metrics
 from panelforge.operators.timeseries import from_end, supervised, supervised_features
 from panelforge.operators.trees import boosting, forest, assemble
+from panelforge.session import durable, side_by_side
 
 TEST_DAYS, HORIZON = 90, 30
 
@@ -141,6 +142,7 @@ def tree_forecast(
     rows = supervised(ranked, value, series, date)
     features = supervised_features()
     rows = assemble(rows, features).withColumn("label", col(value).cast("double"))
+    rows = durable(rows.select(*[col(s) for s in series], date, "_e", "features", "label"))
     train = rows.where(F.col("_e") > test).select("features", "label")
     if model == "RandomForest":
         fitted = forest(**{"numTrees": 400, "minInstancesPerNode": 2, "seed": seed, **params}).fit(train)
@@ -168,7 +170,9 @@ def all_models(
     parts = [
         arima_forecast(daily, value, series, test), sarima_forecast(daily, value, series, test),
         additive_forecast(daily, value, series, test),
-        *[tree_forecast(daily, value, series, n, test, **p) for n, p in trees.items()],
+        *side_by_side(
+            [partial(tree_forecast, daily, value, series, n, test, **p) for n, p in trees.items()]
+        ),
     ]
     return reduce(DataFrame.unionByName, parts)
 

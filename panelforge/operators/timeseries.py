@@ -232,18 +232,25 @@ def classical_decomposition(
     w = Window.partitionBy(*keys).orderBy(date)
     half = period // 2
     v = col(value)
+    # Moving sums are differences of running sums: one step per row and not one per day of the period.
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    running = daily.withColumns(
+        {"_r": F.row_number().over(w), "_sum": F.sum(v).over(so_far), "_cnt": F.count(v).over(so_far)}
+    )
+
+    def moving(total: str, back: int, ahead: int) -> Column:
+        before = F.when(F.col("_r") == back + 1, 0).otherwise(F.lag(total, back + 1).over(w))
+        return F.lead(total, ahead).over(w) - before
+
     if period % 2:
-        frame = w.rowsBetween(-half, half)
-        average, needed = F.avg(v).over(frame), period
+        average, found = moving("_sum", half, half) / period, moving("_cnt", half, half)
     else:
-        inner = w.rowsBetween(1 - half, half - 1)
-        ends = (F.lag(v, half).over(w) + F.lead(v, half).over(w)) / 2
-        average, needed = (F.sum(v).over(inner) + ends) / period, period - 1
-        frame = inner
-    full = F.count(v).over(frame) >= needed
-    parts = daily.withColumns(
-        {"trend": F.when(full, average), "_phase": F.pmod(F.row_number().over(w) - 1, F.lit(period))}
-    )
+        wide = moving("_sum", half, half - 1) + moving("_sum", half - 1, half)
+        average = wide / (2 * period)
+        found = F.least(moving("_cnt", half, half - 1), moving("_cnt", half - 1, half))
+    parts = running.withColumns(
+        {"trend": F.when(found == period, average), "_phase": F.pmod(F.col("_r") - 1, F.lit(period))}
+    ).drop("_r", "_sum", "_cnt")
     phases = (
         parts.withColumn("_d", v - F.col("trend")).groupBy(*keys, "_phase")
         .agg(F.avg("_d").alias("_s"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.ml.regression import GBTRegressionModel
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelforge.operators import anomaly, cluster, ensemble, forecast, importance, trees
 from panelforge.operators.aggregates import group_means
@@ -11,7 +13,7 @@ from panelforge.operators.sampling import hash_split
 from panelforge.operators.windows import rank_by
 from panelforge.plans.panels import SERIES, nation_series
 from panelforge.plans.registry import R, events, query, rounded, table
-from panelforge.session import durable
+from panelforge.session import durable, side_by_side
 from panelforge.sources import read_model, scratch_path, write_model
 
 KEY = ["n_name"]
@@ -203,10 +205,9 @@ def fc_future(spark, d):
 @query("fc_tree")
 def fc_tree(spark, d):
     daily = durable(nation_series(spark, d))
-    forest = forecast.tree_forecast(daily, "price", KEY, "RandomForest", **TOP_SPEED)
-    boosted = forecast.tree_forecast(daily, "price", KEY, "GradientBoosting", **BOOSTS)
-    leafy = forecast.tree_forecast(daily, "price", KEY, "GradientBoosting5", **BOOSTS)
-    return forest.unionByName(boosted).unionByName(leafy)
+    small = {"RandomForest": TOP_SPEED, "GradientBoosting": BOOSTS, "GradientBoosting5": BOOSTS}
+    fits = [partial(forecast.tree_forecast, daily, "price", KEY, m, **p) for m, p in small.items()]
+    return reduce(DataFrame.unionByName, side_by_side(fits))
 
 
 @query("fc_all_models")

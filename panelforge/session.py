@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,3 +41,11 @@ def durable(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="panelforge-"))
     return df.checkpoint(eager=True)
+
+
+def side_by_side(tasks: Sequence[Callable[[], object]], most: int = 4) -> list:
+    """Run independent fits at the same time, so that one fills the gaps between the jobs of another."""
+    session = SparkSession.active()
+    with ThreadPoolExecutor(most) as pool:
+        started = [pool.submit(inheritable_thread_target(session)(task)) for task in tasks]
+        return [s.result() for s in started]
