@@ -38,4 +38,5 @@ def bin_interval(value: Column, edges: Sequence[float], include_lowest: bool = F
 def width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Number 0..bins-1 of the equal-width bin; the last one is closed on the right."""
     raw = F.floor((value - low) / (high - low) * bins)
-    return F.when(high > low, F.least(raw, F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    inside = F.when(high > low, F.least(raw, F.lit(bins - 1))).otherwise(F.lit(0))
+    return F.when(value.isNotNull(), inside).cast("int")

@@ -14,7 +14,7 @@ from panelforge.functions import zscore
 from panelforge.operators.aggregates import one_row
 from panelforge.operators.quantiles import quantile_table
 from panelforge.operators.sampling import hash_sample, row_hash
-from panelforge.session import durable
+from panelforge.session import by_group, durable, spread_small
 
 # Labels for the agreement of two detectors.
 AGREEMENT = ("Normal", "Isolation Forest only", "DBSCAN only", "Both detectors")
@@ -96,7 +96,7 @@ def fit_isolation_forest(
     names = list(features)
     limit = math.ceil(math.log2(max(sample, 2)))
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(ids))  # the same tree for any arrival order
         rng = np.random.default_rng([seed, int(key[0])])
         points = pdf[names].to_numpy(float)
@@ -126,7 +126,7 @@ def fit_isolation_forest(
 
     complete = df.select(*[col(c) for c in ids], *[col(c).cast("double").alias(c) for c in features])
     samples = tree_samples(complete.dropna(subset=names), ids, trees, sample, seed)
-    return samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+    return by_group(samples, ["tree"]).groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
 def isolation_scores(
@@ -168,7 +168,7 @@ def isolation_scores(
             yield pd.Series(np.where(missing, np.nan, score_))
 
     inputs = F.struct(*[col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
-    return df.withColumn(score, path_score(inputs)).withColumn(
+    return spread_small(df).withColumn(score, path_score(inputs)).withColumn(
         score, F.when(~F.isnan(score), F.col(score))
     )
 

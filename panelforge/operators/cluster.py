@@ -7,7 +7,8 @@ from functools import partial
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforge.binding import col
@@ -65,22 +66,14 @@ def pca(df: DataFrame, features: Sequence[str], k: int = 2) -> tuple[DataFrame,
 
     Also returns the loadings (features x k). Rows must be complete.
     """
-    means = one_row(df, *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(features)])
-    centred = {f"_c{i}": col(c) - means[f"m{i}"] for i, c in enumerate(features)}
-    moved = df.withColumns(centred)
-    model = PCA(k=k, inputCol="features", outputCol="_pc").fit(
-        assemble(moved, list(centred)).select("features")
-    )
+    rows = assemble(df, features, "_raw")
+    centring = StandardScaler(withMean=True, withStd=False, inputCol="_raw", outputCol="_centred")
+    centred = centring.fit(rows).transform(rows)
+    model = PCA(k=k, inputCol="_centred", outputCol="_pc").fit(centred)
     loadings = model.pc.toArray()
     signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
-    loadings = loadings * signs
-    out = moved.withColumns(
-        {
-            f"pc{j + 1}": sum(
-                (F.col(f"_c{i}") * float(loadings[i, j]) for i in range(len(features))),
-                F.lit(0.0),
-            )
-            for j in range(k)
-        }
+    scores = model.transform(centred).withColumn("_pc", vector_to_array("_pc"))
+    out = scores.withColumns(
+        {f"pc{j + 1}": F.col("_pc")[j] * float(signs[j]) for j in range(k)}
     )
-    return out.drop(*centred), loadings
+    return out.drop("_raw", "_centred", "_pc"), loadings * signs

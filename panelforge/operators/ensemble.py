@@ -15,17 +15,25 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelforge.binding import col
 from panelforge.operators.aggregates import regression_metrics
 from panelforge.operators.windows import top_per_group
+from panelforge.session import by_group, durable
 
 TOP = 3
 
 
-def split(predictions: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
-    """Mark the first third of the days of each key as ``is_blend``; one row per day and model."""
+def split(
+    predictions: DataFrame, keys: Sequence[str], date: str = "date", cut: bool = True
+) -> DataFrame:
+    """Mark the first third of the days of each key as ``is_blend``; one row per day and model.
+
+    The marked rows are few and read many times (to choose, weigh and judge), so
+    ``cut`` writes them down instead of running the forecasts again each time.
+    """
     unique = predictions.dropDuplicates([*keys, date, "model"])
     w = Window.partitionBy(*[col(k) for k in keys])
     ranked = unique.withColumn("_d", F.dense_rank().over(w.orderBy(date)))
     days = F.max("_d").over(w)
-    return ranked.withColumn("is_blend", F.col("_d") <= F.floor(days / 3)).drop("_d")
+    marked = ranked.withColumn("is_blend", F.col("_d") <= F.floor(days / 3)).drop("_d")
+    return durable(marked) if cut else marked
 
 
 def blend_rmse(marked: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -103,7 +111,7 @@ def stacking(
         return out
 
     used = marked.select(*[col(k) for k in names], date, "model", "y_true", "y_pred", "is_blend")
-    return used.groupBy(*[col(k) for k in names]).applyInPandas(run, schema)
+    return by_group(used, names).groupBy(*[col(k) for k in names]).applyInPandas(run, schema)
 
 
 def evaluate(

@@ -20,7 +20,7 @@ from panelforge.operators import additive, arima
 from panelforge.operators.aggregates import regression_metrics
 from panelforge.operators.timeseries import from_end, supervised, supervised_features
 from panelforge.operators.trees import boosting, forest, assemble
-from panelforge.session import durable, side_by_side
+from panelforge.session import by_group, durable, side_by_side
 
 TEST_DAYS, HORIZON = 90, 30
 
@@ -71,7 +71,7 @@ def _per_series(
         )
 
     rows = daily.select(*[col(k) for k in keys], col(date), col(value).cast("double").alias(value))
-    return rows.groupBy(*[col(k) for k in keys]).applyInPandas(run, schema)
+    return by_group(rows, keys).groupBy(*[col(k) for k in keys]).applyInPandas(run, schema)
 
 
 def arima_forecast(
@@ -126,7 +126,7 @@ def future_outlook(
         ).assign(ds=lambda f: pd.to_datetime(f["ds"]).dt.date)
 
     rows = daily.select(*[col(k) for k in keys], col(date), col(value).cast("double").alias(value))
-    return rows.groupBy(*[col(k) for k in keys]).applyInPandas(run, schema)
+    return by_group(rows, keys).groupBy(*[col(k) for k in keys]).applyInPandas(run, schema)
 
 
 def tree_forecast(
@@ -142,7 +142,8 @@ def tree_forecast(
     rows = supervised(ranked, value, series, date)
     features = supervised_features()
     rows = assemble(rows, features).withColumn("label", col(value).cast("double"))
-    rows = durable(rows.select(*[col(s) for s in series], date, "_e", "features", "label"))
+    rows = rows.select(*[col(s) for s in series], date, "_e", "features", "label")
+    rows = durable(by_group(rows, series))
     train = rows.where(F.col("_e") > test).select("features", "label")
     if model == "RandomForest":
         fitted = forest(**{"numTrees": 400, "minInstancesPerNode": 2, "seed": seed, **params}).fit(train)

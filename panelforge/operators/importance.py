@@ -14,6 +14,7 @@ from panelforge.binding import col
 from panelforge.operators.aggregates import regression_metrics
 from panelforge.operators.sampling import hash_sample
 from panelforge.operators.trees import node_table
+from panelforge.session import spread_small
 
 BUCKET_ROWS = 10_000
 
@@ -114,7 +115,7 @@ def shap_values(
                 _add_leaf(phi, x, value, items)
             yield pd.Series(list(phi))
 
-    return rows.withColumn(name, explain(vector_to_array("features"))).withColumn(
+    return spread_small(rows).withColumn(name, explain(vector_to_array("features"))).withColumn(
         base, F.lit(float(expected))
     )
 

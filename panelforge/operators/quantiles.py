@@ -18,15 +18,21 @@ ACCURACY = 10_000
 
 def long_values(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
     """One row per key and measure: ``(keys..., measure, value)`` without missing values."""
-    pairs = [
-        F.struct(F.lit(name).alias("measure"), c.cast("double").alias("value"))
-        for name, c in measures.items()
-    ]
-    return (
-        df.select(*[col(k) for k in keys], F.explode(F.array(*pairs)).alias("_m"))
-        .select(*[col(k) for k in keys], "_m.measure", "_m.value")
-        .where(F.col("value").isNotNull())
+    names = list(measures)
+    wide = df.select(
+        *[col(k) for k in keys],
+        *[c.cast("double").alias(f"_m{i}") for i, c in enumerate(measures.values())],
     )
+    if len(names) == 1:
+        rows = wide.select(
+            *[col(k) for k in keys], F.lit(names[0]).alias("measure"), F.col("_m0").alias("value")
+        )
+    else:
+        labels = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (f"_m{i}", n)])
+        rows = wide.unpivot(
+            [col(k) for k in keys], [f"_m{i}" for i in range(len(names))], "measure", "value"
+        ).withColumn("measure", labels[F.col("measure")])
+    return rows.where(F.col("value").isNotNull())
 
 
 def exact_quantiles(
@@ -36,69 +42,59 @@ def exact_quantiles(
     """Linear-interpolated quantiles: ``(keys..., measure, prob, quantile)``.
 
     A sketch of ``accuracy`` is off by at most ``n / accuracy`` ranks, so twice
-    that on either side of a quantile surely holds its neighbours. Groups of at
-    most ``2 * accuracy`` rows are ordered whole. The query fails, rather than
-    being wrong, should a bracket ever miss its quantile.
+    that on either side of a quantile surely holds its neighbours. In a second
+    pass the values inside the brackets are counted one by one and all values
+    between two brackets as one entry; running sums over these few entries give
+    the ranks. Groups of at most ``2 * accuracy`` rows are inside as a whole.
+    The query fails, rather than being wrong, should a bracket ever miss its
+    quantile.
     """
     rows = long_values(df, keys, measures)
     for k in keys:
         rows = rows.where(col(k).isNotNull())
-    group = [*keys, "measure"]
+    names = [*keys, "measure"]
+    group = [col(g) for g in names]
     probs = list(probs)
     edges = [min(1.0, max(0.0, p + side * 2.0 / accuracy)) for p in probs for side in (-1, 1)]
-    sketch = rows.groupBy(*[col(g) for g in group]).agg(
+    sketch = rows.groupBy(*group).agg(
         F.count("*").alias("_n"),
         F.percentile_approx("value", edges, F.lit(accuracy)).alias("_edges"),
     )
-    whole = F.col("_n") <= 2 * accuracy
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("prob"),
-                F.when(~whole, F.col("_edges")[2 * i]).alias("low"),
-                F.when(~whole, F.col("_edges")[2 * i + 1]).alias("high"),
-            )
-            for i, p in enumerate(probs)
-        ]
+    brackets = sketch.select(*group, "_n", *[F.col("_edges")[i].alias(f"_e{i}") for i in range(len(edges))])
+
+    value = F.col("value")
+    inside = F.col("_n") <= 2 * accuracy
+    for i in range(len(probs)):
+        inside = inside | value.between(F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}"))
+    passed = [F.when(F.col(f"_e{i}") < value, F.col(f"_e{i}")) for i in range(len(edges))]
+    below_all = F.lit(float("-inf"))
+    entry = F.when(inside, value).otherwise(F.greatest(below_all, *passed))
+    counts = (
+        rows.join(brackets, names)
+        .select(*group, "_n", entry.alias("_v"), (~inside).alias("_between"))
+        .groupBy(*group, "_n", "_v", "_between").agg(F.count("*").alias("_c"))
     )
-    brackets = sketch.select(*[col(g) for g in group], "_n", targets.alias("_targets"))
-
-    # A row counts for every bracket that it is in or below; values below a
-    # bracket melt into one NULL entry, so counting them is map-side.
-    wanted = F.filter(
-        "_targets", lambda t: t["high"].isNull() | (F.col("value") <= t["high"])
-    )
-    tagged = (
-        rows.join(brackets, group)
-        .withColumn("_t", F.explode(wanted))
-        .select(
-            *[col(g) for g in group], "_n", F.col("_t.prob").alias("prob"),
-            F.when(
-                F.col("_t.low").isNull() | (F.col("value") >= F.col("_t.low")), F.col("value")
-            ).alias("_v"),
-        )
-    )
-    target = [*group, "_n", "prob"]
-    counts = tagged.groupBy(*[col(g) for g in target], "_v").agg(F.count("*").alias("_c"))
-    ordered = Window.partitionBy(*[col(g) for g in target]).orderBy(F.col("_v").asc_nulls_first())
-    upto = counts.withColumn("_upto", F.sum("_c").over(ordered))
-    rank = F.col("prob") * (F.col("_n") - 1)
-    below, above = F.floor(rank), F.ceil(rank)
+    ordered = Window.partitionBy(*group).orderBy("_v", "_between")
+    ranked = counts.withColumn("_upto", F.sum("_c").over(ordered))
 
     def at(position: Column) -> Column:
         hit = (F.col("_upto") - F.col("_c") <= position) & (position < F.col("_upto"))
-        return F.max(F.when(hit, F.col("_v")))
+        return F.max(F.when(hit & ~F.col("_between"), F.col("_v")))
 
-    found = upto.groupBy(*[col(g) for g in target]).agg(
-        at(below).alias("_lo"), at(above).alias("_hi")
-    )
-    missed = F.raise_error(F.lit("quantile outside its bracket; raise the accuracy"))
-    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (rank - below)
-    return found.select(
-        *[col(g) for g in group], "prob",
-        F.when(F.col("_lo").isNull() | F.col("_hi").isNull(), missed.cast("double"))
-        .otherwise(value).alias("quantile"),
+    ranks = [F.lit(p) * (F.col("_n") - 1) for p in probs]
+    found = ranked.groupBy(*group, "_n").agg(
+        *[at(F.floor(r)).alias(f"_lo{i}") for i, r in enumerate(ranks)],
+        *[at(F.ceil(r)).alias(f"_hi{i}") for i, r in enumerate(ranks)],
     )
+    missed = F.raise_error(F.lit("quantile outside its bracket; raise the accuracy")).cast("double")
+    results = []
+    for i, (p, r) in enumerate(zip(probs, ranks)):
+        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        exact = F.when(low.isNull() | high.isNull(), missed).otherwise(
+            low + (high - low) * (r - F.floor(r))
+        )
+        results.append(F.struct(F.lit(p).alias("prob"), exact.alias("quantile")))
+    return found.select(*group, F.inline(F.array(*results)))
 
 
 def quantile_table(

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from panelforge.binding import col
+from panelforge.session import by_group
 
 
 def _odd(x: float) -> int:
@@ -148,7 +149,7 @@ def stl(
         return pdf.assign(trend=trend, seasonal=season, resid=y - trend - season, weight=weight)
 
     rows = daily.select(*[col(k) for k in keys], col(date), col(value).cast("double").alias(value))
-    parts = rows.groupBy(*[col(k) for k in keys]).applyInPandas(run, schema)
+    parts = by_group(rows, keys).groupBy(*[col(k) for k in keys]).applyInPandas(run, schema)
     return parts.withColumns(
         {c: F.when(~F.isnan(c), F.col(c)) for c in ("trend", "seasonal", "resid", "weight")}
     )

@@ -13,7 +13,7 @@ from panelforge.operators.sampling import hash_split
 from panelforge.operators.windows import rank_by
 from panelforge.plans.panels import SERIES, nation_series
 from panelforge.plans.registry import R, events, query, rounded, table
-from panelforge.session import durable, side_by_side
+from panelforge.session import durable, side_by_side, spread_small
 from panelforge.sources import read_model, scratch_path, write_model
 
 KEY = ["n_name"]
@@ -303,7 +303,7 @@ def _supervised_lines(spark, d):
 
 
 def _fitted(spark, d):
-    rows = durable(_supervised_lines(spark, d))
+    rows = durable(spread_small(_supervised_lines(spark, d)))
     train = rows.where("is_train")
     booster = trees.boosting(**{**BOOSTS, "maxDepth": 5, "seed": 42}).fit(train)
     return rows, train, booster
@@ -311,7 +311,7 @@ def _fitted(spark, d):
 
 @query("ml_random_forest")
 def ml_random_forest(spark, d):
-    rows = _supervised_lines(spark, d)
+    rows = durable(spread_small(_supervised_lines(spark, d)))
     model = trees.forest(minInstancesPerNode=3, seed=42, **TOP_SPEED).fit(rows.where("is_train"))
     return model.transform(rows.where(~F.col("is_train"))).select("row_id", "label", "prediction")
 

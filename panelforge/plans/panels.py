@@ -197,10 +197,7 @@ def _supervised_sql() -> str:
 @query("ts_supervised", _supervised_sql())
 def ts_supervised(spark, d):
     out = ts.supervised(nation_series(spark, d), "price", ["n_name"])
-    stds = {f"rollstd{n}": F.round(F.col(f"rollstd{n}") + F.lit(3e-8), 4) + F.lit(0.0) for n in ts.WINDOWS}
-    return rounded(out.drop(*stds)).join(
-        out.select("n_name", "date", *[c.alias(n) for n, c in stds.items()]), ["n_name", "date"]
-    )
+    return rounded(out, **{f"rollstd{n}": 4 for n in ts.WINDOWS})
 
 
 @query("ts_decompose_classical", f"""
@@ -366,7 +363,7 @@ def cl_report(spark, d):
 
 
 def _feature_sql() -> str:
-    lagged = [f"lag(value, {k}) OVER {W} AS value_lag{k}" for k in (1, 2, 3, 7, 14)]
+    lagged = [R(f"lag(value, {k}) OVER {W}") + f" AS value_lag{k}" for k in (1, 2, 3, 7, 14)]
     return f"""SELECT event_id, {', '.join(lagged)}, {_rolling_sql()},
   {R(f'value - lag(value, 1) OVER {W}')} AS pressure_change_1d, {R(f'(value - lag(value, 7) OVER {W}) / 7')} AS pressure_trend_7d,
   {R(f'CASE WHEN count(value) OVER {RANGE} >= 3 THEN max(value) OVER {RANGE} - min(value) OVER {RANGE} END')} AS temp_range_7d,
@@ -380,9 +377,7 @@ def fe_feature_table(spark, d):
     )
     dropped = ("ts", "user_id", "event_type", "value", "props", "year", "quarter", "month", "week",
                "day", "is_weekend", "wind_category")
-    out = out.drop(*dropped)
-    lagged = [c for c in out.columns if "_lag" in c]
-    return rounded(out.drop(*lagged)).join(out.select("event_id", *lagged), "event_id")
+    return rounded(out.drop(*dropped))
 
 
 @query("wn_lag_long_series", "SELECT event_id, lag(value, 2) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS value_lag2 FROM events")

@@ -79,14 +79,15 @@ OBS = """obs AS (
 SHIFT = 3e-8
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
     """Round the doubles of a result for comparison.
 
     The small shift keeps exact halves, which engines round differently, off
-    the rounding boundary; adding zero removes negative zeros.
+    the rounding boundary; adding zero removes negative zeros. ``other`` gives
+    the digits of single columns.
     """
     fixes = {
-        n: F.round(col(n) + F.lit(SHIFT), digits) + F.lit(0.0)
+        n: F.round(col(n) + F.lit(SHIFT), other.get(n, digits)) + F.lit(0.0)
         for n, kind in df.dtypes
         if kind == "double"
     }

@@ -49,3 +49,28 @@ def side_by_side(tasks: Sequence[Callable[[], object]], most: int = 4) -> list:
     with ThreadPoolExecutor(most) as pool:
         started = [pool.submit(inheritable_thread_target(session)(task)) for task in tasks]
         return [s.result() for s in started]
+
+
+SMALL_BYTES = 64 * 1024 * 1024
+
+
+def by_group(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partition by the keys of a grouped Python function, which then needs no other shuffle.
+
+    Adaptive execution sizes partitions by bytes and would put many small but
+    slow groups into one task; a given number of partitions stays as it is. It
+    is twice the usual one, to even out the groups.
+    """
+    from panelforge.binding import col
+
+    n = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *[col(k) for k in keys])
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give all cores a share of a small table before a slow Python function.
+
+    A table above the size limit has partitions enough and is left alone.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
