@@ -11,8 +11,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforge.binding import Binding, col
-from panelforge.functions import regression_metric_columns, width_bin, zscore
-from panelforge.operators.quantiles import long_values, quantile_table
+from panelforge.functions import normal_tail, regression_metric_columns, width_bin, zscore
+from panelforge.operators.quantiles import exact_quantiles, long_values, quantile_table
+from panelforge.session import small_side
 
 
 def one_row(df: DataFrame, *columns: Column) -> Column:
@@ -186,8 +187,6 @@ def describe(df: DataFrame, columns: Sequence[str], first: int | None = None) ->
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    from panelforge.operators.quantiles import exact_quantiles
-
     q = exact_quantiles(df, [], measures, [0.25, 0.5, 0.75])
     quartiles = q.groupBy("measure").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
@@ -249,7 +248,7 @@ def box_stats(df: DataFrame, key: str, column: str, reach: float = 1.5) -> DataF
     iqr = F.col("q3") - F.col("q1")
     inside = c.between(F.col("q1") - reach * iqr, F.col("q3") + reach * iqr)
     return (
-        keyed(df, [key]).select(col(key), c).join(quartiles, key)
+        keyed(df, [key]).select(col(key), c).join(small_side(quartiles), key)
         .groupBy(col(key), "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, c)).alias("whisker_low"),
@@ -321,8 +320,6 @@ def linear_trend(
     df: DataFrame, keys: Sequence[str], y: str, x: Column, per: float = 365.25
 ) -> DataFrame:
     """Least-squares line per group: slope, slope per ``per`` units of x, R2 and p-value."""
-    from panelforge.functions import normal_tail
-
     rows = keyed(df, keys).select(
         *[col(k) for k in keys], col(y).cast("double").alias("_y"), x.cast("double").alias("_x")
     )

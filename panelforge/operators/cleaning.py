@@ -13,7 +13,7 @@ from panelforge.operators.filters import (
     PLAUSIBLE, Rules, drop_columns, keep_in_range, numeric_columns, require, rule_violations,
 )
 from panelforge.operators.quantiles import quantile_table
-from panelforge.session import durable
+from panelforge.session import durable, small_side
 
 
 def dedupe(df: DataFrame, b: Binding) -> DataFrame:
@@ -37,22 +37,21 @@ def dedupe(df: DataFrame, b: Binding) -> DataFrame:
 
 def impute_median(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], accuracy: int | None = None,
-    exact: bool = True, cut: bool = True,
+    exact: bool = True,
 ) -> DataFrame:
     """Fill numbers with the median of their series, then with the median over all rows.
 
     The second median is taken after the first fill. Both tables of medians are
-    small next to the rows; ``cut`` writes them down as they are found, so that
-    later steps do not compute them again.
+    small next to the rows and written down as they are found, so that later
+    steps do not compute them again.
     """
-    keep = durable if cut else lambda table: table
-    medians = keep(quantile_table(
+    medians = small_side(quantile_table(
         df, keys, {f"_m{i}": (col(c), 0.5) for i, c in enumerate(columns)}, accuracy, exact
     ))
     filled = df.join(medians, list(keys), "left").withColumns(
         {c: F.coalesce(col(c), F.col(f"_m{i}")) for i, c in enumerate(columns)}
     ).select(*[col(c) for c in df.columns])
-    overall = keep(quantile_table(
+    overall = durable(quantile_table(
         filled, [], {f"_m{i}": (col(c), 0.5) for i, c in enumerate(columns)}, accuracy, exact
     ))
     m = overall.select(F.struct(*[F.col(f"_m{i}") for i in range(len(columns))])).scalar()
@@ -180,7 +179,7 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
 def encode_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add ``<column>_encoded`` for each column."""
     for c in columns:
-        codes = label_codes(df, c).withColumnRenamed("code", f"{c}_encoded")
+        codes = small_side(label_codes(df, c).withColumnRenamed("code", f"{c}_encoded"))
         text = F.coalesce(col(c).cast("string"), F.lit("nan"))
         df = df.withColumn("label", text).join(codes, "label", "left").drop("label")
     return df
@@ -212,7 +211,7 @@ def clean_panel(
     rows = require(keep_in_range(rows, rules), required)
     if cut:
         rows = durable(rows)
-    rows = impute_mode(impute_median(rows, b.key, numeric, cut=cut), text, cut=cut)
+    rows = impute_mode(impute_median(rows, b.key, numeric), text, cut=cut)
     return winsorize(rows, cap, cut=cut, multiplier=multiplier, hard=rules)
 
 

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.binding import col
+from panelforge.session import small_side
 
 ACCURACY = 10_000
 
@@ -60,7 +61,9 @@ def exact_quantiles(
         F.count("*").alias("_n"),
         F.percentile_approx("value", edges, F.lit(accuracy)).alias("_edges"),
     )
-    brackets = sketch.select(*group, "_n", *[F.col("_edges")[i].alias(f"_e{i}") for i in range(len(edges))])
+    brackets = small_side(
+        sketch.select(*group, "_n", *[F.col("_edges")[i].alias(f"_e{i}") for i in range(len(edges))])
+    )
 
     value = F.col("value")
     inside = F.col("_n") <= 2 * accuracy

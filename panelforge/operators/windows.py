@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from panelforge.binding import Binding, col, quoted
+from panelforge.binding import Binding, col
+from panelforge.session import small_side
 
 Exprs = Callable[[WindowSpec], dict[str, Column]]
 
@@ -25,9 +26,10 @@ def over_series(
 ) -> DataFrame:
     """Add the window columns ``make(window)``, which look at most ``back`` rows back.
 
-    Series with more than ``hot_rows`` rows are cut into blocks; rows without a
-    key belong to no series and get NULL. ``hot_rows=None`` promises that there
-    are no such series and saves the counting pass.
+    The rows per series are counted first. Series with more than ``hot_rows``
+    rows are cut into blocks; if there are none, the plan is the plain window.
+    Rows without a key belong to no series and get NULL. ``hot_rows=None``
+    promises that there are no long series and saves the count.
     """
     keys = [col(k) for k in b.key]
     keyless = F.lit(False)
@@ -36,38 +38,39 @@ def over_series(
     rows = df.where(~keyless)
     plain = Window.partitionBy(*keys).orderBy(*b.order())
 
-    if hot_rows is None:
+    hot = None if hot_rows is None else _long_series(rows, b, hot_rows)
+    if hot is None:
         done = rows.withColumns(make(plain))
     else:
-        hot = _long_series(rows, b, hot_rows)
         key_names = list(b.key)
-        # The list of long series has at most rows / hot_rows entries. AQE
-        # broadcasts it when its measured size allows and shuffles otherwise.
-        cold = rows.join(hot.select(*keys), key_names, "left_anti")
+        cold = rows.join(hot.select(*keys), key_names, "left_anti").withColumns(make(plain))
         blocks = _blocks(rows.join(hot, key_names), b, back, max(hot_rows, back))
         block = Window.partitionBy(*keys, "_block").orderBy("_pos")
         long = blocks.withColumns(make(block)).where(~F.col("_halo"))
-        done = cold.withColumns(make(plain))
-        done = done.unionByName(long.select(*[col(c) for c in done.columns]))
+        done = cold.unionByName(long.select(*[col(c) for c in cold.columns]))
 
     added = [f for f in done.schema.fields if f.name not in df.columns]
     nothing = {f.name: F.lit(None).cast(f.dataType) for f in added}
     return done.unionByName(df.where(keyless).withColumns(nothing))
 
 
-def _long_series(df: DataFrame, b: Binding, hot_rows: int) -> DataFrame:
+def _long_series(df: DataFrame, b: Binding, hot_rows: int) -> DataFrame | None:
     """Series with more rows than ``hot_rows``, and the width of a slot of time for each.
 
-    Slots are narrow enough to hold about a quarter of ``hot_rows`` rows on average.
+    Slots are narrow enough to hold about a quarter of ``hot_rows`` rows on
+    average. There are at most ``rows / hot_rows`` such series.
     """
     micros = F.unix_micros(col(b.ts).cast("timestamp"))
     stats = df.groupBy(*[col(k) for k in b.key]).agg(
         F.count("*").alias("_n"), F.min(micros).alias("_t0"), F.max(micros).alias("_t1")
     )
     width = F.ceil((F.col("_t1") - F.col("_t0") + 1) * (hot_rows / 4) / F.col("_n"))
-    return stats.where(F.col("_n") > hot_rows).select(
-        *[col(k) for k in b.key], "_t0", F.greatest(width, F.lit(1)).alias("_width")
+    hot = small_side(
+        stats.where(F.col("_n") > hot_rows).select(
+            *[col(k) for k in b.key], "_t0", F.greatest(width, F.lit(1)).alias("_width")
+        )
     )
+    return None if hot.isEmpty() else hot
 
 
 def _blocks(df: DataFrame, b: Binding, back: int, block_rows: int) -> DataFrame:
@@ -83,7 +86,7 @@ def _blocks(df: DataFrame, b: Binding, back: int, block_rows: int) -> DataFrame:
     slotted = df.withColumn("_slot", slot).drop("_t0", "_width")
 
     earlier = Window.partitionBy(*[col(k) for k in keys]).orderBy("_slot")
-    offsets = (
+    offsets = small_side(
         slotted.groupBy(*[col(k) for k in keys], "_slot")
         .agg(F.count("*").alias("_rows"))
         .withColumn("_before", F.sum("_rows").over(earlier) - F.col("_rows"))

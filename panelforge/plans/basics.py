@@ -264,6 +264,16 @@ def jn_unmatched_anti(spark, d):
     return joins.unmatched(counts, shapes, name, "shape")
 
 
+@query("jn_keep_listed", """
+SELECT o_orderkey FROM orders WHERE o_orderpriority IN (
+  SELECT o_orderpriority FROM orders GROUP BY 1 HAVING avg(o_totalprice) > (SELECT avg(o_totalprice) FROM orders))""")
+def jn_keep_listed(spark, d):
+    orders = table(spark, d, "orders")
+    means = orders.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("m"))
+    costly = means.where(F.col("m") > orders.agg(F.avg("o_totalprice")).scalar())
+    return joins.keep_listed(orders, costly.select("o_orderpriority"), "o_orderpriority").select("o_orderkey")
+
+
 @query("fe_calendar", f"""
 WITH {OBS} SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year,
   CAST(quarter(o_orderdate) AS INTEGER) AS quarter, CAST(month(o_orderdate) AS INTEGER) AS month,

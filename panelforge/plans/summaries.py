@@ -8,7 +8,7 @@ from panelforge.binding import col
 from panelforge.functions import bin_interval, code_labels, prefix_group
 from panelforge.functions.lookup import EPA_LEVELS
 from panelforge.operators import aggregates as agg
-from panelforge.operators import features, sampling, windows
+from panelforge.operators import features, joins, sampling, windows
 from panelforge.operators.quantiles import quantile_table
 from panelforge.plans.registry import (
     EVENTS, HOLEY, OBS, ORDERS, R, events, holey, observations, query, rounded, table,
@@ -65,7 +65,7 @@ def agg_mean_of_means(spark, d):
         F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"),
         F.col("o_totalprice").alias("price"),
     )
-    balanced = df.join(agg.common_values(df, "month", "year"), "month", "left_semi")
+    balanced = joins.keep_listed(df, agg.common_values(df, "month", "year"), "month")
     return rounded(agg.mean_of_means(balanced, "year", "month", {"price": "price"}))
 
 

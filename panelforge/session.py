@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: int | str = 8, app: str = "panelforge", **conf: str) -> SparkSession:
@@ -74,3 +74,25 @@ def spread_small(df: DataFrame) -> DataFrame:
     """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
+def _bytes(text: str) -> int:
+    """Size of a setting such as ``10485760b``, ``10MB`` or ``-1``."""
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    digits = text.strip().lower().rstrip("b")
+    shift = units.get(digits[-1:], 0)
+    return int(digits[:-1] if shift else digits) << shift
+
+
+def small_side(table: DataFrame) -> DataFrame:
+    """An aggregate about to be joined to many rows, broadcast if its measured size allows.
+
+    The planner takes an aggregate to be as large as its input and would
+    shuffle the many rows to meet it. So the aggregate is written down and
+    counted first; above the broadcast limit of the session it is joined by a
+    shuffle, where adaptive execution splits skewed keys.
+    """
+    kept = durable(table)
+    limit = _bytes(table.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    size = kept.count() * (kept._jdf.schema().defaultSize() + 16)
+    return F.broadcast(kept) if size <= limit else kept
