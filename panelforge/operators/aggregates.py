@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelforge.binding import Binding, col
 from panelforge.functions import normal_tail, regression_metric_columns, width_bin, zscore
 from panelforge.operators.quantiles import exact_quantiles, long_values, quantile_table
-from panelforge.session import small_side
+from panelforge.session import durable
 
 
 def one_row(df: DataFrame, *columns: Column) -> Column:
@@ -248,7 +248,7 @@ def box_stats(df: DataFrame, key: str, column: str, reach: float = 1.5) -> DataF
     iqr = F.col("q3") - F.col("q1")
     inside = c.between(F.col("q1") - reach * iqr, F.col("q3") + reach * iqr)
     return (
-        keyed(df, [key]).select(col(key), c).join(small_side(quartiles), key)
+        keyed(df, [key]).select(col(key), c).join(durable(quartiles), key)
         .groupBy(col(key), "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, c)).alias("whisker_low"),

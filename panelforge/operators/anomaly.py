@@ -229,15 +229,17 @@ def dbscan_noise(
         F.when(F.col("_at_least") >= min_samples, "core")
         .when(F.col("_at_most") < min_samples, "sparse").otherwise("open").alias("_state"),
     )
-    thin = points.join(state, "_cell")
+    thin = points.join(durable(state), "_cell")
     open_points = thin.where(F.col("_state") == "open").select(*ids, "_x", "_cell", "_at_least")
     edges = pairs.where(~F.col("_inside")).select("_cell", "_other")
     others = points.select(F.col("_cell").alias("_other"), F.col("_x").alias("_y"))
     distance = F.aggregate(
         F.zip_with("_x", "_y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v
     )
+    open_edges = open_points.join(edges, "_cell")
+    needed = durable(open_edges.select("_other").distinct())
     counted = (
-        open_points.join(edges, "_cell").join(others, "_other")
+        open_edges.join(others.join(needed, "_other", "left_semi"), "_other")
         .where(distance <= eps * eps)
         .groupBy(*[col(c) for c in ids]).agg(F.count("*").alias("_close"))
     )

@@ -13,7 +13,7 @@ from panelforge.operators.filters import (
     PLAUSIBLE, Rules, drop_columns, keep_in_range, numeric_columns, require, rule_violations,
 )
 from panelforge.operators.quantiles import quantile_table
-from panelforge.session import durable, small_side
+from panelforge.session import durable
 
 
 def dedupe(df: DataFrame, b: Binding) -> DataFrame:
@@ -45,7 +45,7 @@ def impute_median(
     small next to the rows and written down as they are found, so that later
     steps do not compute them again.
     """
-    medians = small_side(quantile_table(
+    medians = durable(quantile_table(
         df, keys, {f"_m{i}": (col(c), 0.5) for i, c in enumerate(columns)}, accuracy, exact
     ))
     filled = df.join(medians, list(keys), "left").withColumns(
@@ -179,7 +179,7 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
 def encode_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add ``<column>_encoded`` for each column."""
     for c in columns:
-        codes = small_side(label_codes(df, c).withColumnRenamed("code", f"{c}_encoded"))
+        codes = durable(label_codes(df, c).withColumnRenamed("code", f"{c}_encoded"))
         text = F.coalesce(col(c).cast("string"), F.lit("nan"))
         df = df.withColumn("label", text).join(codes, "label", "left").drop("label")
     return df

@@ -16,7 +16,7 @@ from panelforge.functions import zscore
 from panelforge.operators.aggregates import group_means, one_row
 from panelforge.operators.trees import assemble
 from panelforge.operators.windows import rank_by
-from panelforge.session import durable, side_by_side, small_side
+from panelforge.session import durable, side_by_side
 
 
 def fill_and_scale(df: DataFrame, features: Sequence[str]) -> dict[str, Column]:
@@ -53,7 +53,7 @@ def rank_clusters(df: DataFrame, by: str, name: str = "cluster") -> DataFrame:
     ranks = rank_by(means, [F.asc("_mean"), col(name)], "_rank").select(
         col(name), (F.col("_rank") - 1).cast("int").alias("_rank")
     )
-    out = df.join(small_side(ranks), name).withColumn(name, F.col("_rank")).drop("_rank")
+    out = df.join(durable(ranks), name).withColumn(name, F.col("_rank")).drop("_rank")
     return out.select(*[col(c) for c in df.columns])
 
 

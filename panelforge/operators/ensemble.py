@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.binding import col
 from panelforge.operators.aggregates import regression_metrics
@@ -18,6 +18,13 @@ from panelforge.operators.windows import top_per_group
 from panelforge.session import by_group, durable
 
 TOP = 3
+TIE_DIGITS = 6
+
+
+def by_rmse() -> list[Column]:
+    """Order of models: RMSE, then name. Errors equal to six decimals tie, so that the
+    order in which an engine adds up the same errors does not decide a ranking."""
+    return [F.round("rmse", TIE_DIGITS), F.col("model")]
 
 
 def split(
@@ -46,7 +53,7 @@ def blend_rmse(marked: DataFrame, keys: Sequence[str]) -> DataFrame:
 def select_top(marked: DataFrame, keys: Sequence[str], n: int = TOP) -> DataFrame:
     """Best models of each key by RMSE on the blend window, with inverse-RMSE weights."""
     best = top_per_group(
-        blend_rmse(marked, keys), keys, [F.asc("rmse"), F.asc("model")], n, rank="rank"
+        blend_rmse(marked, keys), keys, by_rmse(), n, rank="rank"
     )
     inverse = 1 / F.greatest(F.col("rmse"), F.lit(1e-12))
     total = F.sum(inverse).over(Window.partitionBy(*[col(k) for k in keys]))
@@ -130,13 +137,13 @@ def evaluate(
 
 def leaderboard(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Models of each key ranked by RMSE."""
-    w = Window.partitionBy(*[col(k) for k in keys]).orderBy("rmse", "model")
+    w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*by_rmse())
     return metrics.withColumn("rank", F.row_number().over(w))
 
 
 def best_model(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Model with the lowest RMSE per key."""
-    best = F.min(F.struct("rmse", "model", "n"))
+    best = F.min_by(F.struct("rmse", "model", "n"), F.struct(*by_rmse()))
     return metrics.groupBy(*[col(k) for k in keys]).agg(best.alias("_b")).select(
         *[col(k) for k in keys], F.col("_b.model").alias("best_model"),
         F.col("_b.rmse").alias("rmse"), F.col("_b.n").alias("eval_days"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelforge.binding import col
 from panelforge.functions.missing import in_range, violations
 from panelforge.operators.aggregates import to_long
-from panelforge.session import small_side
+from panelforge.session import durable
 
 # Twin columns in other units, not needed next to the metric ones.
 REDUNDANT = (
@@ -123,6 +123,6 @@ def after_cutoff(
 
     ``cutoff`` holds one row ``(series..., cutoff)`` per series.
     """
-    later = df.join(small_side(cutoff), list(series)).where(col(ts) > F.col("cutoff")).drop("cutoff")
+    later = df.join(durable(cutoff), list(series)).where(col(ts) > F.col("cutoff")).drop("cutoff")
     w = Window.partitionBy(*[col(s) for s in series]).orderBy(col(ts))
     return later.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= horizon).drop("_r")

@@ -1,7 +1,7 @@
 """Joins against lookup tables and statistics.
 
 Tables from files carry their size, so the planner broadcasts small ones by
-itself. Aggregates do not; they go through ``small_side``, which measures them.
+itself. Aggregates do not; they are written down first (see ``durable``).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforge.binding import col
-from panelforge.session import small_side
+from panelforge.session import durable
 
 
 def lookup_join(
@@ -27,12 +27,12 @@ def lookup_join(
 def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
     """Group statistics on every row: aggregate first, then join, so no group meets in one task."""
     table = df.groupBy(*[col(k) for k in keys]).agg(*[c.alias(n) for n, c in stats.items()])
-    return df.join(small_side(table), list(keys), "left")
+    return df.join(durable(table), list(keys), "left")
 
 
 def keep_listed(df: DataFrame, listed: DataFrame, on: str) -> DataFrame:
     """Rows whose value is among those that an earlier query found."""
-    return df.join(small_side(listed), on, "left_semi")
+    return df.join(durable(listed), on, "left_semi")
 
 
 def alias_join(

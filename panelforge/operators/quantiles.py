@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.binding import col
-from panelforge.session import small_side
+from panelforge.session import durable
 
 ACCURACY = 10_000
 
@@ -42,38 +42,64 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles: ``(keys..., measure, prob, quantile)``.
 
-    A sketch of ``accuracy`` is off by at most ``n / accuracy`` ranks, so twice
-    that on either side of a quantile surely holds its neighbours. In a second
-    pass the values inside the brackets are counted one by one and all values
-    between two brackets as one entry; running sums over these few entries give
-    the ranks. Groups of at most ``2 * accuracy`` rows are inside as a whole.
-    The query fails, rather than being wrong, should a bracket ever miss its
-    quantile.
+    A sketch per group comes first. Groups of at most ``2 * accuracy`` rows then
+    fit into a task and use ``percentile``; larger ones go through brackets.
     """
     rows = long_values(df, keys, measures)
     for k in keys:
         rows = rows.where(col(k).isNotNull())
     names = [*keys, "measure"]
     group = [col(g) for g in names]
-    probs = list(probs)
     edges = [min(1.0, max(0.0, p + side * 2.0 / accuracy)) for p in probs for side in (-1, 1)]
     sketch = rows.groupBy(*group).agg(
         F.count("*").alias("_n"),
         F.percentile_approx("value", edges, F.lit(accuracy)).alias("_edges"),
     )
-    brackets = small_side(
+    brackets = durable(
         sketch.select(*group, "_n", *[F.col("_edges")[i].alias(f"_e{i}") for i in range(len(edges))])
     )
+    small = F.col("_n") <= 2 * accuracy
+    sizes = brackets.agg(F.bool_or(small).alias("small"), F.bool_or(~small).alias("large")).first()
+    if not sizes.large:
+        return _percentiles(rows, names, probs)
+    large = _bracketed(rows, brackets.where(~small), names, probs)
+    if not sizes.small:
+        return large
+    few = rows.join(brackets.where(small).select(*group), names, "left_semi")
+    return _percentiles(few, names, probs).unionByName(large)
+
+
+def _percentiles(rows: DataFrame, names: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    found = rows.groupBy(*[col(g) for g in names]).agg(
+        F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("_q")
+    )
+    results = [
+        F.struct(F.lit(p).alias("prob"), F.col("_q")[i].alias("quantile"))
+        for i, p in enumerate(probs)
+    ]
+    return found.select(*[col(g) for g in names], F.inline(F.array(*results)))
+
+
+def _bracketed(
+    rows: DataFrame, brackets: DataFrame, names: Sequence[str], probs: Sequence[float]
+) -> DataFrame:
+    """Quantiles of groups too large for one task.
 
+    A sketch is off by at most ``n / accuracy`` ranks, so twice that on either
+    side of a quantile surely holds its neighbours. The values inside these
+    brackets are counted one by one and all values between two brackets as one
+    entry; running sums over these few entries give the ranks. The query fails,
+    rather than being wrong, should a bracket ever miss its quantile.
+    """
+    group = [col(g) for g in names]
     value = F.col("value")
-    inside = F.col("_n") <= 2 * accuracy
+    inside = F.lit(False)
     for i in range(len(probs)):
         inside = inside | value.between(F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}"))
-    passed = [F.when(F.col(f"_e{i}") < value, F.col(f"_e{i}")) for i in range(len(edges))]
-    below_all = F.lit(float("-inf"))
-    entry = F.when(inside, value).otherwise(F.greatest(below_all, *passed))
+    passed = [F.when(F.col(f"_e{i}") < value, F.col(f"_e{i}")) for i in range(2 * len(probs))]
+    entry = F.when(inside, value).otherwise(F.greatest(F.lit(float("-inf")), *passed))
     counts = (
-        rows.join(brackets, names)
+        rows.join(brackets, list(names))
         .select(*group, "_n", entry.alias("_v"), (~inside).alias("_between"))
         .groupBy(*group, "_n", "_v", "_between").agg(F.count("*").alias("_c"))
     )

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from panelforge.binding import Binding, col
-from panelforge.session import small_side
+from panelforge.session import durable
 
 Exprs = Callable[[WindowSpec], dict[str, Column]]
 
@@ -65,7 +65,7 @@ def _long_series(df: DataFrame, b: Binding, hot_rows: int) -> DataFrame | None:
         F.count("*").alias("_n"), F.min(micros).alias("_t0"), F.max(micros).alias("_t1")
     )
     width = F.ceil((F.col("_t1") - F.col("_t0") + 1) * (hot_rows / 4) / F.col("_n"))
-    hot = small_side(
+    hot = durable(
         stats.where(F.col("_n") > hot_rows).select(
             *[col(k) for k in b.key], "_t0", F.greatest(width, F.lit(1)).alias("_width")
         )
@@ -86,7 +86,7 @@ def _blocks(df: DataFrame, b: Binding, back: int, block_rows: int) -> DataFrame:
     slotted = df.withColumn("_slot", slot).drop("_t0", "_width")
 
     earlier = Window.partitionBy(*[col(k) for k in keys]).orderBy("_slot")
-    offsets = small_side(
+    offsets = durable(
         slotted.groupBy(*[col(k) for k in keys], "_slot")
         .agg(F.count("*").alias("_rows"))
         .withColumn("_before", F.sum("_rows").over(earlier) - F.col("_rows"))

@@ -224,7 +224,7 @@ def fc_all_models(spark, d):
 MARKED = f"""{BASE}, ranked AS (SELECT *, dense_rank() OVER (PARTITION BY n_name ORDER BY date) AS dr FROM preds),
 marked AS (SELECT *, dr <= floor(max(dr) OVER (PARTITION BY n_name) / 3) AS is_blend FROM ranked),
 err AS (SELECT n_name, model, sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse FROM marked WHERE is_blend GROUP BY 1, 2),
-topm AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY rmse, model) AS rank FROM err QUALIFY rank <= 3),
+topm AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY round(rmse, 6), model) AS rank FROM err QUALIFY rank <= 3),
 w AS (SELECT *, (1 / rmse) / sum(1 / rmse) OVER (PARTITION BY n_name) AS weight FROM topm),
 vote AS (SELECT m.n_name, m.date, any_value(m.y_true) AS y_true, avg(m.y_pred) AS y_pred FROM marked m JOIN w
   ON m.n_name = w.n_name AND m.model = w.model WHERE NOT is_blend GROUP BY 1, 2),
@@ -268,14 +268,14 @@ def en_stacking(spark, d):
 
 
 @query("en_model_leaderboard", f"""{MARKED} SELECT n_name, model, mae, rmse, mape, r2, n,
-  CAST(row_number() OVER (PARTITION BY n_name ORDER BY exact, model) AS INTEGER) AS rank FROM scores""")
+  CAST(row_number() OVER (PARTITION BY n_name ORDER BY round(exact, 6), model) AS INTEGER) AS rank FROM scores""")
 def en_model_leaderboard(spark, d):
     metrics = ensemble.evaluate(_marked(spark, d), KEY, stack=False)
     return rounded(ensemble.leaderboard(metrics, KEY))
 
 
 @query("en_best_model", f"""{MARKED} SELECT n_name, model AS best_model, rmse, n AS eval_days FROM scores
-  QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY exact, model) = 1""")
+  QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY round(exact, 6), model) = 1""")
 def en_best_model(spark, d):
     metrics = ensemble.evaluate(_marked(spark, d), KEY, stack=False)
     return rounded(ensemble.best_model(metrics, KEY))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "panelforge", **conf: str) -> SparkSession:
@@ -28,19 +29,33 @@ def local_session(cores: int | str = 8, app: str = "panelforge", **conf: str) ->
     return builder.getOrCreate()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of the cluster.
+
+    The folder comes from ``spark.checkpoint.dir``; only a session without one
+    (a test) gets a temporary folder.
+    """
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    base = base or tempfile.mkdtemp(prefix="panelforge-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder of the cluster and read it back.
+    """Write ``df`` to the shared folder of the cluster and read it back.
+
+    Cuts the lineage, survives the loss of executors, and lets later passes
+    read only the columns they need.
 
-    The copy survives the loss of executors. The folder comes from
-    ``spark.checkpoint.dir``; only a session without one (a test) gets a
-    temporary folder.
+    Also used for an aggregate that is about to be joined to many rows. The
+    planner takes an aggregate to be as large as its input and would shuffle
+    the many rows to meet it; of the written copy it knows the size. It
+    broadcasts the copy if that is below the limit of the session, and joins by
+    a shuffle otherwise, where adaptive execution splits skewed keys.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="panelforge-"))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "durable")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def side_by_side(tasks: Sequence[Callable[[], object]], most: int = 4) -> list:
@@ -74,25 +89,3 @@ def spread_small(df: DataFrame) -> DataFrame:
     """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
-
-
-def _bytes(text: str) -> int:
-    """Size of a setting such as ``10485760b``, ``10MB`` or ``-1``."""
-    units = {"k": 10, "m": 20, "g": 30, "t": 40}
-    digits = text.strip().lower().rstrip("b")
-    shift = units.get(digits[-1:], 0)
-    return int(digits[:-1] if shift else digits) << shift
-
-
-def small_side(table: DataFrame) -> DataFrame:
-    """An aggregate about to be joined to many rows, broadcast if its measured size allows.
-
-    The planner takes an aggregate to be as large as its input and would
-    shuffle the many rows to meet it. So the aggregate is written down and
-    counted first; above the broadcast limit of the session it is joined by a
-    shuffle, where adaptive execution splits skewed keys.
-    """
-    kept = durable(table)
-    limit = _bytes(table.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
-    size = kept.count() * (kept._jdf.schema().defaultSize() + 16)
-    return F.broadcast(kept) if size <= limit else kept

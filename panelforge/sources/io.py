@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from panelforge.binding import col
 from panelforge.functions.dates import parse_ts
 from panelforge.functions.missing import nan_to_null
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster, or a temporary one in tests."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    base = base or tempfile.mkdtemp(prefix="panelforge-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from panelforge.session import scratch_path
 
 
 def read_parquet(spark: SparkSession, path: str, floats_may_be_nan: bool = False) -> DataFrame:
@@ -85,12 +77,3 @@ def write_model(model, path: str) -> str:
 def read_model(spark: SparkSession, path: str, kind=None):
     """Load what :func:`write_model` saved; ``kind`` is the MLlib model class."""
     return spark.read.parquet(path) if kind is None else kind.load(path)
-
-
-def metric_schema(keys: Sequence[str]) -> str:
-    """Schema of flat metric rows, the report format of this package."""
-    return ", ".join([*[f"`{k}` string" for k in keys], "metric string", "value double"])
-
-
-def with_source(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn("source", F.lit(name))
