@@ -165,17 +165,17 @@ anom AS (SELECT f.n_name, f.date, f.price, b.baseline, f.price - b.baseline AS a
 
 
 @query("ts_climatology_anomaly", f"""
-{CLIM} SELECT n_name, date, {R('price')} AS price, {R('baseline')} AS baseline, {R('anomaly')} AS anomaly FROM anom""")
+{CLIM} SELECT n_name, date, {R('price', 3)} AS price, {R('baseline', 3)} AS baseline, {R('anomaly', 3)} AS anomaly FROM anom""")
 def ts_climatology_anomaly(spark, d):
     out = ts.anomalies(nation_series(spark, d), "price", ["n_name"])
-    return rounded(out.select("n_name", "date", "price", "baseline", "anomaly"))
+    return rounded(out.select("n_name", "date", "price", "baseline", "anomaly"), 3)
 
 
 @query("ts_anomaly_extremes", f"""
-{CLIM} (SELECT 'max' AS kind, date, {R('anomaly')} AS anomaly FROM anom ORDER BY anom.anomaly DESC, date LIMIT 1)
-UNION ALL (SELECT 'min', date, {R('anomaly')} FROM anom ORDER BY anom.anomaly, date LIMIT 1)""")
+{CLIM} (SELECT 'max' AS kind, date, {R('anomaly', 3)} AS anomaly FROM anom ORDER BY anom.anomaly DESC, date LIMIT 1)
+UNION ALL (SELECT 'min', date, {R('anomaly', 3)} FROM anom ORDER BY anom.anomaly, date LIMIT 1)""")
 def ts_anomaly_extremes(spark, d):
-    return rounded(extremes(ts.anomalies(nation_series(spark, d), "price", ["n_name"]), "anomaly", "date"))
+    return rounded(extremes(ts.anomalies(nation_series(spark, d), "price", ["n_name"]), "anomaly", "date"), 3)
 
 
 def _supervised_sql() -> str:
@@ -206,11 +206,11 @@ def ts_supervised(spark, d):
   WINDOW w AS (PARTITION BY n_name ORDER BY date ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)),
 ph AS (SELECT n_name, i % 365 AS phase, avg(price - trend) AS s FROM t GROUP BY 1, 2),
 c AS (SELECT n_name, phase, s - avg(s) OVER (PARTITION BY n_name) AS seasonal FROM ph)
-SELECT t.n_name, date, {R("price", 4)} AS price, {R("trend", 4)} AS trend, {R("seasonal", 4)} AS seasonal,
-  {R("price - trend - seasonal", 4)} AS resid FROM t JOIN c ON t.n_name = c.n_name AND i % 365 = phase""")
+SELECT t.n_name, date, {R("price", 3)} AS price, {R("trend", 3)} AS trend, {R("seasonal", 3)} AS seasonal,
+  {R("price - trend - seasonal", 3)} AS resid FROM t JOIN c ON t.n_name = c.n_name AND i % 365 = phase""")
 def ts_decompose_classical(spark, d):
     out = ts.classical_decomposition(nation_series(spark, d), "price", 365, ["n_name"])
-    return rounded(out.select("n_name", "date", "price", "trend", "seasonal", "resid"), 4)
+    return rounded(out.select("n_name", "date", "price", "trend", "seasonal", "resid"), 3)
 
 
 @query("ts_stl")
