@@ -42,31 +42,26 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles: ``(keys..., measure, prob, quantile)``.
 
-    A sketch per group comes first. Groups of at most ``2 * accuracy`` rows then
-    fit into a task and use ``percentile``; larger ones go through brackets.
+    The values per group are counted first. Groups of at most ``2 * accuracy``
+    values fit into a task and use ``percentile``; larger ones go through
+    brackets.
     """
     rows = long_values(df, keys, measures)
     for k in keys:
         rows = rows.where(col(k).isNotNull())
     names = [*keys, "measure"]
-    group = [col(g) for g in names]
-    edges = [min(1.0, max(0.0, p + side * 2.0 / accuracy)) for p in probs for side in (-1, 1)]
-    sketch = rows.groupBy(*group).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("value", edges, F.lit(accuracy)).alias("_edges"),
-    )
-    brackets = durable(
-        sketch.select(*group, "_n", *[F.col("_edges")[i].alias(f"_e{i}") for i in range(len(edges))])
-    )
-    small = F.col("_n") <= 2 * accuracy
-    sizes = brackets.agg(F.bool_or(small).alias("small"), F.bool_or(~small).alias("large")).first()
-    if not sizes.large:
+    counts = rows.groupBy(*[col(g) for g in names]).agg(F.count("*").alias("_n"))
+    sizes = counts.agg(F.min("_n").alias("least"), F.max("_n").alias("most")).first()
+    limit = 2 * accuracy
+    if sizes.most is None or sizes.most <= limit:
         return _percentiles(rows, names, probs)
-    large = _bracketed(rows, brackets.where(~small), names, probs)
-    if not sizes.small:
-        return large
-    few = rows.join(brackets.where(small).select(*group), names, "left_semi")
-    return _percentiles(few, names, probs).unionByName(large)
+    if sizes.least > limit:
+        return _bracketed(rows, names, probs, accuracy)
+    # At most values / limit groups are large.
+    large = durable(counts.where(F.col("_n") > limit).select(*[col(g) for g in names]))
+    few = rows.join(large, names, "left_anti")
+    many = rows.join(large, names, "left_semi")
+    return _percentiles(few, names, probs).unionByName(_bracketed(many, names, probs, accuracy))
 
 
 def _percentiles(rows: DataFrame, names: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -81,7 +76,7 @@ def _percentiles(rows: DataFrame, names: Sequence[str], probs: Sequence[float])
 
 
 def _bracketed(
-    rows: DataFrame, brackets: DataFrame, names: Sequence[str], probs: Sequence[float]
+    rows: DataFrame, names: Sequence[str], probs: Sequence[float], accuracy: int
 ) -> DataFrame:
     """Quantiles of groups too large for one task.
 
@@ -92,6 +87,14 @@ def _bracketed(
     rather than being wrong, should a bracket ever miss its quantile.
     """
     group = [col(g) for g in names]
+    edges = [min(1.0, max(0.0, p + side * 2.0 / accuracy)) for p in probs for side in (-1, 1)]
+    sketch = rows.groupBy(*group).agg(
+        F.count("*").alias("_n"),
+        F.percentile_approx("value", edges, F.lit(accuracy)).alias("_edges"),
+    )
+    brackets = durable(
+        sketch.select(*group, "_n", *[F.col("_edges")[i].alias(f"_e{i}") for i in range(len(edges))])
+    )
     value = F.col("value")
     inside = F.lit(False)
     for i in range(len(probs)):
