@@ -20,7 +20,24 @@ def to_ntz(ts: Column) -> Column:
 
 def parse_ts(text: Column, fmt: str | None = None) -> Column:
     """Lenient parse: text that is no timestamp becomes NULL."""
-    return to_ntz(F.try_to_timestamp(text, F.lit(fmt)) if fmt else F.try_to_timestamp(text))
+    return to_ntz(F.try_to_timestamp(text, F.lit(fmt))) if fmt else text.try_cast("timestamp_ntz")
+
+
+def epoch_micros(ts: Column, kind: str) -> Column:
+    """Microseconds since 1970 in the order of ``ts``, whatever the zone of the session.
+
+    A zone-less timestamp is taken apart, since a cast to a zoned one would
+    fold hours around the change of clocks. ``kind`` is the Spark type name;
+    numbers stand for themselves.
+    """
+    if kind == "timestamp":
+        return F.unix_micros(ts)
+    if kind == "date":
+        return F.unix_date(ts).cast("long") * 86_400_000_000
+    if kind == "timestamp_ntz":
+        whole = F.unix_date(F.to_date(ts)).cast("long") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+        return whole * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return ts.cast("long")
 
 
 def season(ts: Column, latitude: Column) -> Column:

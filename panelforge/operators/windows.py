@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from panelforge.binding import Binding, col
+from panelforge.functions.dates import epoch_micros
 from panelforge.session import durable
 
 Exprs = Callable[[WindowSpec], dict[str, Column]]
@@ -60,7 +61,7 @@ def _long_series(df: DataFrame, b: Binding, hot_rows: int) -> DataFrame | None:
     Slots are narrow enough to hold about a quarter of ``hot_rows`` rows on
     average. There are at most ``rows / hot_rows`` such series.
     """
-    micros = F.unix_micros(col(b.ts).cast("timestamp"))
+    micros = epoch_micros(col(b.ts), dict(df.dtypes)[b.ts])
     stats = df.groupBy(*[col(k) for k in b.key]).agg(
         F.count("*").alias("_n"), F.min(micros).alias("_t0"), F.max(micros).alias("_t1")
     )
@@ -80,7 +81,7 @@ def _blocks(df: DataFrame, b: Binding, back: int, block_rows: int) -> DataFrame:
     all earlier slots, so no task sorts more than a slot or a block.
     """
     keys = list(b.key)
-    micros = F.unix_micros(col(b.ts).cast("timestamp"))
+    micros = epoch_micros(col(b.ts), dict(df.dtypes)[b.ts])
     last = F.lit(2**62)
     slot = F.coalesce(F.floor((micros - F.col("_t0")) / F.col("_width")), last).cast("long")
     slotted = df.withColumn("_slot", slot).drop("_t0", "_width")

@@ -58,6 +58,29 @@ def test_rolling_equals_pandas_and_keyless_rows_stay(panel):
     assert got[got["k"].isna()]["v_rollmean3"].isna().all()
 
 
+def test_blocks_survive_the_change_of_clocks(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.range(600).selectExpr(
+        "id AS i", "'a' AS k", "timestamp_ntz'2024-03-10 00:00:00' + make_dt_interval(0, 0, cast(id AS int)) AS t",
+        "cast(id AS double) AS v",
+    )
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = windows.lags(df, B, ["v"], [1], hot_rows=20).orderBy("i").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r.v_lag1 for r in got] == [None, *map(float, range(599))]
+
+
+@pytest.mark.parametrize("kind", ["int", "date", "timestamp"])
+def test_blocks_over_other_kinds_of_time(spark, kind):
+    times = {"int": "cast(id AS int)", "date": "date_add(date'2000-01-01', cast(id AS int))",
+             "timestamp": "timestamp_seconds(id * 1000)"}
+    df = spark.range(300).selectExpr("id AS i", "'a' AS k", f"{times[kind]} AS t", "cast(id AS double) AS v")
+    got = windows.lags(df, B, ["v"], [2], hot_rows=25).orderBy("i").collect()
+    assert [r.v_lag2 for r in got] == [None, None, *map(float, range(298))]
+
+
 def test_lag_diff_and_range(rows):
     df = rows("k string, t int, v double", *[("a", i, float(i * i)) for i in range(5)], ("b", 0, 1.0))
     b = Binding(("k",), "t")
