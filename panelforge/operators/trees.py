@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -59,6 +58,3 @@ def node_table(model, spark: SparkSession) -> DataFrame:
         F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
         F.col("prediction").alias("value"), F.col("rawCount").cast("double").alias("cover"),
     )
-
-
-__all__ = ["assemble", "boosting", "forest", "importances", "node_table", "vector_to_array"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.binding import col
 from panelforge.functions import (
-    alias_values, bin_label, code_labels, lookup, parse_ts, prefix_group,
+    alias_values, code_labels, parse_ts, prefix_group,
 )
 from panelforge.functions.lookup import EPA_LEVELS
 from panelforge.operators import features, filters, joins

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 from panelforge.operators import anomaly, cluster, ensemble, forecast, importance, trees
 from panelforge.operators.aggregates import group_means
 from panelforge.operators.sampling import hash_split
-from panelforge.operators.windows import rank_by
 from panelforge.plans.panels import SERIES, nation_series
 from panelforge.plans.registry import R, events, query, rounded, table
 from panelforge.session import durable, side_by_side, spread_small
@@ -354,6 +353,3 @@ def io_model_roundtrip(spark, d):
     return loaded.transform(rows.where(~F.col("is_train"))).agg(
         F.avg("prediction").alias("mean_prediction"), F.count("*").alias("n")
     )
-
-
-__all__ = ["rank_by"]

@@ -11,7 +11,7 @@ from panelforge.operators import aggregates as agg
 from panelforge.operators import features, joins, sampling, windows
 from panelforge.operators.quantiles import quantile_table
 from panelforge.plans.registry import (
-    EVENTS, HOLEY, OBS, ORDERS, R, events, holey, observations, query, rounded, table,
+    HOLEY, OBS, ORDERS, R, events, holey, observations, query, rounded, table,
 )
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -478,6 +478,3 @@ FROM obs GROUP BY 1""")
 def agg_continent_means(spark, d):
     df = observations(spark, d).withColumn("continent", prefix_group(F.col("timezone")))
     return rounded(agg.group_means(df, ["continent"], {"price": "o_totalprice"}, count="n"))
-
-
-__all__ = ["EVENTS"]

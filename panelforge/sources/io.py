@@ -10,7 +10,6 @@ from pyspark.sql.types import StructType
 from panelforge.binding import col
 from panelforge.functions.dates import parse_ts
 from panelforge.functions.missing import nan_to_null
-from panelforge.session import scratch_path
 
 
 def read_parquet(spark: SparkSession, path: str, floats_may_be_nan: bool = False) -> DataFrame:
