@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -29,15 +29,38 @@ def local_session(cores: int | str = 8, app: str = "panelforge", **conf: str) ->
     return builder.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster.
+_MADE: dict[str, list[str]] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without one
-    (a test) gets a temporary folder.
+    ``spark.checkpoint.dir`` names it; a session without one (a test) uses a
+    folder below its warehouse. On a cluster neither may be local storage of
+    one machine, so a warehouse without a scheme is refused there.
     """
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    base = base or tempfile.mkdtemp(prefix="panelforge-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and not re.match(r"(?!file:)\w+://", warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse.rstrip('/')}/_scratch"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; :func:`clear_scratch` removes all that a session asked for."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application, once their results are written or read."""
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
