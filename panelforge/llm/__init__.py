@@ -4,6 +4,6 @@ Nothing outside this folder imports it.
 """
 
 from panelforge.llm.base import ORACLES, QUERIES
-from panelforge.llm import contamination, language_model, mixing, repeats  # noqa: F401  each module registers its query
+from panelforge.llm import contamination, language_model, mixing, near_duplicates, repeats  # noqa: F401  each module registers its query
 
 __all__ = ["ORACLES", "QUERIES"]
