@@ -4,6 +4,15 @@ Nothing outside this folder imports it.
 """
 
 from panelforge.llm.base import ORACLES, QUERIES
-from panelforge.llm import contamination, language_model, mixing, near_duplicates, repeats, toxicity  # noqa: F401  each module registers its query
+from panelforge.llm import (  # noqa: F401  each module registers its query
+    chat,
+    contamination,
+    inner_products,
+    language_model,
+    mixing,
+    near_duplicates,
+    repeats,
+    toxicity,
+)
 
 __all__ = ["ORACLES", "QUERIES"]
