@@ -5,6 +5,7 @@ Nothing outside this folder imports it.
 
 from panelforge.llm.base import ORACLES, QUERIES
 from panelforge.llm import (  # noqa: F401  each module registers its query
+    archives,
     chat,
     contamination,
     inner_products,
