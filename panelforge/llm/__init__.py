@@ -12,6 +12,7 @@ from panelforge.llm import (  # noqa: F401  each module registers its query
     language_model,
     mixing,
     near_duplicates,
+    pages,
     repeats,
     toxicity,
 )
