@@ -322,7 +322,7 @@ def whole_characters(data: np.ndarray, mask: np.ndarray) -> np.ndarray:
 def _apply(text: str, id_: str, bits: int, characters: bool):
     def run(docs: pa.Table, said: pa.Table) -> pa.Table:
         data, offsets, p = _parse(docs, text, id_)
-        mask = _removed(p, said, bits, len(data)) if said.num_rows else np.zeros(len(data), bool)
+        mask = _removed(p, said, bits, len(data))
         if characters:
             mask = whole_characters(data, mask)
         keep = data[~mask]
