@@ -98,3 +98,23 @@ def test_components(spark):
             root[max(x, y)] = min(x, y)
     df = spark.createDataFrame(edges, "x long, y long")
     assert {(r["id"], r["class"]) for r in nd.classes(df).collect()} == {(x, find(x)) for x in list(root)}
+
+
+def test_blocks_of_one_hub(spark, prose):
+    """A group whose members are unlike its hub but partly like each other, cut into small blocks."""
+    r = random.Random(11)
+    docs = []
+    for family in range(5):
+        base = prose(40 + family, 120)
+        docs += [(100 * family + k, edited(base, 0.01, r)) for k in range(9)]
+    texts = spark.createDataFrame([(i, t.encode()) for i, t in docs], "id long, text binary")
+    met = texts.selectExpr("0L AS hub", "id")
+    found = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "id long, class long")
+    for block in (4, 256):
+        more = nd.linked_across(met, found, texts, 5, 0.8, block=block, rows=50).collect()
+        want = brute(docs)
+        bags = dict((i, bag(t)) for i, t in docs)
+        assert all(sum((bags[e.x] & bags[e.y]).values()) >= 0.8 * sum((bags[e.x] | bags[e.y]).values()) for e in more)
+        edges = spark.createDataFrame([(e.x, e.y) for e in more] + [(1, 0), (2, 0)], "x long, y long")
+        got = {c["id"]: c["class"] for c in nd.classes(edges).collect()}
+        assert {i: got.get(i, i) for i, _ in docs} == want
