@@ -11,13 +11,13 @@ from panelforge.functions.lookup import (
 from panelforge.functions.missing import nan_to_null, in_range
 from panelforge.functions.stats import (
     capped,
-    normal_tail,
+    line_p_value,
     regression_metric_columns,
     zscore,
 )
 
 __all__ = [
     "alias_values", "bin_interval", "bin_label", "calendar_columns", "capped",
-    "code_labels", "in_range", "lookup", "nan_to_null", "normal_tail", "parse_ts",
+    "code_labels", "in_range", "lookup", "nan_to_null", "line_p_value", "parse_ts",
     "prefix_group", "regression_metric_columns", "season", "to_ntz", "width_bin", "zscore",
 ]

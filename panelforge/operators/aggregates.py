@@ -6,12 +6,11 @@ Rows with a missing group key belong to no group and are left out.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforge.binding import Binding, col
-from panelforge.functions import normal_tail, regression_metric_columns, width_bin, zscore
+from panelforge.functions import line_p_value, regression_metric_columns, width_bin, zscore
 from panelforge.operators.quantiles import ACCURACY, exact_quantiles, long_values, quantile_table
 from panelforge.session import durable
 
@@ -184,10 +183,9 @@ def ranking(
     return table.orderBy(order, col(key)).limit(k)
 
 
-def describe(df: DataFrame, columns: Sequence[str], first: int | None = None) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column."""
-    picked = list(columns)[:first]
-    measures = {c: col(c) for c in picked}
+    measures = {c: col(c) for c in columns}
     moments = long_values(df, [], measures).groupBy("measure").agg(
         F.count("*").alias("n"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
@@ -210,20 +208,19 @@ def correlations(
     pair being computed once.
     """
     if columns is None:
-        pairs = list(combinations(rows, 2))
-        found = to_pairs(df, pairs)
-        mirrored = found.select(F.col("column").alias("row"), F.col("row").alias("column"), "r")
-        own = to_pairs(df, [(c, c) for c in rows])
-        return found.unionByName(mirrored).unionByName(own)
+        found = to_pairs(df, [(a, c) for i, a in enumerate(rows) for c in rows[i:]], mirror=True)
+        return found
     return to_pairs(df, [(a, c) for a in rows for c in columns])
 
 
-def to_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    cells = [
-        F.struct(F.lit(a).alias("row"), F.lit(c).alias("column"),
-                 F.corr(col(a), col(c)).alias("r"))
-        for a, c in pairs
-    ]
+def to_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], mirror: bool = False) -> DataFrame:
+    """Correlations of the pairs in one aggregate; ``mirror`` gives (b, a) the value of (a, b) too."""
+    cells = []
+    for a, c in pairs:
+        r = F.corr(col(a), col(c)).alias("r")
+        cells.append(F.struct(F.lit(a).alias("row"), F.lit(c).alias("column"), r))
+        if mirror and a != c:
+            cells.append(F.struct(F.lit(c).alias("row"), F.lit(a).alias("column"), r))
     return df.agg(F.array(*cells).alias("_cells")).select(F.inline("_cells"))
 
 
@@ -333,11 +330,8 @@ def linear_trend(
         F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"),
         F.regr_r2("_y", "_x").alias("r2"), F.regr_count("_y", "_x").alias("n"),
     )
-    r2 = F.col("r2")
-    t = F.sqrt(r2 * (F.col("n") - 2) / (1 - r2))
     return fit.withColumns(
-        {"slope_per_year": F.col("slope") * per,
-         "p_value": F.when(r2 < 1, normal_tail(t)).when(r2 == 1, F.lit(0.0))}
+        {"slope_per_year": F.col("slope") * per, "p_value": line_p_value(F.col("r2"), F.col("n"))}
     )
 
 

@@ -94,7 +94,11 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float
 def stacking(
     marked: DataFrame, keys: Sequence[str], date: str = "date", alpha: float = 1.0
 ) -> DataFrame:
-    """Ridge regression on the predictions of all models, fitted per key on the blend window."""
+    """Ridge regression on the predictions of all models, fitted per key on the complete days of the blend window.
+
+    A day on which a model is missing is not fitted on and gets no forecast;
+    :func:`unstacked` names the keys and days that are left out.
+    """
     names = list(keys)
     kinds = dict(marked.dtypes)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in names],
@@ -108,8 +112,9 @@ def stacking(
         x = matrix.to_numpy(float)
         days = matrix.index[~blend]
         out = pd.DataFrame({date: days, "model": "Stacking", "y_true": actual[~blend]})
-        if blend.sum():
-            beta, intercept = ridge(x[blend], actual[blend], alpha)
+        complete = np.isfinite(x).all(axis=1) & np.isfinite(actual)
+        if (blend & complete).any():
+            beta, intercept = ridge(x[blend & complete], actual[blend & complete], alpha)
             out["y_pred"] = x[~blend] @ beta + intercept
         else:
             out["y_pred"] = np.nan
@@ -121,6 +126,20 @@ def stacking(
     return by_group(used, names).groupBy(*[col(k) for k in names]).applyInPandas(run, schema)
 
 
+def unstacked(marked: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
+    """Days that :func:`stacking` leaves out: ``(keys..., date, is_blend, models)``, models missing or without value.
+
+    A key whose blend days all stand here gets no stacked forecast at all.
+    """
+    by = [col(k) for k in keys]
+    models = marked.groupBy(*by).agg(F.collect_set("model").alias("_all"))
+    present = F.collect_set(F.when(F.col("y_pred").isNotNull() & ~F.isnan("y_pred"), F.col("model")))
+    days = marked.groupBy(*by, col(date), "is_blend").agg(present.alias("_there"))
+    missing = F.array_sort(F.array_except("_all", "_there"))
+    out = days.join(models, list(keys)).withColumn("models", missing).where(F.size("models") > 0)
+    return out.drop("_all", "_there")
+
+
 def evaluate(
     marked: DataFrame, keys: Sequence[str], n: int = TOP, date: str = "date", stack: bool = True
 ) -> DataFrame:

@@ -21,13 +21,15 @@ BUCKET_ROWS = 10_000
 
 def permutation_importance(
     model, rows: DataFrame, ids: Sequence[str], features: Sequence[str], repeats: int = 5,
-    most: int | None = 8000, seed: int = 42,
+    most: int | None = None, seed: int = 42,
 ) -> DataFrame:
     """Loss of R2 when one feature is shuffled, averaged over ``repeats``.
 
     ``rows`` has ``features`` (vector) and ``label``. Values are exchanged
     inside hash buckets of about 10,000 rows, by joining two random orders of
-    a bucket, so no task sees more than a bucket.
+    a bucket, so no task sees more than a bucket. Each row has one donor per
+    repeat, from which every feature in turn takes its value after the join.
+    ``most`` asks for a hash sample of the rows.
     """
     names = list(features)
     used = rows if most is None else hash_sample(rows, ids, most, seed)
@@ -38,30 +40,25 @@ def permutation_importance(
     buckets = F.ceil(total / BUCKET_ROWS)
     base_id = [col(c) for c in ids]
     spread = used.withColumn("_b", F.pmod(F.xxhash64(*base_id, F.lit(seed)), buckets))
-    trials = F.explode(F.sequence(F.lit(0), F.lit(len(names) * repeats - 1)))
-    tried = spread.withColumn("_t", trials)
+    tried = spread.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     group = Window.partitionBy("_t", "_b")
-    own = group.orderBy(*base_id)
     drawn = group.orderBy(F.xxhash64(*base_id, F.col("_t"), F.lit(seed + 1)), *base_id)
-    feature = F.floor(F.col("_t") / repeats).cast("int")
     placed = tried.withColumns(
-        {"_i": F.row_number().over(own), "_j": F.row_number().over(drawn),
-         "_v": F.element_at("_x", feature + 1)}
+        {"_i": F.row_number().over(group.orderBy(*base_id)), "_j": F.row_number().over(drawn)}
     )
-    donors = placed.select("_t", "_b", F.col("_j").alias("_i"), F.col("_v").alias("_new"))
-    swapped = placed.drop("_v", "_j").join(donors, ["_t", "_b", "_i"]).withColumn(
-        "_x", F.transform("_x", lambda x, k: F.when(k == feature, F.col("_new")).otherwise(x))
+    donors = placed.select("_t", "_b", F.col("_j").alias("_i"), F.col("_x").alias("_y"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))
+    swapped = placed.drop("_j").join(donors, ["_t", "_b", "_i"]).withColumn("_f", each).withColumn(
+        "_x", F.transform("_x", lambda x, k: F.when(k == F.col("_f"), F.col("_y")[k]).otherwise(x))
     )
     scored = model.transform(swapped.withColumn("features", array_to_vector("_x")))
-    shuffled = regression_metrics(scored, ["_t"], "label", "prediction").select(
-        "_t", F.col("r2").alias("_r2")
-    )
+    shuffled = regression_metrics(scored, ["_f", "_t"], "label", "prediction")
     plain = model.transform(used.withColumn("features", array_to_vector("_x")))
     base = regression_metrics(plain, [], "label", "prediction").select("r2").scalar()
     labels = F.array(*[F.lit(n) for n in names])
     return (
-        shuffled.withColumn("feature", F.element_at(labels, F.floor(F.col("_t") / repeats).cast("int") + 1))
-        .withColumn("_loss", base - F.col("_r2"))
+        shuffled.withColumn("feature", labels[F.col("_f")])
+        .withColumn("_loss", base - F.col("r2"))
         .groupBy("feature").agg(F.avg("_loss").alias("importance"), F.stddev_pop("_loss").alias("spread"))
         .orderBy(F.desc("importance"), "feature")
     )
@@ -124,17 +121,23 @@ def _add_leaf(phi: np.ndarray, x: np.ndarray, value: float, items: list) -> None
     m = len(items)
     if not m or not value:
         return
-    on = [((x[:, f] > low) & (x[:, f] <= high)).astype(float) for f, (low, high, _) in items]
+    on = [(x[:, f] > low) & (x[:, f] <= high) for f, (low, high, _) in items]
     weight = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
+    # Coefficient k: sum over subsets of k features that follow the row.
+    poly = [np.ones(len(x))] + [np.zeros(len(x)) for _ in range(m)]
+    for j, (_, (_, _, z)) in enumerate(items):
+        for k in range(j + 1, 0, -1):
+            poly[k] = poly[k] * z + poly[k - 1] * on[j]
+        poly[0] = poly[0] * z
+    off_total = sum(w * p for w, p in zip(weight, poly))
     for i, (f, (_, _, share)) in enumerate(items):
-        # Coefficient k: sum over subsets of k other features that follow the row.
-        poly = [np.ones(len(x))] + [np.zeros(len(x)) for _ in range(m - 1)]
-        for j, (_, (_, _, z)) in enumerate(items):
-            if j != i:
-                for k in range(m - 1, 0, -1):
-                    poly[k] = poly[k] * z + poly[k - 1] * on[j]
-                poly[0] = poly[0] * z
-        total = sum(w * p for w, p in zip(weight, poly))
+        # The polynomial of the others: divide out this feature, from the highest coefficient down.
+        rest = poly[m]
+        on_total = weight[m - 1] * rest
+        for k in range(m - 1, 0, -1):
+            rest = poly[k] - share * rest
+            on_total = on_total + weight[k - 1] * rest
+        total = np.where(on[i], on_total, off_total / share)
         phi[:, f] += value * (on[i] - share) * total
 
 

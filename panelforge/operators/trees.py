@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.binding import col
@@ -20,12 +20,16 @@ def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -
 
 
 def forest(**params) -> RandomForestRegressor:
-    """Random forest; a third of the features per split is what MLlib uses for regression."""
-    return RandomForestRegressor(featuresCol="features", labelCol="label", **params)
+    """Random forest of deep trees over all features, unless set otherwise; MLlib allows a depth of 30."""
+    settings = {"maxDepth": 30, "featureSubsetStrategy": "all", **params}
+    return RandomForestRegressor(featuresCol="features", labelCol="label", **settings)
 
 
 def boosting(**params) -> GBTRegressor:
-    """Gradient boosting; rows and columns are sampled at 0.9 unless set otherwise."""
+    """Gradient boosting; rows and columns are sampled at 0.9 unless set otherwise.
+
+    Many rounds need a checkpoint folder (``SparkContext.setCheckpointDir``), which cuts their lineage.
+    """
     settings = {"subsamplingRate": 0.9, "featureSubsetStrategy": "0.9", **params}
     return GBTRegressor(featuresCol="features", labelCol="label", **settings)
 
@@ -50,8 +54,10 @@ def node_table(model, spark: SparkSession) -> DataFrame:
     weights = spark.read.parquet(f"{path}/treesMetadata").select(
         F.col("_1").alias("treeID"), F.col("_3").alias("weight")
     )
+    # A forest averages its trees, boosting adds them up.
+    share = 1.0 / model.getNumTrees if isinstance(model, RandomForestRegressionModel) else 1.0
     return nodes.join(weights, "treeID").select(
-        F.col("treeID").alias("tree"), "weight", F.col("id").alias("node"),
+        F.col("treeID").alias("tree"), (F.col("weight") * share).alias("weight"), F.col("id").alias("node"),
         F.col("split.featureIndex").alias("feature"),
         F.when(F.size("split.leftCategoriesOrThreshold") > 0,
                F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"),

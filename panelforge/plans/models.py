@@ -97,7 +97,7 @@ def ml_detector_report(spark, d):
 
     points = _customer_points(spark, d)
     names = ["b", "n", "p", "m"]
-    a = anomaly.isolation_forest(points, ["c_custkey"], names, trees=100)
+    a = anomaly.isolation_forest(points, ["c_custkey"], names, trees=200)
     b = anomaly.dbscan_noise(points, ["c_custkey"], names, eps=0.5)
     return detector_agreement(a.join(b, "c_custkey"), "outlier_iforest", "is_noise")
 

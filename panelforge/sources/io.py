@@ -41,9 +41,13 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataF
 def write_parquet(
     df: DataFrame, path: str, sort: Sequence[str] = (), partition_by: Sequence[str] = ()
 ) -> str:
-    """Parquet sink; ``sort`` orders the whole output, so row groups have tight bounds."""
+    """Parquet sink; ``sort`` orders the whole output, so row groups have tight bounds.
+
+    With ``partition_by`` rows are dealt by ranges of both, so a task writes few
+    partition values and the number of files does not grow with the tasks.
+    """
     if partition_by:
-        df = df.repartition(*[col(c) for c in partition_by], *[col(c) for c in sort])
+        df = df.repartitionByRange(*[col(c) for c in partition_by], *[col(c) for c in sort])
         df = df.sortWithinPartitions(*[col(c) for c in (*partition_by, *sort)])
     elif sort:
         df = df.orderBy(*[col(c) for c in sort])

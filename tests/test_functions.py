@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from panelforge.binding import col
 from panelforge.functions import (
-    bin_label, calendar_columns, capped, nan_to_null, normal_tail, parse_ts, prefix_group,
+    bin_label, calendar_columns, capped, line_p_value, nan_to_null, parse_ts, prefix_group,
     width_bin,
 )
 from panelforge.operators import features, filters
@@ -83,7 +83,9 @@ def test_last_histogram_bin_is_closed_and_caps_keep_null(rows):
     assert got == [1.0, 5.0, 5.0, None]
 
 
-def test_normal_tail_matches_erfc(rows):
-    df = rows("t double", (0.0,), (1.0,), (-2.5,), (6.0,))
-    for t, p in values(df.select("t", normal_tail(F.col("t")).alias("p")), "t", "p"):
-        assert p == pytest.approx(math.erfc(abs(t) / math.sqrt(2)), abs=2e-7)
+def test_p_value_of_many_rows_is_a_normal_tail(rows):
+    n = 10**7
+    df = rows("t double", *[(t / 4,) for t in range(-12, 13)])
+    r2 = F.col("t") ** 2 / (n - 2 + F.col("t") ** 2)
+    for t, p in values(df.select("t", line_p_value(r2, F.lit(n)).alias("p")), "t", "p"):
+        assert abs(p - math.erfc(abs(t) / math.sqrt(2))) < 1e-6
