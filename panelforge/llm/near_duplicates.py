@@ -10,9 +10,11 @@ Points are drawn only up to the time that fills all registers.
 
 **Bands.** Texts that agree in a band of registers meet. Exact copies are
 folded first. Each band value then has a hub, its smallest id; every text is
-compared with its hubs, which links dense groups with few comparisons. What is
-still in different classes at one band value is compared pair by pair, so that
-no pair that meets is left out, while pairs inside a class need no comparison.
+compared with its hubs, which links dense groups with few comparisons. Texts
+that meet under one hub and are still in different classes are compared in
+blocks of 256 against 256, a table of overlaps at a time, so that no pair that
+meets is left out; pairs inside a class are not compared, pairs of unlike
+texts never become rows, and a block reports only what joins its classes.
 """
 
 from __future__ import annotations
@@ -159,6 +161,101 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataF
     return pairs.join(t, "x").join(u, "y").mapInArrow(_verified(size, least), "x long, y long")
 
 
+def numbered(hashes: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Shingles with the number of their occurrence in their text, so that a bag becomes a set of hashes."""
+    text = np.repeat(np.arange(len(to) - 1), np.diff(to))
+    order = np.lexsort((hashes, text))
+    key = hashes[order]
+    at = starts_of(text[order], key)
+    number = np.arange(len(key)) - np.repeat(at, np.diff(np.append(at, len(key))))
+    out = np.empty_like(hashes)
+    out[order] = mixed(key + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
+def overlaps(one: list[np.ndarray], other: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """How many elements each set of ``one`` shares with each of ``other``: products of 0-1 tables, some columns at a time."""
+    out = np.zeros((len(one), len(other)), np.float32)
+    a, b = np.concatenate(one), np.concatenate(other)
+    shared = np.intersect1d(a, b)
+    sides = []
+    for values, sets in ((a, one), (b, other)):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(shared, values), max(0, len(shared) - 1))
+        found = shared[at] == values if len(shared) else np.zeros(len(values), bool)
+        order = np.argsort(at[found], kind="stable")
+        sides.append((row[found][order], at[found][order]))
+    for k in range(0, len(shared), columns):
+        tables = []
+        for (row, at), n in zip(sides, (len(one), len(other))):
+            x, y = np.searchsorted(at, [k, k + columns])
+            t = np.zeros((n, min(columns, len(shared) - k)), np.float32)
+            t[row[x:y], at[x:y] - k] = 1
+            tables.append(t)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _blocks(size: int, least: float):
+    """Links between classes in cells of (hub, i, j): texts of block i outside the hub's class against all of block j."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        words = Words(spaced(lower=True), 9)
+        data, offsets = flat(cell.column("text"))
+        hashes, to = [], [np.zeros(1, np.int64)]
+        for a, b in slices(offsets, SLICE):
+            h, t = shingles(words, data[offsets[a] : offsets[b]], offsets[a : b + 1], size)
+            hashes.append(numbered(h, t))
+            to.append(t[1:] + to[-1][-1])
+        hashes, to = np.concatenate(hashes), np.concatenate(to)
+        ids, kind = np.asarray(cell.column("id")), np.asarray(cell.column("class"))
+        out, left = np.asarray(cell.column("outside")), np.asarray(cell.column("left"))
+        keys = [np.asarray(cell.column(c)) for c in ("hub", "i", "j")]
+        order = np.lexsort(keys[::-1])
+        at = starts_of(*[k[order] for k in keys])
+        x, y = [], []
+        for rows in np.split(order, at[1:]):
+            one, other = rows[(left | (keys[1] == keys[2]))[rows] & out[rows]], rows[~left[rows]]
+            if not len(one) or not len(other):
+                continue
+            a, b = ([hashes[to[r] : to[r + 1]] for r in side] for side in (one, other))
+            both = overlaps(a, b)
+            union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - both
+            alike = (both >= least * union) & (kind[one][:, None] != kind[other][None, :])
+            names, now = np.unique(np.concatenate([kind[one], kind[other]]), return_inverse=True)
+            root = np.arange(len(names))
+            for r in np.flatnonzero(alike.any(1)):
+                own = now[r]
+                for c in np.flatnonzero(alike[r]):
+                    if root[now[len(one) + c]] != root[own]:
+                        root[root == root[now[len(one) + c]]] = root[own]
+                        x.append(int(ids[one[r]]))
+                        y.append(int(ids[other[c]]))
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+    return run
+
+
+def linked_across(met: DataFrame, found: DataFrame, texts: DataFrame, size: int, least: float, block: int = 256, rows: int = 1024) -> DataFrame:
+    """Links between members of one hub (hub, id) that ``found`` (id, class) has in different classes."""
+    members = met.join(found, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    hubs = members.groupBy("hub").agg(
+        F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"),
+        F.max(F.when(F.col("id") == F.col("hub"), F.col("class"))).alias("own"),
+    ).where("low < high")
+    members = members.join(hubs.select("hub", "n", "own"), "hub")
+    many = F.ceil(F.col("n") / block).cast("int")
+    members = members.withColumns({"outside": F.col("class") != F.col("own"), "many": many})
+    members = members.withColumn("b", F.pmod(F.xxhash64("id"), F.col("many")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("many") - 1))
+    right = members.select("hub", "id", "class", "outside", F.lit(False).alias("left"), every.alias("i"), F.col("b").alias("j"))
+    left = members.where("outside and many > 1").select("hub", "id", "class", "outside", F.lit(True).alias("left"), F.col("b").alias("i"), every.alias("j")).where("i <> j")
+    sides = durable(right.union(left))
+    cells = max(1, -(-sides.count() // rows))
+    cell = F.pmod(F.xxhash64("hub", "i", "j"), F.lit(cells)).alias("cell")
+    return sides.join(texts, "id").select(cell, "*").groupBy("cell").applyInArrow(_blocks(size, least), "x long, y long")
+
+
 def classes(edges: DataFrame) -> DataFrame:
     """Connected components (id, class): each id in ``edges`` (x, y) with the smallest id it is connected to.
 
@@ -215,22 +312,14 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", si
     exact = some.select("id", "copy").join(firsts.where("y < last"), "copy").where("id <> y").select(F.col("id").alias("x"), "y")
     single = firsts.select(F.col("y").alias("id"))
     folded = some.join(single, "id", "left_semi")
-    values = folded.select("id", "weight", F.posexplode("bands").alias("band", "value"))
+    values = folded.select("id", F.posexplode("bands").alias("band", "value"))
     shared = values.groupBy("band", "value").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
-    met = durable(values.join(shared, ["band", "value"]).select("band", "value", "hub", "id", "weight"))
+    met = durable(values.join(shared, ["band", "value"]).select("hub", "id").distinct())
     texts = df.join(met.select("id").distinct(), "id", "left_semi")
-    pairs = met.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y")).distinct()
+    pairs = met.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y"))
     links = durable(linked(pairs, texts, size, least))
     found = durable(classes(links))
-    # What meets at a band value in different classes, and was not compared with its hub.
-    sides = met.join(found, "id", "left").withColumn("class", F.coalesce("class", "id")).where("id <> hub")
-    a, b = (sides.select("band", "value", *[F.col(c).alias(c + n) for c in ("id", "class", "weight")]) for n in ("_a", "_b"))
-    rest = a.join(b, ["band", "value"]).where(
-        (F.col("class_a") < F.col("class_b"))
-        & (F.col("weight_a") >= F.col("weight_b") * least) & (F.col("weight_b") >= F.col("weight_a") * least)
-    )
-    rest = rest.select(F.greatest("id_a", "id_b").alias("x"), F.least("id_a", "id_b").alias("y")).distinct()
-    more = linked(rest.join(pairs, ["x", "y"], "left_anti"), texts, size, least)
+    more = linked_across(met, found, texts, size, least)
     final = classes(links.union(more).union(exact))
     ids = signed.select("id").distinct().join(final, "id", "left").withColumn("class", F.coalesce("class", "id"))
     return ids.select(F.col("id").alias(id_), F.col("class").alias("class_id"), (F.col("id") == F.col("class")).alias("kept"))
