@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from panelforge.plans import QUERIES  # noqa: E402
-from panelforge.session import local_session  # noqa: E402
+from panelforge.session import clear_scratch, local_session  # noqa: E402
 
 HEADLINE = [
     "agg_country_summary", "agg_location_summary", "agg_kpis", "agg_corr_matrix", "agg_quantiles",
@@ -39,6 +39,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        clear_scratch(spark)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(json.dumps({

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforge.binding import Binding, col
 from panelforge.functions import line_p_value, regression_metric_columns, width_bin, zscore
-from panelforge.operators.quantiles import ACCURACY, exact_quantiles, long_values, quantile_table
+from panelforge.operators.quantiles import exact_quantiles, long_values, quantile_table
 from panelforge.session import durable
 
 
@@ -151,23 +151,19 @@ def group_summary(
     """One row per group: first values, medians, means and row count, with a minimum support.
 
     ``first`` takes the first non-missing value in the order of the binding.
-    Medians share the aggregation if every group fits into a task; with larger
-    groups they come from :func:`quantile_table`.
+    Medians come from :func:`quantile_table`, for groups of any size.
     """
     medians = medians or {}
-    sizes = grouped(df, [key]).agg(F.count("*").alias("_n"))
-    together = not medians or (sizes.agg(F.max("_n")).first()[0] or 0) <= 2 * ACCURACY
     when = F.struct(*[col(c) for c in (b.ts, *b.tiebreak)])
     out = grouped(df, [key]).agg(
         *[
             F.min_by(col(c), F.when(col(c).isNotNull(), when)).alias(name)
             for name, c in (first or {}).items()
         ],
-        *[F.median(col(c)).alias(name) for name, c in medians.items() if together],
         *[F.avg(col(c)).alias(name) for name, c in means.items()],
         F.count("*").alias(count),
     ).where(F.col(count) >= least)
-    if together:
+    if not medians:
         return out
     middle = quantile_table(df, [key], {n: (col(c), 0.5) for n, c in medians.items()})
     return out.join(middle, key, "left")

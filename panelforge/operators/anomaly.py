@@ -14,7 +14,7 @@ from panelforge.functions import zscore
 from panelforge.operators.aggregates import one_row
 from panelforge.operators.quantiles import quantile_table
 from panelforge.operators.sampling import hash_sample, row_hash
-from panelforge.session import by_group, durable, spread_small
+from panelforge.session import by_group, durable, spread
 
 # Labels for the agreement of two detectors.
 AGREEMENT = ("Normal", "Isolation Forest only", "DBSCAN only", "Both detectors")
@@ -131,11 +131,12 @@ def fit_isolation_forest(
 
 def isolation_scores(
     df: DataFrame, features: Sequence[str], forest: DataFrame, sample: int = 256,
-    score: str = "score",
+    score: str = "score", partitions: int | None = None,
 ) -> DataFrame:
     """Anomaly score of each row, between 0 and 1; rows with a missing feature get NULL.
 
     The forest is collected: its size is set by its parameters, not by the data.
+    ``partitions`` deals a short table out to so many tasks first.
     """
     nodes = forest.orderBy("tree", "node").toPandas()
     leaf = nodes["feature"] < 0
@@ -168,7 +169,7 @@ def isolation_scores(
             yield pd.Series(np.where(missing, np.nan, score_))
 
     inputs = F.struct(*[col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
-    return spread_small(df).withColumn(score, path_score(inputs)).withColumn(
+    return spread(df, partitions).withColumn(score, path_score(inputs)).withColumn(
         score, F.when(~F.isnan(score), F.col(score))
     )
 
@@ -176,11 +177,12 @@ def isolation_scores(
 def isolation_forest(
     df: DataFrame, ids: Sequence[str], features: Sequence[str], contamination: float = 0.01,
     trees: int = 200, sample: int = 256, seed: int = 42, flag: str = "outlier_iforest",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add ``score`` and a flag for the ``contamination`` share of rows with the highest scores."""
     forest = fit_isolation_forest(df, ids, features, trees, sample, seed)
     # Scores are written down: the threshold needs them twice before the flag.
-    scored = durable(isolation_scores(df, features, forest, sample))
+    scored = durable(isolation_scores(df, features, forest, sample, partitions=partitions))
     limit = quantile_table(scored, [], {"_q": (F.col("score"), 1 - contamination)}).select("_q").scalar()
     return scored.withColumn(flag, F.coalesce(F.col("score") > limit, F.lit(False)))
 

@@ -14,7 +14,7 @@ from panelforge.binding import col
 from panelforge.operators.aggregates import regression_metrics
 from panelforge.operators.sampling import hash_sample
 from panelforge.operators.trees import node_table
-from panelforge.session import spread_small
+from panelforge.session import spread
 
 BUCKET_ROWS = 10_000
 
@@ -88,7 +88,8 @@ def leaf_paths(nodes: pd.DataFrame) -> list[tuple]:
 
 
 def shap_values(
-    model, rows: DataFrame, features: Sequence[str], name: str = "shap", base: str = "base_value"
+    model, rows: DataFrame, features: Sequence[str], name: str = "shap", base: str = "base_value",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Path-dependent Shapley values of a tree ensemble (Lundberg et al., 2020).
 
@@ -96,7 +97,8 @@ def shap_values(
     sum up to the prediction. A leaf contributes through the features on its
     path only, so the sum over subsets is a short polynomial product, done for
     a whole batch of rows at once. The leaf table is broadcast: its size
-    follows from the number and depth of the trees.
+    follows from the number and depth of the trees. ``partitions`` deals a short
+    table out to so many tasks first.
     """
     paths = leaf_paths(node_table(model, rows.sparkSession).toPandas())
     width = len(features)
@@ -112,7 +114,7 @@ def shap_values(
                 _add_leaf(phi, x, value, items)
             yield pd.Series(list(phi))
 
-    return spread_small(rows).withColumn(name, explain(vector_to_array("features"))).withColumn(
+    return spread(rows, partitions).withColumn(name, explain(vector_to_array("features"))).withColumn(
         base, F.lit(float(expected))
     )
 

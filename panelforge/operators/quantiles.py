@@ -2,7 +2,8 @@
 
 ``percentile`` keeps every distinct value of a group in the memory of one
 task. Here a mergeable sketch first brackets each quantile, then only the few
-values inside the brackets are counted and ordered.
+values inside the brackets are counted and ordered, next to the ends of the
+stretches between them. The plan is the same for groups of every size.
 """
 
 from __future__ import annotations
@@ -40,50 +41,23 @@ def exact_quantiles(
     df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column],
     probs: Sequence[float], accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Linear-interpolated quantiles: ``(keys..., measure, prob, quantile)``.
-
-    The values per group are counted first. Groups of at most ``2 * accuracy``
-    values fit into a task and use ``percentile``; larger ones go through
-    brackets.
-    """
+    """Linear-interpolated quantiles: ``(keys..., measure, prob, quantile)``."""
     rows = long_values(df, keys, measures)
     for k in keys:
         rows = rows.where(col(k).isNotNull())
-    names = [*keys, "measure"]
-    counts = rows.groupBy(*[col(g) for g in names]).agg(F.count("*").alias("_n"))
-    sizes = counts.agg(F.min("_n").alias("least"), F.max("_n").alias("most")).first()
-    limit = 2 * accuracy
-    if sizes.most is None or sizes.most <= limit:
-        return _percentiles(rows, names, probs)
-    if sizes.least > limit:
-        return _bracketed(rows, names, probs, accuracy)
-    # At most values / limit groups are large.
-    large = durable(counts.where(F.col("_n") > limit).select(*[col(g) for g in names]))
-    few = rows.join(large, names, "left_anti")
-    many = rows.join(large, names, "left_semi")
-    return _percentiles(few, names, probs).unionByName(_bracketed(many, names, probs, accuracy))
-
-
-def _percentiles(rows: DataFrame, names: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    found = rows.groupBy(*[col(g) for g in names]).agg(
-        F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("_q")
-    )
-    results = [
-        F.struct(F.lit(p).alias("prob"), F.col("_q")[i].alias("quantile"))
-        for i, p in enumerate(probs)
-    ]
-    return found.select(*[col(g) for g in names], F.inline(F.array(*results)))
+    return _bracketed(rows, [*keys, "measure"], probs, accuracy)
 
 
 def _bracketed(
     rows: DataFrame, names: Sequence[str], probs: Sequence[float], accuracy: int
 ) -> DataFrame:
-    """Quantiles of groups too large for one task.
+    """Quantiles by brackets.
 
     A sketch is off by at most ``n / accuracy`` ranks, so twice that on either
-    side of a quantile surely holds its neighbours. The values inside these
-    brackets are counted one by one and all values between two brackets as one
-    entry; running sums over these few entries give the ranks. The query fails,
+    side of a quantile surely holds its neighbours, or, in a small group, ends
+    next to them. The values inside these brackets are counted one by one, and
+    all values between two brackets as one entry with its smallest and largest
+    value; running sums over these few entries give the ranks. The query fails,
     rather than being wrong, should a bracket ever miss its quantile.
     """
     group = [col(g) for g in names]
@@ -103,15 +77,18 @@ def _bracketed(
     entry = F.when(inside, value).otherwise(F.greatest(F.lit(float("-inf")), *passed))
     counts = (
         rows.join(brackets, list(names))
-        .select(*group, "_n", entry.alias("_v"), (~inside).alias("_between"))
-        .groupBy(*group, "_n", "_v", "_between").agg(F.count("*").alias("_c"))
+        .select(*group, "_n", "value", entry.alias("_v"), (~inside).alias("_between"))
+        .groupBy(*group, "_n", "_v", "_between")
+        .agg(F.count("*").alias("_c"), F.min("value").alias("_first"), F.max("value").alias("_last"))
     )
     ordered = Window.partitionBy(*group).orderBy("_v", "_between")
     ranked = counts.withColumn("_upto", F.sum("_c").over(ordered))
 
     def at(position: Column) -> Column:
-        hit = (F.col("_upto") - F.col("_c") <= position) & (position < F.col("_upto"))
-        return F.max(F.when(hit & ~F.col("_between"), F.col("_v")))
+        start, end = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
+        hit = (start <= position) & (position <= end)
+        value = F.when(~F.col("_between"), F.col("_v")).when(position == start, F.col("_first"))
+        return F.max(F.when(hit, value.when(position == end, F.col("_last"))))
 
     ranks = [F.lit(p) * (F.col("_n") - 1) for p in probs]
     found = ranked.groupBy(*group, "_n").agg(

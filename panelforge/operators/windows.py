@@ -2,9 +2,9 @@
 
 A window function sorts a whole series in one task. That is fine for the many
 short series of a panel, but not for one that holds a third of the table.
-:func:`over_series` therefore cuts long series into blocks of rows, repeats the
-last ``back`` rows of each block in front of the next one, and runs the same
-window expressions per block. The result is exactly that of the plain window.
+:func:`over_series` can therefore cut series into blocks of rows, repeat the last
+``back`` rows of each block in front of the next one, and run the same window
+expressions per block. The result is exactly that of the plain window.
 """
 
 from __future__ import annotations
@@ -19,59 +19,44 @@ from panelforge.session import durable
 
 Exprs = Callable[[WindowSpec], dict[str, Column]]
 
-HOT_ROWS = 2_000_000
-
-
 def over_series(
-    df: DataFrame, b: Binding, make: Exprs, back: int, hot_rows: int | None = HOT_ROWS
+    df: DataFrame, b: Binding, make: Exprs, back: int, block_rows: int | None = None
 ) -> DataFrame:
     """Add the window columns ``make(window)``, which look at most ``back`` rows back.
 
-    The rows per series are counted first. Series with more than ``hot_rows``
-    rows are cut into blocks; if there are none, the plan is the plain window.
-    Rows without a key belong to no series and get NULL. ``hot_rows=None``
-    promises that there are no long series and saves the count.
+    By default every series is sorted in one task, in a single pass over the
+    input: the plan for panels of many series. ``block_rows`` chooses the other
+    plan, for series of any length: each is cut into blocks of so many rows.
+    Rows without a key belong to no series and get NULL; they are spread by a
+    hash, so that they do not meet in one task.
     """
     keys = [col(k) for k in b.key]
     keyless = F.lit(False)
     for k in keys:
         keyless = keyless | k.isNull()
-    rows = df.where(~keyless)
-    plain = Window.partitionBy(*keys).orderBy(*b.order())
-
-    hot = None if hot_rows is None else _long_series(rows, b, hot_rows)
-    if hot is None:
-        done = rows.withColumns(make(plain))
-    else:
-        key_names = list(b.key)
-        cold = rows.join(hot.select(*keys), key_names, "left_anti").withColumns(make(plain))
-        blocks = _blocks(rows.join(hot, key_names), b, back, max(hot_rows, back))
-        block = Window.partitionBy(*keys, "_block").orderBy("_pos")
-        long = blocks.withColumns(make(block)).where(~F.col("_halo"))
-        done = cold.unionByName(long.select(*[col(c) for c in cold.columns]))
+    if block_rows is None:
+        place = F.xxhash64(col(b.ts), *[col(c) for c in b.tiebreak])
+        window = Window.partitionBy(*keys, F.when(keyless, F.pmod(place, F.lit(4096)))).orderBy(*b.order())
+        return df.withColumns({n: F.when(~keyless, c) for n, c in make(window).items()})
 
+    rows = df.where(~keyless)
+    blocks = _blocks(rows.join(_slots(rows, b, block_rows), list(b.key)), b, back, max(block_rows, back))
+    block = Window.partitionBy(*keys, "_block").orderBy("_pos")
+    done = blocks.withColumns(make(block)).where(~F.col("_halo")).drop("_halo", "_pos", "_block")
+    done = done.select(*[col(c) for c in df.columns], *[col(c) for c in done.columns if c not in df.columns])
     added = [f for f in done.schema.fields if f.name not in df.columns]
     nothing = {f.name: F.lit(None).cast(f.dataType) for f in added}
     return done.unionByName(df.where(keyless).withColumns(nothing))
 
 
-def _long_series(df: DataFrame, b: Binding, hot_rows: int) -> DataFrame | None:
-    """Series with more rows than ``hot_rows``, and the width of a slot of time for each.
-
-    Slots are narrow enough to hold about a quarter of ``hot_rows`` rows on
-    average. There are at most ``rows / hot_rows`` such series.
-    """
+def _slots(df: DataFrame, b: Binding, block_rows: int) -> DataFrame:
+    """The first time of each series, and the width of a slot of time that holds about a quarter of a block on average."""
     micros = epoch_micros(col(b.ts), dict(df.dtypes)[b.ts])
     stats = df.groupBy(*[col(k) for k in b.key]).agg(
         F.count("*").alias("_n"), F.min(micros).alias("_t0"), F.max(micros).alias("_t1")
     )
-    width = F.ceil((F.col("_t1") - F.col("_t0") + 1) * (hot_rows / 4) / F.col("_n"))
-    hot = durable(
-        stats.where(F.col("_n") > hot_rows).select(
-            *[col(k) for k in b.key], "_t0", F.greatest(width, F.lit(1)).alias("_width")
-        )
-    )
-    return None if hot.isEmpty() else hot
+    width = F.ceil((F.col("_t1") - F.col("_t0") + 1) * (block_rows / 4) / F.col("_n"))
+    return durable(stats.select(*[col(k) for k in b.key], "_t0", F.greatest(width, F.lit(1)).alias("_width")))
 
 
 def _blocks(df: DataFrame, b: Binding, back: int, block_rows: int) -> DataFrame:
@@ -113,10 +98,10 @@ def _blocks(df: DataFrame, b: Binding, back: int, block_rows: int) -> DataFrame:
 
 def lags(
     df: DataFrame, b: Binding, columns: Sequence[str], steps: Sequence[int] = (1, 2, 3, 7, 14),
-    hot_rows: int | None = HOT_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Earlier values of each series, ``<column>_lag<k>``."""
-    return over_series(df, b, lambda w: lag_columns(w, columns, steps), max(steps), hot_rows)
+    return over_series(df, b, lambda w: lag_columns(w, columns, steps), max(steps), block_rows)
 
 
 def lag_columns(w: WindowSpec, columns: Iterable[str], steps: Sequence[int]) -> dict[str, Column]:
@@ -125,11 +110,11 @@ def lag_columns(w: WindowSpec, columns: Iterable[str], steps: Sequence[int]) ->
 
 def rolling(
     df: DataFrame, b: Binding, columns: Sequence[str],
-    windows: Sequence[int] = (3, 7, 14, 30), hot_rows: int | None = HOT_ROWS,
+    windows: Sequence[int] = (3, 7, 14, 30), block_rows: int | None = None,
 ) -> DataFrame:
     """Mean and sample deviation of the rows before the current one."""
     return over_series(
-        df, b, lambda w: rolling_columns(w, columns, windows), max(windows), hot_rows
+        df, b, lambda w: rolling_columns(w, columns, windows), max(windows), block_rows
     )
 
 
@@ -157,10 +142,10 @@ def difference_columns(
 
 def differences(
     df: DataFrame, b: Binding, column: str, steps: dict[str, tuple[int, float]],
-    hot_rows: int | None = HOT_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     back = max(k for k, _ in steps.values())
-    return over_series(df, b, lambda w: difference_columns(w, column, steps), back, hot_rows)
+    return over_series(df, b, lambda w: difference_columns(w, column, steps), back, block_rows)
 
 
 def rolling_range_column(w: WindowSpec, column: str, rows: int = 7, least: int = 3) -> Column:
@@ -173,10 +158,10 @@ def rolling_range_column(w: WindowSpec, column: str, rows: int = 7, least: int =
 
 def rolling_range(
     df: DataFrame, b: Binding, column: str, name: str, rows: int = 7, least: int = 3,
-    hot_rows: int | None = HOT_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     return over_series(
-        df, b, lambda w: {name: rolling_range_column(w, column, rows, least)}, rows - 1, hot_rows
+        df, b, lambda w: {name: rolling_range_column(w, column, rows, least)}, rows - 1, block_rows
     )
 
 

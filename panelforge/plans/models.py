@@ -12,7 +12,7 @@ from panelforge.operators.aggregates import group_means
 from panelforge.operators.sampling import hash_split
 from panelforge.plans.panels import SERIES, nation_series
 from panelforge.plans.registry import R, events, query, rounded, table
-from panelforge.session import durable, side_by_side, spread_small
+from panelforge.session import durable, side_by_side, spread
 from panelforge.sources import read_model, scratch_path, write_model
 
 KEY = ["n_name"]
@@ -86,7 +86,8 @@ def ml_isolation_forest(spark, d):
         F.xxhash64("*").alias("row_id"), "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
     return anomaly.isolation_forest(
-        lines, ["row_id"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+        lines, ["row_id"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+        partitions=spark.sparkContext.defaultParallelism,
     )
 
 
@@ -302,7 +303,7 @@ def _supervised_lines(spark, d):
 
 
 def _fitted(spark, d):
-    rows = durable(spread_small(_supervised_lines(spark, d)))
+    rows = durable(spread(_supervised_lines(spark, d), spark.sparkContext.defaultParallelism))
     train = rows.where("is_train")
     booster = trees.boosting(**{**BOOSTS, "maxDepth": 5, "seed": 42}).fit(train)
     return rows, train, booster
@@ -310,7 +311,7 @@ def _fitted(spark, d):
 
 @query("ml_random_forest")
 def ml_random_forest(spark, d):
-    rows = durable(spread_small(_supervised_lines(spark, d)))
+    rows = durable(spread(_supervised_lines(spark, d), spark.sparkContext.defaultParallelism))
     model = trees.forest(minInstancesPerNode=3, seed=42, **TOP_SPEED).fit(rows.where("is_train"))
     return model.transform(rows.where(~F.col("is_train"))).select("row_id", "label", "prediction")
 

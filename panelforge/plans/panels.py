@@ -384,4 +384,4 @@ def fe_feature_table(spark, d):
 def wn_lag_long_series(spark, d):
     """Few long series: each is cut into blocks of 1,000 rows."""
     b = Binding(("event_type",), "ts", ("event_id",), ("value",))
-    return windows.lags(events(spark, d), b, ["value"], [2], hot_rows=1000).select("event_id", "value_lag2")
+    return windows.lags(events(spark, d), b, ["value"], [2], block_rows=1000).select("event_id", "value_lag2")

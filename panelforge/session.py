@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -29,6 +32,19 @@ def local_session(cores: int | str = 8, app: str = "panelforge", **conf: str) ->
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> str:
+    """Send this package to the Python workers of a cluster on which it is not installed; returns the archive."""
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(), "panelforge.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(home):
+            for name in (n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(home)))
+    spark.addArtifact(path, pyfile=True) if hasattr(spark, "_client") else spark.sparkContext.addPyFile(path)
+    return path
+
+
 _MADE: dict[str, list[str]] = {}
 
 
@@ -89,9 +105,6 @@ def side_by_side(tasks: Sequence[Callable[[], object]], most: int = 4) -> list:
         return [s.result() for s in started]
 
 
-SMALL_BYTES = 64 * 1024 * 1024
-
-
 def by_group(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Partition by the keys of a grouped Python function, which then needs no other shuffle.
 
@@ -105,10 +118,6 @@ def by_group(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(n, *[col(k) for k in keys])
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give all cores a share of a small table before a slow Python function.
-
-    A table above the size limit has partitions enough and is left alone.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal the rows out to ``partitions`` tasks before a slow Python function; None leaves them as they are."""
+    return df if partitions is None else df.repartition(partitions)

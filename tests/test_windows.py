@@ -37,9 +37,9 @@ def test_long_series_in_blocks_equal_the_plain_window(panel):
     def make(w):
         return rolling_columns(w, ["v"], (3, 7))
 
-    plain = pandas_of(over_series(panel, B, make, 7, hot_rows=None))
-    for hot_rows in (7, 50, 100_000):
-        cut = pandas_of(over_series(panel, B, make, 7, hot_rows=hot_rows))
+    plain = pandas_of(over_series(panel, B, make, 7, block_rows=None))
+    for block_rows in (7, 50, 100_000):
+        cut = pandas_of(over_series(panel, B, make, 7, block_rows=block_rows))
         assert len(cut) == len(plain) == 900
         pd.testing.assert_frame_equal(cut[plain.columns], plain)
 
@@ -66,7 +66,7 @@ def test_blocks_survive_the_change_of_clocks(spark):
     )
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        got = windows.lags(df, B, ["v"], [1], hot_rows=20).orderBy("i").collect()
+        got = windows.lags(df, B, ["v"], [1], block_rows=20).orderBy("i").collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert [r.v_lag1 for r in got] == [None, *map(float, range(599))]
@@ -77,19 +77,19 @@ def test_blocks_over_other_kinds_of_time(spark, kind):
     times = {"int": "cast(id AS int)", "date": "date_add(date'2000-01-01', cast(id AS int))",
              "timestamp": "timestamp_seconds(id * 1000)"}
     df = spark.range(300).selectExpr("id AS i", "'a' AS k", f"{times[kind]} AS t", "cast(id AS double) AS v")
-    got = windows.lags(df, B, ["v"], [2], hot_rows=25).orderBy("i").collect()
+    got = windows.lags(df, B, ["v"], [2], block_rows=25).orderBy("i").collect()
     assert [r.v_lag2 for r in got] == [None, None, *map(float, range(298))]
 
 
 def test_lag_diff_and_range(rows):
     df = rows("k string, t int, v double", *[("a", i, float(i * i)) for i in range(5)], ("b", 0, 1.0))
     b = Binding(("k",), "t")
-    out = windows.lags(df, b, ["v"], [1, 3], hot_rows=None).where("k = 'a'").orderBy("t").collect()
+    out = windows.lags(df, b, ["v"], [1, 3], block_rows=None).where("k = 'a'").orderBy("t").collect()
     assert [r.v_lag1 for r in out] == [None, 0.0, 1.0, 4.0, 9.0]
     assert [r.v_lag3 for r in out] == [None, None, None, 0.0, 1.0]
-    out = windows.differences(df, b, "v", {"d": (2, 2.0)}, hot_rows=None).where("k = 'a'").orderBy("t").collect()
+    out = windows.differences(df, b, "v", {"d": (2, 2.0)}, block_rows=None).where("k = 'a'").orderBy("t").collect()
     assert [r.d for r in out] == [None, None, 2.0, 4.0, 6.0]
-    out = windows.rolling_range(df, b, "v", "r", 4, 3, hot_rows=None).where("k = 'a'").orderBy("t").collect()
+    out = windows.rolling_range(df, b, "v", "r", 4, 3, block_rows=None).where("k = 'a'").orderBy("t").collect()
     assert [r.r for r in out] == [None, None, 4.0, 9.0, 15.0]
 
 
