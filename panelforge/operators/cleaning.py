@@ -155,6 +155,19 @@ def standardize(
     )
 
 
+def unstandardize(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Undo :func:`standardize` with the table that :func:`scaling_stats` gave before it."""
+    at = one_row(
+        stats,
+        *[F.max(F.when(F.col("column") == c, F.col("mean"))).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.max(F.when(F.col("column") == c, F.col("std"))).alias(f"s{i}") for i, c in enumerate(columns)],
+    )
+    return df.withColumns({
+        c: col(c) * F.when(at[f"s{i}"] > 0, at[f"s{i}"]).otherwise(F.lit(1.0)) + at[f"m{i}"]
+        for i, c in enumerate(columns)
+    })
+
+
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """Codes 0..n-1 of the distinct labels in lexicographic order: ``(label, code)``.
 
@@ -185,6 +198,13 @@ def encode_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+def decode_labels(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
+    """Put the labels of :func:`label_codes` back for ``<column>_encoded``; a missing label was coded as ``nan``."""
+    names = codes.select(F.col("code").alias("_code"), F.col("label").alias("_label"))
+    joined = df.join(names, col(f"{column}_encoded") == F.col("_code"), "left").drop("_code")
+    return joined.withColumn(column, F.col("_label")).drop("_label")
+
+
 def scaled_table(
     df: DataFrame, columns: Sequence[str], categories: Sequence[str], carry: Sequence[str]
 ) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelforge.binding import Binding
-from panelforge.operators import cleaning, features, timeseries as ts, windows
+from panelforge.operators import anomaly, cleaning, features, timeseries as ts, windows
 from panelforge.operators.aggregates import extremes, group_means, linear_trend
 from panelforge.plans.registry import (
     EVENTS, HOLEY, OBS, R, events, holey, observations, query, rounded, table,
 )
+from panelforge.session import durable, scratch_path
+from panelforge.sources import write_parquet
 
 W = "(PARTITION BY user_id ORDER BY ts, event_id)"
 
@@ -385,3 +387,43 @@ def wn_lag_long_series(spark, d):
     """Few long series: each is cut into blocks of 1,000 rows."""
     b = Binding(("event_type",), "ts", ("event_id",), ("value",))
     return windows.lags(events(spark, d), b, ["value"], [2], block_rows=1000).select("event_id", "value_lag2")
+
+
+@query("cl_inverse_scaling", f"SELECT event_id, {R('value')} AS value FROM events")
+def cl_inverse_scaling(spark, d):
+    """Scaled values brought back by the statistics that were kept."""
+    rows = events(spark, d)
+    stats = durable(cleaning.scaling_stats(rows, ["value"]))
+    back = cleaning.unstandardize(cleaning.standardize(rows, ["value"]), stats, ["value"])
+    return rounded(back.select("event_id", "value"))
+
+
+@query("cl_decode_labels", f"WITH {HOLEY} SELECT event_id, coalesce(event_type, 'nan') AS event_type FROM holey")
+def cl_decode_labels(spark, d):
+    """Encoded labels brought back by their codes."""
+    rows = holey(events(spark, d))
+    codes = durable(cleaning.label_codes(rows, "event_type"))
+    coded = cleaning.encode_labels(rows, ["event_type"]).select("event_id", "event_type_encoded")
+    return cleaning.decode_labels(coded, codes, "event_type").select("event_id", "event_type")
+
+
+@query("cl_prepared_panel", f"""
+WITH {CLEAN}, capped AS (SELECT event_id, user_id, event_type, {CAPPED} AS value FROM typed, fence)
+SELECT event_id, user_id, {R('(value - avg(value) OVER ()) / stddev_pop(value) OVER ()')} AS value,
+  CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS event_type_encoded,
+  count(*) OVER () AS total FROM capped""")
+def cl_prepared_panel(spark, d):
+    """The whole chain: cleaning, outlier flag, scaling, codes, a sorted sink, and the sink read back.
+
+    The flag is random by design and is left out of the comparison; its rows must all be there.
+    """
+    cleaned = durable(cleaning.clean_panel(
+        duplicated(spark, d), EVENTS, ["value"], ["event_type"], ["ts", "user_id"], ["value"],
+        rules=RULES, drop=["props"],
+    ))
+    flagged = anomaly.isolation_forest(cleaned, ["event_id"], ["value"], trees=50)
+    scaled = cleaning.scaled_table(flagged, ["value"], ["event_type"], ["event_id", "user_id", "outlier_iforest"])
+    path = write_parquet(scaled, scratch_path(spark, "prepared"), sort=["user_id", "event_id"])
+    back = spark.read.parquet(path)
+    back = back.withColumn("total", back.agg(F.count("outlier_iforest")).scalar())
+    return rounded(back.drop("outlier_iforest"))

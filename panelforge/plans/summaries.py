@@ -331,6 +331,14 @@ def agg_linear_trend(spark, d):
     return rounded(fit.select("n_name", "slope", "r2", "slope_per_year", "n"))
 
 
+@query("agg_trend_fit", f"""
+WITH q AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS y FROM orders GROUP BY 1),
+p AS (SELECT y, CAST(day - DATE '1995-01-01' AS DOUBLE) AS x FROM q)
+SELECT {R('regr_slope(y, x)')} AS slope, {R('regr_r2(y, x)')} AS r2, CAST(regr_count(y, x) AS BIGINT) AS n FROM p""")
+def agg_trend_fit(spark, d):
+    return rounded(agg_trend_p_value(spark, d).drop("p_value"))
+
+
 @query("agg_trend_p_value")
 def agg_trend_p_value(spark, d):
     daily = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(
