@@ -141,7 +141,8 @@ def largest(vectors: DataFrame, queries, id_: str = "vec_id", vector: str = "emb
     for r in sums:
         square[r["at"]] = r["sum"]
     axes = np.linalg.eigh(square.reshape(width, width))[1][:, ::-1]
-    first = stored.orderBy(F.desc("squares"), "id").limit(SEEDS).select("id", "v").toArrow()
+    bound = stored.select("squares").orderBy(F.desc("squares")).limit(SEEDS).agg(F.min("squares")).first()[0]
+    first = stored.where(F.col("squares") >= F.lit(bound)).limit(SEEDS).select("id", "v").toArrow()
     seeds = np.asarray(first.column("id").combine_chunks()), _matrix(first.column("v"), width)
     asked = durable(asked.select("id", "v"))
     blocks = max(1, -(-asked.count() // QUERIES_AT_ONCE))

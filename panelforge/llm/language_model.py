@@ -236,7 +236,7 @@ def scored(docs: DataFrame, train, id_: str = "doc_id", text: str = "text", trus
     sizes = seen.groupBy("segment").applyInArrow(_sizes, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     train_tokens, distinct = int(sizes[0] or 0), int(sizes[1] or 0)
     rest = [f for f in df.schema.fields if f.name not in ("_train", text)]
-    place = F.pmod(F.xxhash64(*[col(c) for c in (id_,)], F.octet_length(col(text))), F.lit(n)).cast("int")
+    place = F.pmod(F.xxhash64(col(id_), col(text)), F.lit(n)).cast("int")
     groups = df.withColumn("_chunk", place).repartition(n, "_chunk").groupBy("_chunk")
     said = groups.applyInArrow(_ask(text, bits), _schema(_ASK)).groupBy("segment").applyInArrow(_answer, _schema(_SAID))
     out = StructType([*rest, StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base_score", DoubleType()), StructField("score", DoubleType())])

@@ -48,7 +48,8 @@ NEGATIVE = re.compile(
 )
 POSITIVE = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|text|body)(?=$|[\s_-])", re.I)
 
-KINDS = ("plain", "content", "other", "text")
+#: Kinds of parents. Inside a named part of a page its kind goes on to what is below, until another part is named.
+PLAIN, CONTENT, OTHER, TEXT, GRID = range(5)
 FEATURES = (
     "article", "nav", "header", "footer", "aside", "form", "heading", "paragraph", "list", "table",
     "named_other", "named_content", "outside", "leaf", "words", "links", "sentence",
@@ -60,10 +61,12 @@ PRIOR_EDGES = np.array([
     [[0.5, 0.0], [0.0, 4.0]],
     [[5.0, 0.0], [0.0, 1.0]],
     [[4.0, 0.0], [0.0, 6.0]],
+    [[0.3, 0.0], [0.0, 0.5]],
 ])
 _TAGS = {"article": 0, "main": 0, "nav": 1, "menu": 1, "header": 2, "footer": 3, "aside": 4, "form": 5, "search": 5, "dialog": 5,
          "p": 7, "blockquote": 7, "pre": 7, "figcaption": 7, "ul": 8, "ol": 8, "li": 8, "dl": 8, "dt": 8, "dd": 8, "table": 9, "tr": 9, "td": 9, "th": 9}
-_TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "td", "th", "tr", "tbody", "thead", "figcaption", "caption", "summary"}
+_TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "td", "th", "figcaption", "caption", "summary"}
+_GRIDS = {"table", "tbody", "thead", "tfoot", "tr"}
 
 
 @dataclass
@@ -74,6 +77,7 @@ class Forest:
     depth: list[int] = field(default_factory=list)
     kind: list[int] = field(default_factory=list)
     values: list[list[float]] = field(default_factory=list)
+    part: list[int] = field(default_factory=list)
     text: list[str | None] = field(default_factory=list)
     #: Whether the markup says that a node is in the article; None where it names no article.
     label: list[bool | None] = field(default_factory=list)
@@ -171,7 +175,7 @@ class Forest:
             values[_TAGS[name]] = 1.0
         elif len(name) == 2 and name[0] == "h" and name[1].isdigit():
             values[6] = 1.0
-        kind = 3 if name in _TEXTUAL else 0
+        kind = TEXT if name in _TEXTUAL else GRID if name in _GRIDS else PLAIN
         named = " ".join(v.strip("\"'") for _, v in ATTRIBUTE.findall(attributes)) if attributes else ""
         other = [x.strip(" _-").lower() for x in NEGATIVE.findall(named)] if named else []
         good = bool(named and POSITIVE.search(named))
@@ -181,10 +185,14 @@ class Forest:
             values[10] = 1.0
         elif good and not any(values[1:6]):
             values[11] = 1.0
+        part = self.part[parent] if parent >= 0 else PLAIN
         if other or any(values[1:2]) or any(values[3:6]):
-            kind = 2
+            part = OTHER
         elif values[0] or values[11]:
-            kind = 1
+            part = CONTENT
+        if part == OTHER or part == CONTENT and kind != TEXT:
+            kind = part
+        self.part.append(part)
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.kind.append(kind)
@@ -208,7 +216,7 @@ class Forest:
             p = self.parent[i] - first
             own = self.values[i][0] > 0
             inside[i - first] = own or (p >= 0 and inside[p])
-            bad[i - first] = self.kind[i] == 2 or (p >= 0 and bad[p])
+            bad[i - first] = self.part[i] == OTHER or (p >= 0 and bad[p])
             if own:
                 while p >= 0 and not holds[p]:
                     holds[p] = True
@@ -281,9 +289,11 @@ class Model:
 
 def train(pages: DataFrame, id_: str = "page_id", html: str = "html", sample: int = 300, longest: int = 1 << 18) -> Model:
     """Fit on ``sample`` pages of at most ``longest`` bytes, by a hash of the id; of those, the ones that name an article."""
-    some = pages.where(F.octet_length(col(html)) <= longest).orderBy(F.xxhash64(col(id_)), col(html)).limit(sample).select(col(html).alias("h"))
+    short = pages.where(F.octet_length(col(html)) <= longest).select(col(html).alias("h"), F.xxhash64(col(id_), col(html)).alias("k"))
+    # Only hashes are compared over all pages; the pages below the bound are read after.
+    bound = short.select("k").orderBy("k").limit(sample).agg(F.max("k")).first()[0]
     forest = Forest()
-    for r in some.collect():
+    for r in short.where(F.col("k") <= F.lit(bound)).limit(sample).collect():
         one = Forest()
         one.add(r.h)
         if one.label[0] is not None:

@@ -359,7 +359,7 @@ def without_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", ch
     total = pieces(df, size, 1)
     n, bits = max(1, -(-total // chunk)), max(0, int(-(-total // bucket) - 1).bit_length())
     schema = df.schema
-    df = df.withColumn("_chunk", F.pmod(F.xxhash64(col(id_), F.octet_length(col(text))), F.lit(n)).cast("int")).repartition(n, "_chunk")
+    df = df.withColumn("_chunk", F.pmod(F.xxhash64(col(id_), col(text)), F.lit(n)).cast("int")).repartition(n, "_chunk")
     groups = df.groupBy("_chunk")
     said = groups.applyInArrow(_ask(text, id_, bits), _schema(_ASK)).groupBy("bucket").applyInArrow(_settle, _schema(_SAID))
     by_chunk = said.repartition(n, "chunk").groupBy("chunk")

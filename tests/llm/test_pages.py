@@ -87,3 +87,24 @@ def test_odd_rows(spark, prose):
     assert max(len(r.main_text.split("\n")) for r in got) == 2000
     empty = df.limit(0)
     assert p.extracted(empty, p.train(empty)).collect() == []
+
+
+def test_parts_of_other_pages(spark):
+    """Layouts that the labelled pages do not show: what is not the article goes with all that is in it."""
+    shown = p.Forest()
+    for i in range(20):
+        shown.add(f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class=ad>Some offer {i}.</div><article><h1>Title {i}</h1><p>Words of page {i}, enough of them.</p></article><footer>c</footer></body>")
+    model = p.Model().fit(shown)
+
+    def run(html):
+        forest = p.Forest()
+        forest.add(html)
+        kept = model.marginals(forest)[0] > 0.5
+        return [t for t, k in zip(forest.text, kept) if k and t is not None]
+
+    assert run("<header><h1>Site</h1></header><div class='notice'><p>We have updated our terms, please read them.</p></div><main><article><header>"
+               "<h1>Story</h1></header><p>Para.</p><div class='ad-slot'><div><p>Buy the thing today, friends.</p></div></div><ul><li>a</li></ul>"
+               "<form><p>Give us your mail address.</p></form><section id=comments><article class=comment><p>First! What a nice thing to read.</p>"
+               "</article></section></article></main><aside><p>Other things to read on this site today.</p></aside>") == ["Story", "Para.", "a"]
+    assert run("<body><table><tr><td><a href=1>Home</a></td><td><h1>Big title</h1><p>This is the article text, long enough to be read.</p></td></tr></table>") == [
+        "Big title", "This is the article text, long enough to be read."]
