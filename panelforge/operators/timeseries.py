@@ -251,14 +251,13 @@ def classical_decomposition(
     parts = running.withColumns(
         {"trend": F.when(found == period, average), "_phase": F.pmod(F.col("_r") - 1, F.lit(period))}
     ).drop("_r", "_sum", "_cnt")
-    phases = (
-        parts.withColumn("_d", v - F.col("trend")).groupBy(*keys, "_phase")
-        .agg(F.avg("_d").alias("_s"))
-    )
-    centred = phases.withColumn(
-        "seasonal", F.col("_s") - F.avg("_s").over(Window.partitionBy(*keys))
-    ).drop("_s")
+    # Windows over the phase and over the series give every row its seasonal part without a join;
+    # each phase counts once in the mean that is taken off, however many days it has.
+    phase, whole = Window.partitionBy(*keys, "_phase"), Window.partitionBy(*keys)
+    share = F.when(F.col("_s").isNotNull(), 1 / F.col("_n"))
     return (
-        parts.join(centred, [*series, "_phase"])
-        .withColumn("resid", v - F.col("trend") - F.col("seasonal")).drop("_phase")
+        parts.withColumn("_d", v - F.col("trend"))
+        .withColumns({"_s": F.avg("_d").over(phase), "_n": F.count(F.lit(1)).over(phase)})
+        .withColumn("seasonal", F.col("_s") - F.sum(F.col("_s") * share).over(whole) / F.sum(share).over(whole))
+        .withColumn("resid", v - F.col("trend") - F.col("seasonal")).drop("_d", "_s", "_n", "_phase")
     )
