@@ -156,8 +156,8 @@ def _verified(size: int, least: float):
 
 def linked(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
     """Those of ``pairs`` (x, y) whose ``texts`` (id, text) are alike enough."""
-    t = texts.select(F.col("id").alias("x"), F.col("text").alias("t"))
-    u = texts.select(F.col("id").alias("y"), F.col("text").alias("u"))
+    t = texts.select(F.col("id").alias("x"), F.col("text").alias("t")).hint("merge")
+    u = texts.select(F.col("id").alias("y"), F.col("text").alias("u")).hint("merge")
     return pairs.join(t, "x").join(u, "y").mapInArrow(_verified(size, least), "x long, y long")
 
 
@@ -253,7 +253,7 @@ def linked_across(met: DataFrame, found: DataFrame, texts: DataFrame, size: int,
     sides = durable(right.union(left))
     cells = max(1, -(-sides.count() // rows))
     cell = F.pmod(F.xxhash64("hub", "i", "j"), F.lit(cells)).alias("cell")
-    return sides.join(texts, "id").select(cell, "*").groupBy("cell").applyInArrow(_blocks(size, least), "x long, y long")
+    return sides.join(texts.hint("merge"), "id").select(cell, "*").groupBy("cell").applyInArrow(_blocks(size, least), "x long, y long")
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -315,7 +315,8 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", si
     values = folded.select("id", F.posexplode("bands").alias("band", "value"))
     shared = values.groupBy("band", "value").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
     met = durable(values.join(shared, ["band", "value"]).select("hub", "id").distinct())
-    texts = df.join(met.select("id").distinct(), "id", "left_semi")
+    # Texts that meet another cross the cluster once; joins with texts are merges at every size.
+    texts = durable(df.join(met.select("id").distinct().hint("merge"), "id", "left_semi"))
     pairs = met.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y"))
     links = durable(linked(pairs, texts, size, least))
     found = durable(classes(links))
