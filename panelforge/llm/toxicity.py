@@ -308,7 +308,7 @@ def train(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "
     marks = labels.select(col(id_).alias("_id"), col(label).cast("int").alias("_t")).where("_id is not null and _t is not null")
     marks = marks.groupBy("_id").agg((F.max("_t") > 0).alias("_toxic"))
     texts = docs.select(col(id_).alias("_id"), col(text))
-    counts = texts.join(marks, "_id").select("_toxic", col(text)).mapInArrow(_counted(text), "key long, toxic long, clean long")
+    counts = texts.join(marks.hint("merge"), "_id").select("_toxic", col(text)).mapInArrow(_counted(text), "key long, toxic long, clean long")
     counts = counts.where("key <> 0").groupBy("key").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     totals = marks.agg(F.count_if("_toxic").alias("t"), F.count_if(~F.col("_toxic")).alias("c")).first()
     bad, good = int(totals.t or 0), int(totals.c or 0)
