@@ -46,6 +46,29 @@ def test_odd_rows(spark):
     assert got(df.where("vec_id = 0")) == []
 
 
+@pytest.mark.parametrize("sizes", [[1e5], [1e5, 3e6, 1e9], [1e7, 1e20, 3e38]])
+def test_long_vectors_take_part(spark, sizes):
+    """Vectors of any finite length are queries and candidates; scores beyond 64 bits are NULL, their order is exact."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 8))
+    for n, size in enumerate(sizes):
+        x[[7 + n, 100 * (n % 3), 150 + n], n] = size
+        x[[31 + n, 200], n + 1] = -size
+        x[40 + 10 * n : 45 + 10 * n] = x[7 + n]
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    want = [(*t[:3], t[3] if -(2**63) <= t[3] < 2**63 else None) for t in brute(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    assert got(df) == want
+    alone = [r for r in rows if max(map(abs, r[1])) >= 1e5]
+    assert [t[:3] for t in got(df.where(F.exists("embedding", lambda v: F.abs(v) >= 1e5)))] == [t[:3] for t in brute(alone)]
+
+
+def test_largest_doubles(spark):
+    rows = [(0, [1e308, 1.0]), (100, [-1e308, 1.0]), (1, [1e307, 2.0]), (2, [0.5, 0.5]), (3, [-1e308, 3.0]), (4, [1e308, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [t[2] for t in got(df)] == [4, 1, 2, 3, 100, 3, 2, 1, 0, 4]
+
+
 def test_bounds_skip_work():
     """Short candidates are not looked at once long ones have set the threshold."""
     r = np.random.default_rng(3)
