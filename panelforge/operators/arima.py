@@ -104,18 +104,25 @@ def fit(
     return params
 
 
+def days_needed(order: Order, seasonal: Order = (0, 0, 0), period: int = 0) -> int:
+    """Days before the test window from which the model is fitted."""
+    lost = order[1] + seasonal[1] * period
+    longest = order[0] + seasonal[0] * period + max(order[2], seasonal[2] * period)
+    return lost + 3 * longest + 10
+
+
 def backtest(
     y: np.ndarray, test: int, order: Order, seasonal: Order = (0, 0, 0), period: int = 0
 ) -> tuple[np.ndarray, np.ndarray]:
     """One-step predictions of the last ``test`` values and the width of their 95 % band.
 
     The fit sees only the values before. Each prediction uses the true values
-    up to the day before. A series too short for the model repeats its last value.
+    up to the day before. With fewer than :func:`days_needed` days before the test
+    window this repeats the last value; the forecasters give NULL there instead.
     """
     train = len(y) - test
     lost = order[1] + seasonal[1] * period
-    longest = order[0] + seasonal[0] * period + max(order[2], seasonal[2] * period)
-    if train - lost < 3 * longest + 10:
+    if train < days_needed(order, seasonal, period):
         previous = np.concatenate(([np.nan], y[:-1]))[train:]
         spread = np.std(np.diff(y[:train])) if train > 2 else np.nan
         return previous, np.full(test, BAND * spread)

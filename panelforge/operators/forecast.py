@@ -16,9 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelforge.binding import col
+from panelforge.functions.stats import regression_metric_columns
 from panelforge.operators import additive, arima
-from panelforge.operators.aggregates import regression_metrics
-from panelforge.operators.timeseries import from_end, supervised, supervised_features
+from panelforge.operators.aggregates import grouped, regression_metrics
+from panelforge.operators.timeseries import LAGS, from_end, supervised, supervised_features
 from panelforge.operators.trees import boosting, forest, assemble
 from panelforge.session import by_group, durable, side_by_side
 
@@ -53,50 +54,65 @@ def baselines(
 def _per_series(
     daily: DataFrame, value: str, series: Sequence[str], test: int, date: str, model: str,
     predict: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]],
+    needed: int, reason: bool,
 ) -> DataFrame:
-    """Run ``predict(days, values, test)`` on each series in its own task."""
+    """Run ``predict(days, values, test)`` on each series in its own task.
+
+    The test days are those of the baselines. A series with fewer than
+    ``needed`` days before them gets NULL predictions.
+    """
     keys = list(series)
-    schema = f"{_columns(daily, keys)}, `{date}` date, model string, y_true double, y_pred double, lo double, hi double"
+    schema = (f"{_columns(daily, keys)}, `{date}` date, model string, y_true double, y_pred double, "
+              "lo double, hi double, reason string")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date)
         y = pdf[value].to_numpy(float)
         days = pd.to_datetime(pdf[date]).to_numpy().astype("datetime64[D]").astype(float)
-        size = min(test, len(y) - 1)
-        out = pdf[[*keys, date]].iloc[len(y) - size:].copy()
-        predicted, width = predict(days, y, size)
+        size = min(test, len(y))
+        train = len(y) - size
+        out = pdf[[*keys, date]].iloc[train:].copy()
+        if train < needed:
+            predicted = width = np.full(size, np.nan)
+        else:
+            predicted, width = predict(days, y, size)
         return out.assign(
-            model=model, y_true=y[len(y) - size:], y_pred=predicted,
+            model=model, y_true=y[train:], y_pred=predicted,
             lo=predicted - width, hi=predicted + width,
+            reason=f"{train} days before the test window, {needed} needed" if train < needed else None,
         )
 
     rows = daily.select(*[col(k) for k in keys], col(date), col(value).cast("double").alias(value))
-    return by_group(rows, keys).groupBy(*[col(k) for k in keys]).applyInPandas(run, schema)
+    out = by_group(rows, keys).groupBy(*[col(k) for k in keys]).applyInPandas(run, schema)
+    return out if reason else out.drop("reason")
 
 
 def arima_forecast(
     daily: DataFrame, value: str, series: Sequence[str], test: int = TEST_DAYS,
-    order: arima.Order = (2, 1, 2), date: str = "date",
+    order: arima.Order = (2, 1, 2), date: str = "date", reason: bool = False,
 ) -> DataFrame:
+    """``reason`` adds a column that says why predictions are NULL; so in the other forecasters."""
     return _per_series(
         daily, value, series, test, date, "ARIMA",
-        lambda _, y, n: arima.backtest(y, n, order),
+        lambda _, y, n: arima.backtest(y, n, order), arima.days_needed(order), reason,
     )
 
 
 def sarima_forecast(
     daily: DataFrame, value: str, series: Sequence[str], test: int = TEST_DAYS,
     order: arima.Order = (1, 1, 1), seasonal: arima.Order = (1, 1, 1), period: int = 7,
-    date: str = "date",
+    date: str = "date", reason: bool = False,
 ) -> DataFrame:
     return _per_series(
         daily, value, series, test, date, "SARIMA",
         lambda _, y, n: arima.backtest(y, n, order, seasonal, period),
+        arima.days_needed(order, seasonal, period), reason,
     )
 
 
 def additive_forecast(
-    daily: DataFrame, value: str, series: Sequence[str], test: int = TEST_DAYS, date: str = "date"
+    daily: DataFrame, value: str, series: Sequence[str], test: int = TEST_DAYS, date: str = "date",
+    reason: bool = False,
 ) -> DataFrame:
     """Additive curve fitted before the test window and drawn through it."""
 
@@ -104,7 +120,7 @@ def additive_forecast(
         split = len(y) - n
         return additive.fit_predict(days[:split], y[:split], days[split:])
 
-    return _per_series(daily, value, series, test, date, "Additive", predict)
+    return _per_series(daily, value, series, test, date, "Additive", predict, 1, reason)
 
 
 def future_outlook(
@@ -131,12 +147,13 @@ def future_outlook(
 
 def tree_forecast(
     daily: DataFrame, value: str, series: Sequence[str], model: str, test: int = TEST_DAYS,
-    date: str = "date", seed: int = 42, **params,
+    date: str = "date", seed: int = 42, reason: bool = False, **params,
 ) -> DataFrame:
     """One tree ensemble pooled over all series, on features of earlier days only.
 
     ``model`` is RandomForest, GradientBoosting (depth 4) or GradientBoosting5
-    (depth 5, the nearest that MLlib has to growth by leaves).
+    (depth 5, the nearest that MLlib has to growth by leaves). Test days
+    without all lags get NULL predictions.
     """
     ranked = from_end(daily, series, date, "_e")
     rows = supervised(ranked, value, series, date)
@@ -145,6 +162,20 @@ def tree_forecast(
     rows = rows.select(*[col(s) for s in series], date, "_e", "features", "label")
     rows = durable(by_group(rows, series))
     train = rows.where(F.col("_e") > test).select("features", "label")
+    keys = [*[col(s) for s in series], F.col(date), F.lit(model).alias("model")]
+    none = F.lit(None).cast("double")
+    missing = [none.alias(n) for n in ("y_pred", "lo", "hi")]
+    since = F.row_number().over(Window.partitionBy(*[col(s) for s in series]).orderBy(date))
+    early = ranked.withColumn("_r", since).where((F.col("_r") <= max(LAGS)) & (F.col("_e") <= test))
+    early = early.select(
+        *keys, col(value).cast("double").alias("y_true"), *missing,
+        F.concat((F.col("_r") - 1).cast("string"), F.lit(f" days before, {max(LAGS)} needed")).alias("reason"),
+    )
+    if train.isEmpty():
+        nothing = rows.where(F.col("_e") <= test).select(
+            *keys, F.col("label").alias("y_true"), *missing, F.lit("no day to fit on in any series").alias("reason")
+        )
+        return early.unionByName(nothing) if reason else early.unionByName(nothing).drop("reason")
     if model == "RandomForest":
         fitted = forest(**{"numTrees": 400, "minInstancesPerNode": 2, "seed": seed, **params}).fit(train)
     else:
@@ -152,32 +183,43 @@ def tree_forecast(
         fitted = boosting(
             **{"maxIter": 600, "stepSize": 0.03, "maxDepth": depth, "seed": seed, **params}
         ).fit(train)
-    none = F.lit(None).cast("double")
-    scored = fitted.transform(rows.where(F.col("_e") <= test))
-    return scored.select(
-        *[col(s) for s in series], F.col(date), F.lit(model).alias("model"),
-        F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"),
-        none.alias("lo"), none.alias("hi"),
+    scored = fitted.transform(rows.where(F.col("_e") <= test)).select(
+        *keys, F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"),
+        none.alias("lo"), none.alias("hi"), F.lit(None).cast("string").alias("reason"),
     )
+    return scored.unionByName(early) if reason else scored.unionByName(early).drop("reason")
 
 
 def all_models(
     daily: DataFrame, value: str, series: Sequence[str], test: int = TEST_DAYS,
-    trees: dict[str, dict] | None = None,
+    trees: dict[str, dict] | None = None, reason: bool = False,
 ) -> DataFrame:
     """Predictions of every forecaster in one table; ``trees`` sets parameters by model name."""
     names = ("RandomForest", "GradientBoosting", "GradientBoosting5")
     trees = {n: {} for n in names} if trees is None else trees
     parts = [
-        arima_forecast(daily, value, series, test), sarima_forecast(daily, value, series, test),
-        additive_forecast(daily, value, series, test),
+        *[f(daily, value, series, test, reason=reason) for f in (arima_forecast, sarima_forecast, additive_forecast)],
         *side_by_side(
-            [partial(tree_forecast, daily, value, series, n, test, **p) for n, p in trees.items()]
+            [partial(tree_forecast, daily, value, series, n, test, reason=reason, **p) for n, p in trees.items()]
         ),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def backtest_metrics(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """MAE, RMSE, MAPE and R2 per key and model."""
-    return regression_metrics(predictions, [*keys, "model"])
+def backtest_metrics(predictions: DataFrame, keys: Sequence[str], every: bool = True) -> DataFrame:
+    """MAE, RMSE, MAPE and R2 per key and model.
+
+    With ``every``, a model without predictions for a key has a row of n = 0
+    and no metrics; a column ``reason`` of the predictions is kept.
+    """
+    names = [*keys, "model"]
+    if not every:
+        return regression_metrics(predictions, names)
+    why = [F.max("reason").alias("reason")] if "reason" in predictions.columns else []
+    # One aggregation: rows without both sides stay in their group but count in no metric.
+    both = col("y_true").isNotNull() & col("y_pred").isNotNull()
+    actual, predicted = F.when(both, col("y_true")), F.when(both, col("y_pred"))
+    made = regression_metric_columns(actual, predicted)
+    return grouped(predictions, names).agg(
+        *[m.alias(n) for n, m in made.items()], F.count(predicted).alias("n"), *why
+    )

@@ -179,17 +179,17 @@ def fc_baselines(spark, d):
 
 @query("fc_backtest_metrics", f"{BASE} SELECT n_name, model, {METRIC} FROM preds GROUP BY 1, 2")
 def fc_backtest_metrics(spark, d):
-    return rounded(forecast.backtest_metrics(_baselines(spark, d), KEY))
+    return rounded(forecast.backtest_metrics(_baselines(spark, d), KEY, every=False))
 
 
 @query("fc_arima")
 def fc_arima(spark, d):
-    return forecast.arima_forecast(nation_series(spark, d), "price", KEY)
+    return forecast.arima_forecast(nation_series(spark, d), "price", KEY, reason=True)
 
 
 @query("fc_sarima")
 def fc_sarima(spark, d):
-    return forecast.sarima_forecast(nation_series(spark, d), "price", KEY)
+    return forecast.sarima_forecast(nation_series(spark, d), "price", KEY, reason=True)
 
 
 @query("fc_additive")
@@ -215,7 +215,7 @@ def fc_all_models(spark, d):
     """Metrics of every forecaster on every series."""
     daily = durable(nation_series(spark, d))
     small = {"RandomForest": TOP_SPEED, "GradientBoosting": BOOSTS, "GradientBoosting5": BOOSTS}
-    predictions = forecast.all_models(daily, "price", KEY, trees=small)
+    predictions = forecast.all_models(daily, "price", KEY, trees=small, reason=True)
     return forecast.backtest_metrics(predictions, KEY)
 
 

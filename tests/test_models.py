@@ -74,6 +74,20 @@ def test_forecasters_share_one_layout(spark):
     assert {r.s for r in metrics.collect()} == {"a", "b", "tiny"}
 
 
+def test_short_series_have_the_same_test_days_and_no_other_model(spark):
+    df = daily(spark, {"a": 10 + simulate(150), "tiny": [1.0, 2.0, 3.0], "one": [5.0]})
+    days = {(r.s, r.date) for r in forecast.baselines(df, "v", ["s"], 20).select("s", "date").collect()}
+    small = {"RandomForest": {"numTrees": 2, "maxDepth": 3}}
+    out = forecast.all_models(df, "v", ["s"], 20, trees=small, reason=True).cache()
+    for model in ("ARIMA", "SARIMA", "Additive", "RandomForest"):
+        rows = out.where(F.col("model") == model).collect()
+        assert {(r.s, r.date) for r in rows} == days and len(rows) == 24
+        assert all((r.y_pred is None) == (r.s != "a") == (r.reason is not None) and r.y_true is not None for r in rows)
+    metrics = {(r.s, r.model): r for r in forecast.backtest_metrics(out, ["s"]).collect()}
+    assert len(metrics) == 12 and metrics["a", "ARIMA"].n == 20 and metrics["a", "ARIMA"].rmse > 0
+    assert metrics["one", "ARIMA"].n == 0 and metrics["one", "ARIMA"].rmse is None and "needed" in metrics["one", "ARIMA"].reason
+
+
 def test_future_outlook_covers_history_and_horizon(spark):
     out = forecast.future_outlook(daily(spark, {"a": 10 + simulate(120)}), "v", ["s"], 30).toPandas()
     assert len(out) == 150 and out["ds"].max() == START + dt.timedelta(days=149)
