@@ -16,8 +16,9 @@ from panelforge.session import durable, side_by_side, spread
 from panelforge.sources import read_model, scratch_path, write_model
 
 KEY = ["n_name"]
-TOP_SPEED = {"numTrees": 20, "maxDepth": 6}  # smaller than the defaults, for the registry
-BOOSTS = {"maxIter": 20, "stepSize": 0.1}
+# The sizes of forecast.tree_forecast; forests have the depth of trees.forest.
+TREES = {"numTrees": 400}
+BOOSTS = {"maxIter": 600, "stepSize": 0.03}
 
 # --------------------------------------------------------------------- anomalies
 
@@ -205,8 +206,8 @@ def fc_future(spark, d):
 @query("fc_tree")
 def fc_tree(spark, d):
     daily = durable(nation_series(spark, d))
-    small = {"RandomForest": TOP_SPEED, "GradientBoosting": BOOSTS, "GradientBoosting5": BOOSTS}
-    fits = [partial(forecast.tree_forecast, daily, "price", KEY, m, **p) for m, p in small.items()]
+    names = ("RandomForest", "GradientBoosting", "GradientBoosting5")
+    fits = [partial(forecast.tree_forecast, daily, "price", KEY, m) for m in names]
     return reduce(DataFrame.unionByName, side_by_side(fits))
 
 
@@ -214,8 +215,7 @@ def fc_tree(spark, d):
 def fc_all_models(spark, d):
     """Metrics of every forecaster on every series."""
     daily = durable(nation_series(spark, d))
-    small = {"RandomForest": TOP_SPEED, "GradientBoosting": BOOSTS, "GradientBoosting5": BOOSTS}
-    predictions = forecast.all_models(daily, "price", KEY, trees=small, reason=True)
+    predictions = forecast.all_models(daily, "price", KEY, reason=True)
     return forecast.backtest_metrics(predictions, KEY)
 
 
@@ -312,7 +312,7 @@ def _fitted(spark, d):
 @query("ml_random_forest")
 def ml_random_forest(spark, d):
     rows = durable(spread(_supervised_lines(spark, d), spark.sparkContext.defaultParallelism))
-    model = trees.forest(minInstancesPerNode=3, seed=42, **TOP_SPEED).fit(rows.where("is_train"))
+    model = trees.forest(minInstancesPerNode=3, seed=42, **TREES).fit(rows.where("is_train"))
     return model.transform(rows.where(~F.col("is_train"))).select("row_id", "label", "prediction")
 
 
@@ -325,7 +325,7 @@ def ml_gbt(spark, d):
 @query("fi_tree")
 def fi_tree(spark, d):
     _, train, booster = _fitted(spark, d)
-    forest = trees.forest(minInstancesPerNode=3, seed=42, **TOP_SPEED).fit(train)
+    forest = trees.forest(minInstancesPerNode=3, seed=42, **TREES).fit(train)
     a = trees.importances(forest, PREDICTORS, spark, 20).withColumn("model", F.lit("random_forest"))
     b = trees.importances(booster, PREDICTORS, spark, 20).withColumn("model", F.lit("boosting"))
     return a.unionByName(b)

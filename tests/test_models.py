@@ -101,6 +101,32 @@ def test_tree_forecast_beats_the_mean(spark):
     assert r.n == 30 and r.r2 > 0.8
 
 
+@pytest.mark.parametrize("name", ["fc_tree", "fc_all_models", "ml_random_forest", "ml_gbt", "fi_tree", "fi_permutation", "fi_shap", "io_model_roundtrip"])
+def test_registered_fits_have_the_full_size(spark, name, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    from panelforge.plans import QUERIES
+
+    class Stop(Exception):
+        pass
+
+    seen = []
+
+    def forest(self, rows):
+        seen.append(("forest", self.getNumTrees(), self.getMaxDepth()))
+        raise Stop
+
+    def boosted(self, rows):
+        seen.append(("boosting", self.getMaxIter(), self.getStepSize()))
+        raise Stop
+
+    monkeypatch.setattr(RandomForestRegressor, "fit", forest)
+    monkeypatch.setattr(GBTRegressor, "fit", boosted)
+    with pytest.raises(Stop):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen and set(seen) <= {("forest", 400, 30), ("boosting", 600, 0.03)}
+
+
 @pytest.fixture(scope="module")
 def predictions(spark):
     """Nine days and four models; RMSE on the first three days is 1, 1, 2 and 4."""
