@@ -295,14 +295,14 @@ def _suspects(model, text: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text", label: str = "toxic",
-          sample: int = 4000, most_keys: int = 1 << 16) -> Model:
+          sample: int = 4000) -> Model:
     """Fit on ``labels`` (id, 0 or 1; the larger one if an id has both, null ones are none).
 
     Counts of words and prefixes cover all labelled documents. Suspects are
     chosen on ``sample`` toxic documents, the field and the logistic function
-    fitted on ``sample`` labelled ones, both taken by a hash of the id. At most
-    ``most_keys`` candidates are kept, the clearest ones, which bounds what is
-    sent to the workers (1 MB).
+    fitted on ``sample`` labelled ones, both taken by a hash of the id. Only
+    candidates in those toxic documents can be chosen; they are all kept, so
+    what is sent to the workers is bounded by the words of the sample.
     """
     spark = docs.sparkSession
     marks = labels.select(col(id_).alias("_id"), col(label).cast("int").alias("_t")).where("_id is not null and _t is not null")
@@ -318,17 +318,19 @@ def train(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "
     gain = F.col("t") * F.log(p / share) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - p) / (1 - share))).otherwise(0.0)
     odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1))
     ranked = counts.withColumns({"odds": odds, "gain": gain}).where(f"t >= 2 and odds > {np.log(4)} and gain > 8")
-    rows = ranked.orderBy(F.desc("gain"), "key").limit(most_keys).select("key", "odds", "c").collect()
-    keys = np.array([r.key for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
     toxic_ones = marks.where("_toxic").orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    here = texts.join(F.broadcast(toxic_ones), "_id").select("_toxic", col(text)).mapInArrow(_counted(text), "key long, toxic long, clean long")
+    ranked = ranked.join(here.select("key").distinct().hint("merge"), "key", "left_semi")
+    rows = ranked.orderBy(F.desc("gain"), "key").select("key", "odds", "c").toArrow()
+    keys = rows.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
     picked: list[int] = []
-    if len(rows):
+    if len(keys):
         known = spark.sparkContext.broadcast((keys[order], order))
         bad_texts = [np.array(r.numbers, np.int64) for r in texts.join(F.broadcast(toxic_ones), "_id").select(col(text)).mapInArrow(_candidates(known, text), "numbers array<long>").collect()]
-        clean = np.array([r.c for r in rows], float) * len(bad_texts) / max(1, bad)
+        clean = rows.column("c").to_numpy().astype(float) * len(bad_texts) / max(1, bad)
         picked = sorted(chosen(bad_texts, clean, share, 8.0, 1 + len(PREFIXES)), key=lambda i: int(keys[i]))
-    model = Model(keys[picked], np.minimum(np.array([rows[i].odds for i in picked], float), 8.0), np.zeros(0), np.zeros(0))
+    model = Model(keys[picked], np.minimum(rows.column("odds").to_numpy()[picked], 8.0), np.zeros(0), np.zeros(0))
     some = marks.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     used = texts.join(F.broadcast(some), "_id").select("_toxic", col(text))
     got = used.mapInArrow(_suspects(spark.sparkContext.broadcast(model), text), "toxic boolean, length long, at array<long>, odds array<double>").collect()

@@ -34,6 +34,18 @@ def test_held_out_accuracy_and_spans(corpus):
     assert found and np.mean([all(w.strip(",.") in BAD for w in x.split(" ")) for x in found]) > 0.95
 
 
+def test_many_candidates_of_copies_leave_room_for_weaker_words(spark, prose):
+    """A copied toxic text of 30,000 rare words (some 100,000 candidates) does not displace a word of eight toxic texts."""
+    r = random.Random(8)
+    rare = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(30000))
+    docs = [(i, rare, 1) for i in range(12)] + [(20 + i, prose(i, 30) + " zorgle", 1) for i in range(8)]
+    docs += [(100 + i, prose(50 + i, 30), 0) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = t.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    keys = t.parts(t.Words(t.letters_and_digits(), 5), np.frombuffer(b"zorgle", np.uint8), np.array([0, 6]))[0]
+    assert np.isin(np.concatenate(keys), model.keys).any()
+
+
 def test_passes_equal_a_walk_over_all_tokens():
     r = np.random.default_rng(0)
     length = np.array([7, 1, 12, 5, 0])
