@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelforge.binding import Binding, col
 from panelforge.functions import bin_label, calendar_columns
 from panelforge.operators.windows import (
-    difference_columns, lag_columns, over_series, rolling_columns,
+    BLOCK_ROWS, difference_columns, lag_columns, over_series, rolling_columns,
     rolling_range_column,
 )
 
@@ -51,7 +51,7 @@ def feature_table(
     temperature: str = "temperature_celsius", humidity: str = "humidity",
     pressure: str = "pressure_mb", wind: str | None = "wind_kph",
     steps: Sequence[int] = (1, 2, 3, 7, 14), windows: Sequence[int] = (3, 7, 14, 30),
-    block_rows: int | None = None,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """All features. Every window shares one partitioning and order, hence one shuffle and sort."""
 

@@ -2,8 +2,8 @@
 
 A window function sorts a whole series in one task. That is fine for the many
 short series of a panel, but not for one that holds a third of the table.
-:func:`over_series` can therefore cut series into blocks of rows, repeat the last
-``back`` rows of each block in front of the next one, and run the same window
+:func:`over_series` therefore cuts series into blocks of rows, repeats the last
+``back`` rows of each block in front of the next one, and runs the same window
 expressions per block. The result is exactly that of the plain window.
 """
 
@@ -18,15 +18,16 @@ from panelforge.functions.dates import epoch_micros
 from panelforge.session import durable
 
 Exprs = Callable[[WindowSpec], dict[str, Column]]
+BLOCK_ROWS = 100_000
 
 def over_series(
-    df: DataFrame, b: Binding, make: Exprs, back: int, block_rows: int | None = None
+    df: DataFrame, b: Binding, make: Exprs, back: int, block_rows: int | None = BLOCK_ROWS
 ) -> DataFrame:
     """Add the window columns ``make(window)``, which look at most ``back`` rows back.
 
-    By default every series is sorted in one task, in a single pass over the
-    input: the plan for panels of many series. ``block_rows`` chooses the other
-    plan, for series of any length: each is cut into blocks of so many rows.
+    Every series is cut into blocks of ``block_rows`` rows, whatever its
+    length. None chooses the plain window: each series sorted in one task, in a
+    single pass over the input, for panels of many short series.
     Rows without a key belong to no series and get NULL; they are spread by a
     hash, so that they do not meet in one task.
     """
@@ -98,7 +99,7 @@ def _blocks(df: DataFrame, b: Binding, back: int, block_rows: int) -> DataFrame:
 
 def lags(
     df: DataFrame, b: Binding, columns: Sequence[str], steps: Sequence[int] = (1, 2, 3, 7, 14),
-    block_rows: int | None = None,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Earlier values of each series, ``<column>_lag<k>``."""
     return over_series(df, b, lambda w: lag_columns(w, columns, steps), max(steps), block_rows)
@@ -110,7 +111,7 @@ def lag_columns(w: WindowSpec, columns: Iterable[str], steps: Sequence[int]) ->
 
 def rolling(
     df: DataFrame, b: Binding, columns: Sequence[str],
-    windows: Sequence[int] = (3, 7, 14, 30), block_rows: int | None = None,
+    windows: Sequence[int] = (3, 7, 14, 30), block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Mean and sample deviation of the rows before the current one."""
     return over_series(
@@ -142,7 +143,7 @@ def difference_columns(
 
 def differences(
     df: DataFrame, b: Binding, column: str, steps: dict[str, tuple[int, float]],
-    block_rows: int | None = None,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     back = max(k for k, _ in steps.values())
     return over_series(df, b, lambda w: difference_columns(w, column, steps), back, block_rows)
@@ -158,7 +159,7 @@ def rolling_range_column(w: WindowSpec, column: str, rows: int = 7, least: int =
 
 def rolling_range(
     df: DataFrame, b: Binding, column: str, name: str, rows: int = 7, least: int = 3,
-    block_rows: int | None = None,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     return over_series(
         df, b, lambda w: {name: rolling_range_column(w, column, rows, least)}, rows - 1, block_rows

@@ -44,6 +44,14 @@ def test_long_series_in_blocks_equal_the_plain_window(panel):
         pd.testing.assert_frame_equal(cut[plain.columns], plain)
 
 
+def test_blocks_are_the_default(panel, monkeypatch):
+    made = []
+    real = windows._blocks
+    monkeypatch.setattr(windows, "_blocks", lambda *a: (made.append(a[3]), real(*a))[1])
+    windows.lags(panel, B, ["v"], [1])
+    assert made == [windows.BLOCK_ROWS]
+
+
 def test_rolling_equals_pandas_and_keyless_rows_stay(panel):
     got = pandas_of(windows.rolling(panel, B, ["v"], (3, 14)))
     base = panel.toPandas().sort_values(["k", "t", "i"])
