@@ -15,6 +15,7 @@ from panelforge.llm import (  # noqa: F401  each module registers its query
     near_duplicates,
     pages,
     repeats,
+    spellings,
     toxicity,
 )
 

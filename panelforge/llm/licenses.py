@@ -99,7 +99,8 @@ def votes(docs: DataFrame, id_: str, text: str, templates: Sequence[tuple[str, s
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_).alias("id"), words(col(text)).alias("w"))
-    places = rows.select("row", "id", F.size("w").cast("long").alias("n_words"), "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))
+    # The outer form: for the other the planner tests the size of the array first, and splits every text twice.
+    places = rows.select("row", "id", F.size("w").cast("long").alias("n_words"), "w", F.explode_outer(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))
     places = places.withColumn("key", F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(_seed("w", F.col("at"))))
     grams, many = gram_table(spark, templates)
     none = {"template": F.lit(-1), "label": F.lit(""), "base": F.lit(False), "k": F.lit(0), "length": F.lit(0), "tpos": F.lit(0),
