@@ -10,6 +10,7 @@ from panelforge.llm import (  # noqa: F401  each module registers its query
     contamination,
     inner_products,
     language_model,
+    lexical,
     licenses,
     mixing,
     near_duplicates,
