@@ -35,17 +35,21 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executor threads
     names = list(QUERIES) if os.environ.get("BENCH_ALL") else HEADLINE
     times = {}
+    scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
+
+    def so_far() -> str:
+        return json.dumps({
+            "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
+            "sf": float(scale) if scale.replace(".", "").isdigit() else scale, "open": names[len(times):],
+        })
+
     for name in names:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
         clear_scratch(spark)
-        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
-    scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
-    print(json.dumps({
-        "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": float(scale) if scale.replace(".", "").isdigit() else scale,
-    }))
+        # After each query, so that a run that is stopped keeps its figures; the last line has all of them.
+        print(so_far(), flush=True)
     spark.stop()
 
 

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelforge.binding import col
 from panelforge.functions.stats import regression_metric_columns
-from panelforge.operators import additive, arima
+from panelforge.operators import additive, arima, boost, forest
 from panelforge.operators.aggregates import grouped, regression_metrics
 from panelforge.operators.timeseries import LAGS, from_end, supervised, supervised_features
-from panelforge.operators.trees import boosting, forest, assemble
+from panelforge.operators.trees import assemble
 from panelforge.session import by_group, durable, side_by_side
 
 TEST_DAYS, HORIZON = 90, 30
@@ -151,9 +151,8 @@ def tree_forecast(
 ) -> DataFrame:
     """One tree ensemble pooled over all series, on features of earlier days only.
 
-    ``model`` is RandomForest, GradientBoosting (depth 4) or GradientBoosting5
-    (depth 5, the nearest that MLlib has to growth by leaves). Test days
-    without all lags get NULL predictions.
+    ``model`` is RandomForest, GradientBoosting (by levels, depth 4) or
+    LeafBoosting (by leaves, 31). Test days without all lags get NULL predictions.
     """
     ranked = from_end(daily, series, date, "_e")
     rows = supervised(ranked, value, series, date)
@@ -176,14 +175,21 @@ def tree_forecast(
             *keys, F.col("label").alias("y_true"), *missing, F.lit("no day to fit on in any series").alias("reason")
         )
         return early.unionByName(nothing) if reason else early.unionByName(nothing).drop("reason")
+    held_out = rows.where(F.col("_e") <= test)
     if model == "RandomForest":
-        fitted = forest(**{"numTrees": 400, "minInstancesPerNode": 2, "seed": seed, **params}).fit(train)
+        fitted = forest.grow(
+            rows.where(F.col("_e") > test), len(features), [*series, date],
+            **{"trees": 400, "leaf": 2, "seed": seed, **params},
+        )
+        scored = forest.predict(fitted, held_out)
     else:
-        depth = 5 if model.endswith("5") else 4
-        fitted = boosting(
-            **{"maxIter": 600, "stepSize": 0.03, "maxDepth": depth, "seed": seed, **params}
-        ).fit(train)
-    scored = fitted.transform(rows.where(F.col("_e") <= test)).select(
+        shape = {"leaves": 31, "least": 20} if model == "LeafBoosting" else {"depth": 4}
+        fitted = boost.fit(
+            rows.where(F.col("_e") > test), len(features), [*series, date],
+            **{"rounds": 600, "rate": 0.03, "seed": seed, **shape, **params},
+        )
+        scored = fitted.transform(held_out)
+    scored = scored.select(
         *keys, F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"),
         none.alias("lo"), none.alias("hi"), F.lit(None).cast("string").alias("reason"),
     )
@@ -195,7 +201,7 @@ def all_models(
     trees: dict[str, dict] | None = None, reason: bool = False,
 ) -> DataFrame:
     """Predictions of every forecaster in one table; ``trees`` sets parameters by model name."""
-    names = ("RandomForest", "GradientBoosting", "GradientBoosting5")
+    names = ("RandomForest", "GradientBoosting", "LeafBoosting")
     trees = {n: {} for n in names} if trees is None else trees
     parts = [
         *[f(daily, value, series, test, reason=reason) for f in (arima_forecast, sarima_forecast, additive_forecast)],

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelforge.binding import col
 from panelforge.operators.aggregates import regression_metrics
+from panelforge.operators.boost import Boosted
 from panelforge.operators.sampling import hash_sample
 from panelforge.operators.trees import node_table
 from panelforge.session import spread
 
 BUCKET_ROWS = 10_000
+MOST_PLAYERS = 8
 
 
 def permutation_importance(
@@ -95,23 +97,26 @@ def shap_values(
 
     Adds an array with one value per feature and the base value; together they
     sum up to the prediction. A leaf contributes through the features on its
-    path only, so the sum over subsets is a short polynomial product, done for
-    a whole batch of rows at once. The leaf table is broadcast: its size
-    follows from the number and depth of the trees. ``partitions`` deals a short
+    path only, so its part is looked up in a table by the set of features that a
+    row agrees with. The tables are broadcast: their size follows from the
+    number and depth of the trees. ``partitions`` deals a short
     table out to so many tasks first.
     """
-    paths = leaf_paths(node_table(model, rows.sparkSession).toPandas())
+    spark = rows.sparkSession
+    nodes = model.nodes(spark) if isinstance(model, Boosted) else node_table(model, spark)
+    paths = leaf_paths(nodes.toPandas())
+    tables = [(*path_table(value, items), items) for value, items in paths if items and value]
     width = len(features)
     expected = sum(v * math.prod(share for _, (_, _, share) in items) for v, items in paths)
-    shared = rows.sparkSession.sparkContext.broadcast(paths)
+    shared = spark.sparkContext.broadcast(tables)
 
     @F.pandas_udf("array<double>")
     def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             x = np.stack(batch.to_numpy())
             phi = np.zeros((len(x), width))
-            for value, items in shared.value:
-                _add_leaf(phi, x, value, items)
+            for on, off, items in shared.value:
+                _add_leaf(phi, x, on, off, items)
             yield pd.Series(list(phi))
 
     return spread(rows, partitions).withColumn(name, explain(vector_to_array("features"))).withColumn(
@@ -119,20 +124,59 @@ def shap_values(
     )
 
 
-def _add_leaf(phi: np.ndarray, x: np.ndarray, value: float, items: list) -> None:
+def path_table(value: float, items: list) -> tuple[np.ndarray, np.ndarray]:
+    """What a leaf adds to each feature of its path, by the set of features whose values stay on the path.
+
+    The game of one leaf has as many players as its path has features, m, and
+    a row takes part only by the set of those that it agrees with, a number of
+    m bits. Both halves of a player's difference are kept, for the sets with
+    and without it, in one table of 2^m sets: ``table[set, player]``. Paths
+    that are too long for a table keep their value and the shares.
+    """
+    m = len(items)
+    shares = np.array([share for _, (_, _, share) in items])
+    if m > MOST_PLAYERS:
+        return np.array([value]), shares
+    sets = np.arange(1 << m)
+    on = (sets[:, None] >> np.arange(m)) & 1
+    weight = np.array([math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)])
+    table = np.zeros((1 << m, m))
+    for i in range(m):
+        # Sum over subsets of the others: their factors as a polynomial in the number of members.
+        poly = np.zeros((1 << m, m))
+        poly[:, 0] = 1.0
+        for j in (k for k in range(m) if k != i):
+            shifted = np.zeros_like(poly)
+            shifted[:, 1:] = poly[:, :-1]
+            poly = poly * shares[j] + shifted * on[:, j : j + 1]
+        table[:, i] = value * (on[:, i] - shares[i]) * (poly @ weight)
+    return table, shares
+
+
+def _add_leaf(phi: np.ndarray, x: np.ndarray, table: np.ndarray, shares: np.ndarray, items: list) -> None:
     m = len(items)
-    if not m or not value:
-        return
     on = [(x[:, f] > low) & (x[:, f] <= high) for f, (low, high, _) in items]
+    if table.ndim == 1:
+        _add_long_path(phi, float(table[0]), shares, on, [f for f, _ in items])
+        return
+    number = np.zeros(len(x), np.int64)
+    for j in range(m):
+        number += on[j].astype(np.int64) << j
+    for j, (f, _) in enumerate(items):
+        phi[:, f] += table[number, j]
+
+
+def _add_long_path(phi: np.ndarray, value: float, shares: np.ndarray, on: list, features: list[int]) -> None:
+    m = len(on)
     weight = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
     # Coefficient k: sum over subsets of k features that follow the row.
-    poly = [np.ones(len(x))] + [np.zeros(len(x)) for _ in range(m)]
-    for j, (_, (_, _, z)) in enumerate(items):
+    poly = [np.ones(len(phi))] + [np.zeros(len(phi)) for _ in range(m)]
+    for j, z in enumerate(shares):
         for k in range(j + 1, 0, -1):
             poly[k] = poly[k] * z + poly[k - 1] * on[j]
         poly[0] = poly[0] * z
     off_total = sum(w * p for w, p in zip(weight, poly))
-    for i, (f, (_, _, share)) in enumerate(items):
+    for i, (f, share) in enumerate(zip(features, shares)):
         # The polynomial of the others: divide out this feature, from the highest coefficient down.
         rest = poly[m]
         on_total = weight[m - 1] * rest

@@ -12,6 +12,10 @@ from panelforge.binding import col
 from panelforge.sources import scratch_path
 
 
+# Rows keep the number of their node, so that a half-built ensemble does not travel with every task.
+CACHED = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 2048}
+
+
 def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -> DataFrame:
     """Feature vector; names with dots are handled by position."""
     plain = {f"_f{i}": col(c).cast("double") for i, c in enumerate(features)}
@@ -20,17 +24,19 @@ def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -
 
 
 def forest(**params) -> RandomForestRegressor:
-    """Random forest of deep trees over all features, unless set otherwise; MLlib allows a depth of 30."""
-    settings = {"maxDepth": 30, "featureSubsetStrategy": "all", **params}
+    """MLlib's random forest over all features, for trees that the driver can hold; :mod:`.forest` has no such bound."""
+    settings = {"maxDepth": 30, "featureSubsetStrategy": "all", **CACHED, **params}
     return RandomForestRegressor(featuresCol="features", labelCol="label", **settings)
 
 
 def boosting(**params) -> GBTRegressor:
     """Gradient boosting; rows and columns are sampled at 0.9 unless set otherwise.
 
-    Many rounds need a checkpoint folder (``SparkContext.setCheckpointDir``), which cuts their lineage.
+    Many rounds need a checkpoint folder, which cuts their lineage: more than 20 without one are refused.
     """
-    settings = {"subsamplingRate": 0.9, "featureSubsetStrategy": "0.9", **params}
+    settings = {"subsamplingRate": 0.9, "featureSubsetStrategy": "0.9", **CACHED, **params}
+    if settings.get("maxIter", 20) > 20 and SparkSession.active().sparkContext.getCheckpointDir() is None:
+        raise ValueError("many rounds need a checkpoint folder: set spark.checkpoint.dir")
     return GBTRegressor(featuresCol="features", labelCol="label", **settings)
 
 

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
-from panelforge.operators import anomaly, cluster, ensemble, forecast, importance, trees
+from panelforge.operators import anomaly, boost, cluster, ensemble, forecast, forest, importance, trees
 from panelforge.operators.aggregates import group_means
 from panelforge.operators.sampling import hash_split
 from panelforge.plans.panels import SERIES, nation_series
 from panelforge.plans.registry import R, events, query, rounded, table
 from panelforge.session import durable, side_by_side, spread
-from panelforge.sources import read_model, scratch_path, write_model
+from panelforge.sources import scratch_path
 
 KEY = ["n_name"]
-# The sizes of forecast.tree_forecast; forests have the depth of trees.forest.
-TREES = {"numTrees": 400}
-BOOSTS = {"maxIter": 600, "stepSize": 0.03}
+# The models of the importances; those of the forecasts stand in forecast.tree_forecast.
+TREES = {"trees": 200, "leaf": 3}
+BOOSTS = {"rounds": 500, "rate": 0.05, "depth": 6}
+LEAVES = {"rounds": 600, "rate": 0.03, "leaves": 31, "least": 20}
 
 # --------------------------------------------------------------------- anomalies
 
@@ -206,7 +206,7 @@ def fc_future(spark, d):
 @query("fc_tree")
 def fc_tree(spark, d):
     daily = durable(nation_series(spark, d))
-    names = ("RandomForest", "GradientBoosting", "GradientBoosting5")
+    names = ("RandomForest", "GradientBoosting", "LeafBoosting")
     fits = [partial(forecast.tree_forecast, daily, "price", KEY, m) for m in names]
     return reduce(DataFrame.unionByName, side_by_side(fits))
 
@@ -305,15 +305,19 @@ def _supervised_lines(spark, d):
 def _fitted(spark, d):
     rows = durable(spread(_supervised_lines(spark, d), spark.sparkContext.defaultParallelism))
     train = rows.where("is_train")
-    booster = trees.boosting(**{**BOOSTS, "maxDepth": 5, "seed": 42}).fit(train)
+    booster = boost.fit(train, len(PREDICTORS), ["row_id"], **BOOSTS)
     return rows, train, booster
 
 
+def _forest(train):
+    return forest.grow(train, len(PREDICTORS), ["row_id"], seed=42, **TREES)
+
+
 @query("ml_random_forest")
 def ml_random_forest(spark, d):
     rows = durable(spread(_supervised_lines(spark, d), spark.sparkContext.defaultParallelism))
-    model = trees.forest(minInstancesPerNode=3, seed=42, **TREES).fit(rows.where("is_train"))
-    return model.transform(rows.where(~F.col("is_train"))).select("row_id", "label", "prediction")
+    grown = _forest(rows.where("is_train"))
+    return forest.predict(grown, rows.where(~F.col("is_train"))).select("row_id", "label", "prediction")
 
 
 @query("ml_gbt")
@@ -322,12 +326,19 @@ def ml_gbt(spark, d):
     return booster.transform(rows.where(~F.col("is_train"))).select("row_id", "label", "prediction")
 
 
+@query("ml_leaf_boosting")
+def ml_leaf_boosting(spark, d):
+    """Trees grown by leaves, the best first."""
+    rows = durable(spread(_supervised_lines(spark, d), spark.sparkContext.defaultParallelism))
+    model = boost.fit(rows.where("is_train"), len(PREDICTORS), ["row_id"], **LEAVES)
+    return model.transform(rows.where(~F.col("is_train"))).select("row_id", "label", "prediction")
+
+
 @query("fi_tree")
 def fi_tree(spark, d):
     _, train, booster = _fitted(spark, d)
-    forest = trees.forest(minInstancesPerNode=3, seed=42, **TREES).fit(train)
-    a = trees.importances(forest, PREDICTORS, spark, 20).withColumn("model", F.lit("random_forest"))
-    b = trees.importances(booster, PREDICTORS, spark, 20).withColumn("model", F.lit("boosting"))
+    a = forest.importances(_forest(train), PREDICTORS, 20).withColumn("model", F.lit("random_forest"))
+    b = boost.importances(booster, PREDICTORS, spark, 20).withColumn("model", F.lit("boosting"))
     return a.unionByName(b)
 
 
@@ -345,12 +356,23 @@ def fi_shap(spark, d):
     return importance.shap_importance(explained, PREDICTORS)
 
 
+@query("fi_shap_dependence")
+def fi_shap_dependence(spark, d):
+    """Value and Shapley value of the strongest feature on every held-out row."""
+    rows, _, booster = _fitted(spark, d)
+    explained = durable(importance.shap_values(booster, rows.where(~F.col("is_train")), PREDICTORS))
+    strongest = importance.shap_importance(explained, PREDICTORS).first()
+    if strongest is None:
+        return importance.shap_dependence(explained, 0).withColumn("feature", F.lit(PREDICTORS[0]))
+    found = importance.shap_dependence(explained, PREDICTORS.index(strongest["feature"]))
+    return found.withColumn("feature", F.lit(strongest["feature"]))
+
+
 @query("io_model_roundtrip")
 def io_model_roundtrip(spark, d):
     """Predictions of a model that was saved and loaded again."""
     rows, _, booster = _fitted(spark, d)
-    path = write_model(booster, scratch_path(spark, "model"))
-    loaded = read_model(spark, path, GBTRegressionModel)
+    loaded = boost.Boosted.load(spark, booster.save(spark, scratch_path(spark, "model")))
     return loaded.transform(rows.where(~F.col("is_train"))).agg(
         F.avg("prediction").alias("mean_prediction"), F.count("*").alias("n")
     )

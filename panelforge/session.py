@@ -29,7 +29,10 @@ def local_session(cores: int | str = 8, app: str = "panelforge", **conf: str) ->
     )
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    if session.sparkContext.getCheckpointDir() is None:  # long fits cut their lineage there
+        session.sparkContext.setCheckpointDir(f"{shared_folder(session)}/checkpoints")
+    return session
 
 
 def ship(spark: SparkSession) -> str:
@@ -59,7 +62,7 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     warehouse = spark.conf.get("spark.sql.warehouse.dir")
-    if not spark.sparkContext.master.startswith("local") and not re.match(r"(?!file:)\w+://", warehouse):
+    if not re.fullmatch(r"local(\[[^,\]]*(,\s*\d+)?\])?", spark.sparkContext.master) and not re.match(r"(?!file:)\w+://", warehouse):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{warehouse.rstrip('/')}/_scratch"
 

@@ -77,7 +77,7 @@ def test_forecasters_share_one_layout(spark):
 def test_short_series_have_the_same_test_days_and_no_other_model(spark):
     df = daily(spark, {"a": 10 + simulate(150), "tiny": [1.0, 2.0, 3.0], "one": [5.0]})
     days = {(r.s, r.date) for r in forecast.baselines(df, "v", ["s"], 20).select("s", "date").collect()}
-    small = {"RandomForest": {"numTrees": 2, "maxDepth": 3}}
+    small = {"RandomForest": {"trees": 2, "depth": 3}}
     out = forecast.all_models(df, "v", ["s"], 20, trees=small, reason=True).cache()
     for model in ("ARIMA", "SARIMA", "Additive", "RandomForest"):
         rows = out.where(F.col("model") == model).collect()
@@ -96,15 +96,26 @@ def test_future_outlook_covers_history_and_horizon(spark):
 
 def test_tree_forecast_beats_the_mean(spark):
     y = 10 + 5 * np.sin(np.arange(400) * 2 * np.pi / 7)
-    out = forecast.tree_forecast(daily(spark, {"a": y}), "v", ["s"], "RandomForest", 30, numTrees=10)
+    out = forecast.tree_forecast(daily(spark, {"a": y}), "v", ["s"], "RandomForest", 30, trees=10)
     r = forecast.backtest_metrics(out, ["s"]).first()
     assert r.n == 30 and r.r2 > 0.8
 
 
-@pytest.mark.parametrize("name", ["fc_tree", "fc_all_models", "ml_random_forest", "ml_gbt", "fi_tree", "fi_permutation", "fi_shap", "io_model_roundtrip"])
-def test_registered_fits_have_the_full_size(spark, name, monkeypatch):
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+SIZES = {
+    "forecast forest": {"trees": 400, "leaf": 2}, "forecast levels": {"rounds": 600, "rate": 0.03, "depth": 4},
+    "forest": {"trees": 200, "leaf": 3}, "levels": {"rounds": 500, "rate": 0.05, "depth": 6},
+    "leaves": {"rounds": 600, "rate": 0.03, "leaves": 31, "least": 20},
+}
+USES = {
+    "fc_tree": {"forecast forest", "forecast levels", "leaves"}, "fc_all_models": {"forecast forest", "forecast levels", "leaves"},
+    "ml_random_forest": {"forest"}, "ml_gbt": {"levels"}, "ml_leaf_boosting": {"leaves"}, "fi_tree": {"levels", "forest"},
+    "fi_permutation": {"levels"}, "fi_shap": {"levels"}, "fi_shap_dependence": {"levels"}, "io_model_roundtrip": {"levels"},
+}
+
 
+@pytest.mark.parametrize("name", sorted(USES))
+def test_registered_fits_have_the_full_size(spark, name, monkeypatch):
+    from panelforge.operators import boost, forest
     from panelforge.plans import QUERIES
 
     class Stop(Exception):
@@ -112,19 +123,15 @@ def test_registered_fits_have_the_full_size(spark, name, monkeypatch):
 
     seen = []
 
-    def forest(self, rows):
-        seen.append(("forest", self.getNumTrees(), self.getMaxDepth()))
-        raise Stop
-
-    def boosted(self, rows):
-        seen.append(("boosting", self.getMaxIter(), self.getStepSize()))
+    def stopped(*args, seed=42, **sizes):
+        seen.append(sizes)
         raise Stop
 
-    monkeypatch.setattr(RandomForestRegressor, "fit", forest)
-    monkeypatch.setattr(GBTRegressor, "fit", boosted)
+    monkeypatch.setattr(forest, "grow", stopped)
+    monkeypatch.setattr(boost, "fit", stopped)
     with pytest.raises(Stop):
         QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert seen and set(seen) <= {("forest", 400, 30), ("boosting", 600, 0.03)}
+    assert seen and all(any(got == SIZES[u] for u in USES[name]) for got in seen)
 
 
 @pytest.fixture(scope="module")
