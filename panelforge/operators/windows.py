@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from panelforge.binding import Binding, col
-from panelforge.functions.dates import epoch_micros
 from panelforge.session import durable
 
 Exprs = Callable[[WindowSpec], dict[str, Column]]
@@ -40,8 +39,7 @@ def over_series(
         window = Window.partitionBy(*keys, F.when(keyless, F.pmod(place, F.lit(4096)))).orderBy(*b.order())
         return df.withColumns({n: F.when(~keyless, c) for n, c in make(window).items()})
 
-    rows = df.where(~keyless)
-    blocks = _blocks(rows.join(_slots(rows, b, block_rows), list(b.key)), b, back, max(block_rows, back))
+    blocks = _blocks(df.where(~keyless), b, back, max(block_rows, back))
     block = Window.partitionBy(*keys, "_block").orderBy("_pos")
     done = blocks.withColumns(make(block)).where(~F.col("_halo")).drop("_halo", "_pos", "_block")
     done = done.select(*[col(c) for c in df.columns], *[col(c) for c in done.columns if c not in df.columns])
@@ -50,42 +48,37 @@ def over_series(
     return done.unionByName(df.where(keyless).withColumns(nothing))
 
 
-def _slots(df: DataFrame, b: Binding, block_rows: int) -> DataFrame:
-    """The first time of each series, and the width of a slot of time that holds about a quarter of a block on average."""
-    micros = epoch_micros(col(b.ts), dict(df.dtypes)[b.ts])
-    stats = df.groupBy(*[col(k) for k in b.key]).agg(
-        F.count("*").alias("_n"), F.min(micros).alias("_t0"), F.max(micros).alias("_t1")
-    )
-    width = F.ceil((F.col("_t1") - F.col("_t0") + 1) * (block_rows / 4) / F.col("_n"))
-    return durable(stats.select(*[col(k) for k in b.key], "_t0", F.greatest(width, F.lit(1)).alias("_width")))
-
+def _numbered(df: DataFrame, b: Binding) -> DataFrame:
+    """Number the rows of each series from 0, ``_pos``.
 
-def _blocks(df: DataFrame, b: Binding, back: int, block_rows: int) -> DataFrame:
-    """Number the rows of each long series from 0 and hand them out to blocks.
-
-    The position of a row is its rank inside its slot of time plus the rows of
-    all earlier slots, so no task sorts more than a slot or a block.
+    The table is dealt into ranges of (key, time, tiebreak) by Spark's sample
+    of these columns, so the ranges hold about equally many rows, be it a long
+    series, a burst or one single time that holds them. A row's number is its
+    rank inside its range plus the rows of its series in all earlier ranges:
+    no task sorts more than a range.
     """
-    keys = list(b.key)
-    micros = epoch_micros(col(b.ts), dict(df.dtypes)[b.ts])
-    last = F.lit(2**62)
-    slot = F.coalesce(F.floor((micros - F.col("_t0")) / F.col("_width")), last).cast("long")
-    slotted = df.withColumn("_slot", slot).drop("_t0", "_width")
-
-    earlier = Window.partitionBy(*[col(k) for k in keys]).orderBy("_slot")
+    keys = [col(k) for k in b.key]
+    ranged = df.repartitionByRange(*keys, *b.order()).withColumn("_range", F.spark_partition_id())
+    ranged = durable(ranged)  # the cuts are drawn once
+    earlier = Window.partitionBy(*keys).orderBy("_range")
     offsets = durable(
-        slotted.groupBy(*[col(k) for k in keys], "_slot")
+        ranged.groupBy(*keys, "_range")
         .agg(F.count("*").alias("_rows"))
         .withColumn("_before", F.sum("_rows").over(earlier) - F.col("_rows"))
         .drop("_rows")
     )
-    inside = Window.partitionBy(*[col(k) for k in keys], "_slot").orderBy(*b.order())
-    numbered = (
-        slotted.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, [*keys, "_slot"])
+    inside = Window.partitionBy(*keys, "_range").orderBy(*b.order())
+    return (
+        ranged.withColumn("_rank", F.row_number().over(inside))
+        .join(offsets, [*b.key, "_range"])
         .withColumn("_pos", F.col("_before") + F.col("_rank") - 1)
-        .drop("_slot", "_before", "_rank")
+        .drop("_before", "_rank", "_range")
     )
+
+
+def _blocks(df: DataFrame, b: Binding, back: int, block_rows: int) -> DataFrame:
+    """Hand out the rows of each series to blocks, with the last rows of the block before as a halo."""
+    numbered = _numbered(df, b)
     own = F.floor(F.col("_pos") / block_rows)
     needed_next = F.pmod(F.col("_pos"), F.lit(block_rows)) >= block_rows - back
     blocks = F.when(needed_next, F.array(own, own + 1)).otherwise(F.array(own))

@@ -1,7 +1,11 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from panelforge.binding import Binding
 from panelforge.operators import windows
 from panelforge.operators.windows import over_series, rolling_columns
@@ -107,3 +111,22 @@ def test_top_per_group_breaks_ties(rows):
 
     out = windows.top_per_group(df, ["g"], [F.desc("v"), F.asc("n")], 1).collect()
     assert sorted((r.g, r.n) for r in out) == [("a", "x"), ("b", "q")]
+
+
+def test_a_burst_and_a_single_time_are_spread(spark):
+    """One row in 1970 and all others in one second: no range holds much more than its share, and numbers go on."""
+    late = dt.datetime(2024, 5, 1, 12, 0, 0)
+    data = [("s", dt.datetime(1970, 1, 1), 0, 0.0)] + [("s", late, i, float(i % 97)) for i in range(1, 20_000)]
+    df = spark.createDataFrame(data, "k string, ts timestamp, id long, v double").repartition(5)
+    b = Binding(key=("k",), ts="ts", tiebreak=("id",), values=("v",))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = df.repartitionByRange("k", *b.order()).groupBy(F.spark_partition_id()).count().collect()
+        assert len(ranged) >= 4 and max(r["count"] for r in ranged) < 8_000
+        got = windows.lags(df, b, ["v"], (1, 5), block_rows=700)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = windows.lags(df, b, ["v"], (1, 5), block_rows=None)
+    key = lambda d: sorted(tuple(r) for r in d.select("id", F.coalesce("v_lag1", F.lit(-1.0)), F.coalesce("v_lag5", F.lit(-1.0))).collect())
+    assert key(got) == key(want)
+    assert sorted(r._pos for r in windows._numbered(df, b).select("_pos").collect()) == list(range(20_000))
