@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.binding import col
 from panelforge.operators.aggregates import regression_metrics
 from panelforge.operators.windows import top_per_group
-from panelforge.session import by_group, durable
+from panelforge.session import durable
 
 TOP = 3
 TIE_DIGITS = 6
@@ -83,12 +81,35 @@ def weighted(marked: DataFrame, top: DataFrame, keys: Sequence[str], date: str =
     )
 
 
-def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept; the intercept is not penalised."""
-    mean_x, mean_y = x.mean(axis=0), y.mean()
-    cx = x - mean_x
-    beta = np.linalg.solve(cx.T @ cx + alpha * np.eye(x.shape[1]), cx.T @ (y - mean_y))
-    return beta, float(mean_y - mean_x @ beta)
+def ridge_columns(df: DataFrame, count: Column, gram: dict[tuple[int, int], Column], rhs: dict[int, Column], alpha: float) -> DataFrame:
+    """Ridge coefficients ``_b0``, ``_b1``, ... of each row's system, by a Cholesky factor in expressions.
+
+    ``gram[i, j]`` (i >= j) and ``rhs[i]`` are covariances; times ``count`` they
+    are the sums of products about the means. Every entry of the factor is a
+    column of its own, so that none is worked out twice.
+    """
+    m = len(rhs)
+
+    def add(name: str, value: Column) -> None:
+        nonlocal df
+        df = df.withColumn(name, value)
+
+    def less(value: Column, pairs: list[tuple[str, str]]) -> Column:
+        for a, b in pairs:
+            value = value - F.col(a) * F.col(b)
+        return value
+
+    for j in range(m):
+        own = count * gram[j, j] + F.lit(float(alpha))
+        add(f"_l{j}_{j}", F.sqrt(less(own, [(f"_l{j}_{k}", f"_l{j}_{k}") for k in range(j)])))
+        for i in range(j + 1, m):
+            value = less(count * gram[i, j], [(f"_l{i}_{k}", f"_l{j}_{k}") for k in range(j)])
+            add(f"_l{i}_{j}", value / F.col(f"_l{j}_{j}"))
+    for i in range(m):
+        add(f"_z{i}", less(count * rhs[i], [(f"_l{i}_{k}", f"_z{k}") for k in range(i)]) / F.col(f"_l{i}_{i}"))
+    for i in reversed(range(m)):
+        add(f"_b{i}", less(F.col(f"_z{i}"), [(f"_l{k}_{i}", f"_b{k}") for k in range(i + 1, m)]) / F.col(f"_l{i}_{i}"))
+    return df
 
 
 def stacking(
@@ -96,34 +117,50 @@ def stacking(
 ) -> DataFrame:
     """Ridge regression on the predictions of all models, fitted per key on the complete days of the blend window.
 
-    A day on which a model is missing is not fitted on and gets no forecast;
-    :func:`unstacked` names the keys and days that are left out.
+    One aggregation gives each key the means of its days and their
+    covariances, as many as pairs of models; the system is solved in
+    expressions on that one row, written down before and after, so that code
+    is generated for each step by itself. The intercept is not penalised. ``alpha`` is above 0.
+
+    A day on which a model is missing is not fitted on and gets NULL; so do
+    all days of a key without a complete day. A model without any row under a key takes no part
+    there. :func:`unstacked` names the keys and days that are left out.
     """
-    names = list(keys)
-    kinds = dict(marked.dtypes)
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in names],
-                        f"`{date}` {kinds[date]}, model string, y_true double, y_pred double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix = pdf.pivot(index=date, columns="model", values="y_pred").sort_index()
-        by_day = pdf.drop_duplicates(date).set_index(date).sort_index()
-        blend = by_day["is_blend"].to_numpy(bool)
-        actual = by_day["y_true"].to_numpy(float)
-        x = matrix.to_numpy(float)
-        days = matrix.index[~blend]
-        out = pd.DataFrame({date: days, "model": "Stacking", "y_true": actual[~blend]})
-        complete = np.isfinite(x).all(axis=1) & np.isfinite(actual)
-        if (blend & complete).any():
-            beta, intercept = ridge(x[blend & complete], actual[blend & complete], alpha)
-            out["y_pred"] = x[~blend] @ beta + intercept
-        else:
-            out["y_pred"] = np.nan
-        for k in reversed(names):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    used = marked.select(*[col(k) for k in names], date, "model", "y_true", "y_pred", "is_blend")
-    return by_group(used, names).groupBy(*[col(k) for k in names]).applyInPandas(run, schema)
+    by = [col(k) for k in keys]
+    names = sorted(r["model"] for r in marked.select("model").distinct().where("model is not null").collect())
+    every = range(len(names))
+
+    def sound(c: Column) -> Column:
+        return F.when(F.abs(c) < F.lit(float("inf")), c)  # neither NaN nor infinite
+
+    of = [F.when(F.col("model") == n, sound(col("y_pred"))) for n in names]
+    days = marked.groupBy(*by, col(date)).agg(
+        F.first("is_blend", ignorenulls=True).alias("is_blend"), F.first("y_true", ignorenulls=True).alias("y_true"),
+        *[F.max(x).alias(f"_x{i}") for i, x in enumerate(of)], *[F.count_if(F.col("model") == n).alias(f"_n{i}") for i, n in enumerate(names)],
+    )
+    of_key = Window.partitionBy(*by)
+    days = days.withColumns({f"_x{i}": F.when(F.sum(f"_n{i}").over(of_key) > 0, F.col(f"_x{i}")).otherwise(0.0) for i in every})
+    complete = F.col("is_blend") & sound(F.col("y_true")).isNotNull()
+    for i in every:
+        complete = complete & F.col(f"_x{i}").isNotNull()
+    x = [F.when(complete, F.col(f"_x{i}")) for i in every]
+    y = F.when(complete, F.col("y_true").cast("double"))
+    pairs = [(i, j) for i in every for j in range(i + 1)]
+    sums = days.groupBy(*by).agg(
+        F.count(y).cast("double").alias("_n"), F.avg(y).alias("_my"), *[F.avg(x[i]).alias(f"_m{i}") for i in every],
+        *[F.covar_pop(x[i], x[j]).alias(f"_g{i}_{j}") for i, j in pairs], *[F.covar_pop(x[i], y).alias(f"_r{i}") for i in every],
+    )
+    solved = ridge_columns(durable(sums), F.col("_n"), {p: F.col(f"_g{p[0]}_{p[1]}") for p in pairs}, {i: F.col(f"_r{i}") for i in every}, alpha)
+    fits = durable(solved.select(*[col(k).alias(f"_k{n}") for n, k in enumerate(keys)], "_my", *[f"_m{i}" for i in every], *[f"_b{i}" for i in every]))
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same = same & col(k).eqNullSafe(F.col(f"_k{n}"))
+    predicted = F.col("_my")
+    for i in every:
+        predicted = predicted + F.col(f"_b{i}") * (F.col(f"_x{i}") - F.col(f"_m{i}"))
+    return days.where(~F.col("is_blend")).join(fits, same).select(
+        *by, col(date), F.lit("Stacking").alias("model"), F.col("y_true").cast("double").alias("y_true"), predicted.alias("y_pred")
+    )
 
 
 def unstacked(marked: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:

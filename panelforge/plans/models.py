@@ -262,9 +262,35 @@ def en_weighted(spark, d):
     return rounded(ensemble.weighted(marked, ensemble.select_top(marked, KEY), KEY))
 
 
-@query("en_stacking")
+def _ridge_sql() -> str:
+    """The stacked forecasts: sums of each nation's blend days, and a Cholesky factor entry by entry."""
+    names = sorted(["Naive", "SeasonalNaive7", "Mean7", "Mean30"])
+    m = range(len(names))
+    less = lambda value, pairs: " - ".join([value, *[f"{a} * {b}" for a, b in pairs]])
+    ok = " AND ".join(["is_blend", "y_true IS NOT NULL", *[f"x{i} IS NOT NULL" for i in m]])
+    entries = []
+    for j in m:
+        own = less(f"n * g{j}_{j} + 1.0", [(f"l{j}_{k}", f"l{j}_{k}") for k in range(j)])
+        entries.append(f"sqrt({own}) AS l{j}_{j}")
+        entries += [f"({less(f'n * g{i}_{j}', [(f'l{i}_{k}', f'l{j}_{k}') for k in range(j)])}) / l{j}_{j} AS l{i}_{j}" for i in range(j + 1, len(names))]
+    entries += [f"({less(f'n * r{i}', [(f'l{i}_{k}', f'z{k}') for k in range(i)])}) / l{i}_{i} AS z{i}" for i in m]
+    entries += [f"({less(f'z{i}', [(f'l{k}_{i}', f'b{k}') for k in range(i + 1, len(names))])}) / l{i}_{i} AS b{i}" for i in reversed(m)]
+    return f"""days AS (SELECT n_name, date, any_value(is_blend) AS is_blend, any_value(y_true) AS y_true,
+  {", ".join(f"max(y_pred) FILTER (model = '{n}') AS x{i}" for i, n in enumerate(names))} FROM marked GROUP BY 1, 2),
+sums AS (SELECT n_name, CAST(count(*) AS DOUBLE) AS n, avg(y_true) AS my, {", ".join(f"avg(x{i}) AS m{i}" for i in m)},
+  {", ".join(f"covar_pop(x{i}, x{j}) AS g{i}_{j}" for i in m for j in range(i + 1))},
+  {", ".join(f"covar_pop(x{i}, y_true) AS r{i}" for i in m)} FROM days WHERE {ok} GROUP BY 1),
+fit AS (SELECT *, {", ".join(entries)} FROM sums),
+stack AS (SELECT days.n_name, date, y_true, my {"".join(f" + b{i} * (x{i} - m{i})" for i in m)} AS y_pred
+  FROM days LEFT JOIN fit ON days.n_name = fit.n_name WHERE NOT is_blend)"""
+
+
+STACKED = f"{MARKED}, {_ridge_sql()}"
+
+
+@query("en_stacking", f"{STACKED} SELECT n_name, date, 'Stacking' AS model, {R('y_true', 3)} AS y_true, {R('y_pred', 3)} AS y_pred FROM stack")
 def en_stacking(spark, d):
-    return ensemble.stacking(_marked(spark, d), KEY)
+    return rounded(ensemble.stacking(_marked(spark, d), KEY), 3)
 
 
 @query("en_model_leaderboard", f"""{MARKED} SELECT n_name, model, mae, rmse, mape, r2, n,
@@ -281,10 +307,11 @@ def en_best_model(spark, d):
     return rounded(ensemble.best_model(metrics, KEY))
 
 
-@query("en_compare_all")
+@query("en_compare_all", f"""{STACKED} SELECT n_name, model, {METRIC.replace(', 6)', ', 3)')} FROM (
+  SELECT * FROM evald UNION ALL SELECT n_name, 'Stacking', y_true, y_pred FROM stack) GROUP BY 1, 2""")
 def en_compare_all(spark, d):
     """Base models and all three ensembles, stacking included."""
-    return ensemble.evaluate(_marked(spark, d), KEY)
+    return rounded(ensemble.evaluate(_marked(spark, d), KEY), 3)
 
 
 # ------------------------------------------------------------------- importances

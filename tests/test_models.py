@@ -161,14 +161,30 @@ def test_ensembles_by_hand(predictions):
     assert [r.model for r in ranked][:4] == ["WeightedAverage", "Voting", "A", "B"]
 
 
-def test_ridge_and_stacking(predictions):
+def test_stacking_is_ridge_regression(spark, predictions):
+    """Two keys of five models each, one of which the second key lacks; gaps, NaN and a key without a complete day."""
     rng = np.random.default_rng(6)
-    x, y = rng.normal(size=(30, 3)), rng.normal(size=30)
-    beta, intercept = ensemble.ridge(x, y, 1.0)
-    whole = np.column_stack([x, np.ones(30)])
-    penalty = np.diag([1.0, 1.0, 1.0, 0.0])
-    want = np.linalg.solve(whole.T @ whole + penalty, whole.T @ y)
-    assert [*beta, intercept] == pytest.approx(want)
+    rows, want = [], {}
+    for key, models in (("a", "VWXYZ"), ("b", "VWYZ"), ("none", "VW")):
+        x, y = 1e5 + rng.normal(size=(40, len(models))).cumsum(axis=0), 1e5 + rng.normal(size=40).cumsum()
+        x[3, 0], y[5], x[30, 1] = np.nan, np.nan, np.nan
+        if key == "none":
+            x[:25, 0] = np.nan
+        blend = np.arange(40) < 25
+        fit = blend & np.isfinite(x).all(axis=1) & np.isfinite(y)
+        if fit.any():
+            cx = x[fit] - x[fit].mean(axis=0)
+            beta = np.linalg.solve(cx.T @ cx + np.eye(len(models)), cx.T @ (y[fit] - y[fit].mean()))
+        for i in range(40):
+            rows += [(key, i, m, float(y[i]), None if np.isnan(x[i, j]) and i % 2 else float(x[i, j]), bool(blend[i])) for j, m in enumerate(models)]
+            if not blend[i]:
+                want[key, i] = y[fit].mean() + (x[i] - x[fit].mean(axis=0)) @ beta if fit.any() and np.isfinite(x[i]).all() else None
+    df = spark.createDataFrame(rows, "k string, date int, model string, y_true double, y_pred double, is_blend boolean").repartition(5)
+    got = {(r.k, r.date): r.y_pred for r in ensemble.stacking(df, ["k"]).collect()}
+    assert got.keys() == want.keys() and sum(v is None for v in got.values()) == 17
+    assert all(got[k] == (None if v is None else pytest.approx(v, abs=1e-6)) for k, v in want.items())
+    plan = ensemble.stacking(df, ["k"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
     out = ensemble.stacking(ensemble.split(predictions, ["s"]), ["s"]).collect()
     assert len(out) == 6 and all(np.isfinite(r.y_pred) for r in out)
 
