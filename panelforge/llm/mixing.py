@@ -54,13 +54,17 @@ def copies(docs: DataFrame, id_: str = "doc_id", source: str = "source", text: s
     Rows of a source stand in the order of a digest of their id. A copy's
     finish time is the words of its source up to its end, divided by the
     source's target; the second round through a source follows the first. All
-    sources reach their targets at time 1, where the budget ends: the copy
-    that a source is then serving is cut to the words served.
-
-    Running sums are made inside buckets of the digest and over the sums of
-    the buckets, so that a source that holds most rows is still spread.
-    Columns: id, source, size, source_size, target, place, row (unique in its
-    source and bucket), copy, finish, taken.
+    sources reach their targets at time 1; the copy that a source is then
+    serving is cut in two, and its second part finishes later. The copies of
+    all sources are dealt into ranges of finish times over all partitions, and
+    words are taken in this order until the budget, the sum of the targets, is
+    spent: the words of earlier ranges, and a running sum inside each range.
+
+    The words of a source up to a row are made by running sums inside buckets
+    of the digest and over the sums of the buckets, so that a source that
+    holds most rows is still spread. Columns: id, source, bucket, row (unique
+    in its source and bucket), place, size, source_size, target, copy, part,
+    words, finish, taken.
     """
     rows = durable(sized(docs, id_, source, text))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -79,12 +83,32 @@ def copies(docs: DataFrame, id_: str = "doc_id", source: str = "source", text: s
     rounds = int(-(-most // 1))
     rows = rows.withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(rounds)])))
     end = F.col("copy") * F.col("source_size") + F.col("before") + F.col("upto")
-    room = F.floor("target") - (end - F.col("size"))
-    return rows.select(
-        "id", "source", "bucket", "row", "place", "size", "source_size", "target", "copy",
-        F.when(F.col("target") > 0, end / F.col("target")).alias("finish"),
-        F.greatest(F.lit(0), F.least("size", room)).cast("long").alias("taken"),
+    early = F.greatest(F.lit(0), F.least("size", F.floor("target") - F.col("end") + F.col("size"))).cast("long")
+    time = F.when(F.col("target") > 0, F.col("end") / F.col("target")).otherwise(F.lit(float("inf")))
+    late = F.struct(F.lit(1).alias("part"), (F.col("size") - early).alias("words"), F.greatest(time, F.lit(1.0)).alias("finish"))
+    first = F.struct(F.lit(0).alias("part"), early.alias("words"), F.least(time, F.lit(1.0)).alias("finish"))
+    rows = rows.withColumn("end", end).withColumn("p", F.explode_outer(F.array(first, late))).where(
+        (F.col("p.words") > 0) | ((F.col("p.part") == 0) & (F.col("size") == 0))
     )
+    rows = rows.select("id", "source", "bucket", "row", "place", "size", "source_size", "target", "copy", "p.*")
+    budget = goals.agg(F.sum(F.floor("target").cast("long"))).scalar()
+    return _served(rows, budget)
+
+
+ORDER = ("finish", "part", "source", "place", "id", "size", "copy")
+
+
+def _served(rows: DataFrame, budget) -> DataFrame:
+    """``rows`` with the words taken of each, in the order of finish times, until the budget is spent."""
+    ranged = durable(rows.repartitionByRange(*ORDER).withColumn("range", F.spark_partition_id()))
+    sums = ranged.groupBy("range").agg(F.sum("words").alias("all"))
+    # One row for each range: as many as partitions.
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = durable(sums.select("range", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("start")))
+    inside = Window.partitionBy("range").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    upto = ranged.join(starts, "range").withColumn("upto", F.col("start") + F.sum("words").over(inside))
+    taken = F.greatest(F.lit(0), F.least("words", budget - F.col("upto") + F.col("words"))).cast("long")
+    return upto.withColumn("taken", taken).drop("range", "start", "upto")
 
 
 def mix(docs: DataFrame, id_: str = "doc_id", source: str = "source", text: str = "text",
@@ -97,7 +121,7 @@ def mix(docs: DataFrame, id_: str = "doc_id", source: str = "source", text: str
     empty table gives an empty mix.
     """
     taken = copies(docs, id_, source, text, weights, share, most).where("taken > 0")
-    return taken.drop("bucket", "row").orderBy("finish", F.col("source").asc_nulls_last(), "place", "copy")
+    return taken.drop("bucket", "row", "part", "words").orderBy("finish", F.col("source").asc_nulls_last(), "place", "copy")
 
 
 def shares(docs: DataFrame, id_: str = "doc_id", source: str = "source", text: str = "text", **kw) -> DataFrame:

@@ -54,3 +54,20 @@ def test_odd_rows(odd_docs, no_docs):
         kept = mixing.kept(df.withColumn("TAKEN", F.lit(1)))
         assert kept.columns[-1] == "taken" and 3 not in {r.doc_id for r in kept.collect()}
     assert mixing.shares(no_docs).collect() == [] and mixing.mix(no_docs).collect() == []
+
+
+def test_words_are_taken_in_the_order_of_finish_times(spark, prose):
+    """Over all sources and ranges: whole pieces until the budget is spent, none after it."""
+    docs = [(i, prose(i, 5 + i % 60), "hot" if i % 3 else f"s{i % 5}") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = mixing.copies(df).orderBy(*mixing.ORDER).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    taken = [(r.taken, r.words) for r in rows if r.words]
+    last = max(i for i, (t, _) in enumerate(taken) if t)
+    assert all(t == w for t, w in taken[: last + 1]) and not any(t for t, _ in taken[last + 1 :])
+    budget = sum(int(t) for t in {r.source: r.target for r in rows}.values())
+    assert sum(t for t, _ in taken) == budget and [r.finish for r in rows] == sorted(r.finish for r in rows)
+    assert all(r.finish <= 1 for r in rows if r.taken) and any(r.part for r in rows)
