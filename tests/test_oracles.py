@@ -15,7 +15,7 @@ FOLDER = os.environ.get("PANELFORGE_TABLES", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 # Fits that take long; tests/test_models.py covers them on small frames.
-SLOW = {"fc_all_models", "fc_tree", "ml_kmeans", "fi_tree", "ml_detector_report", "io_model_roundtrip", "ts_stl_trend"}
+SLOW = {"fc_all_models", "fc_tree", "ml_kmeans", "ml_detector_report", "ts_stl_trend"}
 
 
 @pytest.fixture(scope="module")
