@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -192,7 +194,7 @@ def isolation_forest(
 
 def dbscan_noise(
     df: DataFrame, ids: Sequence[str], features: Sequence[str], eps: float = 1.2,
-    min_samples: int = 10, grid_dims: int = 3, flag: str = "is_noise",
+    min_samples: int = 10, flag: str = "is_noise",
 ) -> DataFrame:
     """Mark the points that density clustering would leave out.
 
@@ -218,7 +220,7 @@ def dbscan_noise(
         "_cell", F.transform("_x", lambda x: F.floor(x / side).cast("long"))
     ))
     cells = points.groupBy("_cell").agg(F.count("*").alias("_n"))
-    pairs = _cell_pairs(cells, side, near, sure, eps, min(grid_dims, d), min_samples)
+    pairs = _cell_pairs(cells, side, near, sure, eps, d, min_samples)
     pairs = durable(pairs)
 
     # What the counts of whole cells already decide.
@@ -280,36 +282,77 @@ def dbscan_noise(
     )
 
 
+def _leaves(cells: DataFrame, dims: int, span: int, leaf: int) -> DataFrame:
+    """Cells dealt into the boxes of a k-d tree: one row of ``_own`` each, and copies of thin cells in all boxes in reach.
+
+    A round cuts every box of more than ``leaf`` cells across its widest axis,
+    at quantiles of its cells, into slabs that are wide next to the reach. A
+    cell goes to its slab; the copy of a thin cell to all slabs within ``span``
+    cells of it. A box no wider than the reach to both sides is not cut: every
+    copy would go to both halves. By its size it holds at most
+    (2 * span + 1)^dims cells. Boxes are rows, too, so the tree is never on
+    the driver.
+    """
+    axes = [F.col("_cell")[i] for i in range(dims)]
+    sixteenths = F.array(*[F.lit(k / 16) for k in range(1, 16)])
+    once = cells.select("_cell", "_n", F.lit("").alias("_leaf"), "_thin")
+    rows = durable(once.select("_cell", "_n", "_leaf", F.explode(
+        F.when(F.col("_thin"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("_own")))
+    placed = []
+    while True:
+        boxes = rows.where("_own").groupBy("_leaf").agg(
+            F.count("*").alias("_size"),
+            F.array(*[F.min(a) for a in axes]).alias("_low"),
+            F.array(*[F.max(a) for a in axes]).alias("_high"),
+            F.array(*[F.percentile_approx(a, sixteenths, 200) for a in axes]).alias("_at"),
+        )
+        width = F.zip_with("_high", "_low", lambda a, b: a - b)
+        boxes = boxes.withColumn("_wide", F.array_max(width)).withColumn("_axis", (F.array_position(width, F.col("_wide")) - 1).cast("int"))
+        step = F.when(F.col("_wide") >= 32 * span, 1).when(F.col("_wide") >= 4 * span, 4).otherwise(8)
+        low, high = F.get("_low", "_axis"), F.get("_high", "_axis")
+        cuts = F.array_distinct(F.filter(F.get("_at", "_axis"), lambda x, i: (x < high) & ((i + 1) % step == 0)))
+        # Where most cells stand at the upper end, no quantile parts them: halve the width instead.
+        halves = F.array(F.floor((low + high) / 2).cast("long"))
+        boxes = durable(boxes.where((F.col("_size") > leaf) & (F.col("_wide") > 2 * span)).select(
+            "_leaf", "_axis", F.when(F.size(cuts) > 0, cuts).otherwise(halves).alias("_cuts")))
+        if boxes.isEmpty():
+            return reduce(DataFrame.unionByName, [*placed, rows])
+        value = F.get("_cell", "_axis")
+
+        def slab(x: Column) -> Column:
+            return F.size(F.filter("_cuts", lambda cut: cut < x))
+
+        reach = F.when(F.col("_own"), 0).otherwise(span)
+        slabs = F.sequence(slab(value - reach), slab(value + reach))
+        moved = rows.join(boxes, "_leaf", "left").withColumn("_open", F.col("_cuts").isNotNull())
+        moved = durable(moved.withColumn("_slab", F.explode(F.when(F.col("_open"), slabs).otherwise(F.array(F.lit(0))))).select(
+            "_cell", "_n", "_own", "_open", F.when(F.col("_open"), F.concat("_leaf", F.hex("_slab"))).otherwise(F.col("_leaf")).alias("_leaf")))
+        placed.append(moved.where("not _open").drop("_open"))
+        rows = moved.where("_open").drop("_open")
+
+
+def _met(cells: DataFrame, dims: int, span: int, leaf: int) -> DataFrame:
+    """Pairs of a thin cell and a cell of the same box, each pair once."""
+    rows = _leaves(cells, dims, span, leaf)
+    left = rows.where(~F.col("_own")).select("_cell", "_leaf")
+    right = rows.where("_own").select(F.col("_cell").alias("_other"), "_n", "_leaf")
+    return left.join(right, "_leaf")
+
+
 def _cell_pairs(
     cells: DataFrame, side: float, near: float, sure: float, eps: float, dims: int,
-    min_samples: int,
+    min_samples: int, leaf: int = 1024,
 ) -> DataFrame:
     """Thin cells with every cell that may hold a point within reach, itself included.
 
-    The join runs over a coarse grid of width ``eps`` on the first ``dims``
-    dimensions: cells in reach lie in neighbouring coarse cells. It moves
-    cells, not points.
+    The join runs over the boxes of a k-d tree over all axes, so a thin cell
+    meets about ``leaf`` cells a box and few boxes. It moves cells, not points.
     """
     span = math.ceil(eps / side) + 1
-
-    def coarse(cell: Column) -> Column:
-        return F.transform(F.slice(cell, 1, dims), lambda i: F.floor(i / span).cast("long"))
-
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    thin = cells.where(F.col("_n") < min_samples).select("_cell", coarse(F.col("_cell")).alias("_g"))
-    for axis in range(dims):
-        moved = [F.col("_g")[i] + (F.col("_s") if i == axis else 0) for i in range(dims)]
-        thin = thin.withColumn("_s", F.explode(steps)).withColumn("_g", F.array(*moved))
-    right = cells.select(
-        F.col("_cell").alias("_other"), "_n", coarse(F.col("_cell")).alias("_g")
-    )
-    gaps = F.zip_with("_cell", "_other", lambda a, b: F.abs(a - b).cast("double"))
+    gaps = [F.abs(F.col("_cell")[i] - F.col("_other")[i]).cast("double") for i in range(dims)]
 
     def squared(extra: int) -> Column:
-        return F.aggregate(
-            gaps, F.lit(0.0),
-            lambda s, g: s + F.pow(F.greatest(g + extra, F.lit(0.0)) * side, F.lit(2.0)),
-        )
+        return reduce(add, [F.pow(F.greatest(g + extra, F.lit(0.0)) * side, F.lit(2.0)) for g in gaps])
 
-    joined = thin.drop("_s").join(right, "_g").where(squared(-1) <= near)
+    joined = _met(cells.withColumn("_thin", F.col("_n") < min_samples), dims, span, leaf).where(squared(-1) <= near)
     return joined.select("_cell", "_other", "_n", (squared(1) <= sure).alias("_inside"))

@@ -76,6 +76,28 @@ def ml_dbscan_noise_4d(spark, d):
     )
 
 
+CUSTOMER_AXES = ["b", "n", "p", "m", "l", "g"]
+CUSTOMER_POINTS_6D = """raw AS (SELECT c_custkey, c_acctbal AS b, CAST(count(o_orderkey) AS DOUBLE) AS n, coalesce(avg(o_totalprice), 0) AS p,
+  coalesce(max(o_totalprice), 0) AS m, coalesce(min(o_totalprice), 0) AS l,
+  CAST(coalesce(date_diff('day', min(o_orderdate), max(o_orderdate)), 0) AS DOUBLE) AS g
+  FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL),
+pts AS (SELECT c_custkey, """ + ", ".join(f"({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER () AS {x}" for x in CUSTOMER_AXES) + " FROM raw)"
+
+
+@query("ml_dbscan_noise_6d", _noise_sql(CUSTOMER_POINTS_6D, "c_custkey", CUSTOMER_AXES, 1.2, 10))
+def ml_dbscan_noise_6d(spark, d):
+    """Customers by six measures, with the distance that is the operator's default."""
+    per = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count("*").cast("double").alias("n"), F.avg("o_totalprice").alias("p"),
+        F.max("o_totalprice").alias("m"), F.min("o_totalprice").alias("l"),
+        F.date_diff(F.max("o_orderdate"), F.min("o_orderdate")).cast("double").alias("g"),
+    )
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("b")).join(
+        per, "c_custkey", "left"
+    ).fillna(0.0)
+    return anomaly.dbscan_noise(anomaly.prepare(rows, ["c_custkey"], CUSTOMER_AXES), ["c_custkey"], CUSTOMER_AXES)
+
+
 @query("ml_prepare", """WITH """ + EVENT_POINTS + f""" SELECT event_id, {R('x')} AS value, {R('y')} AS second FROM pts""")
 def ml_prepare(spark, d):
     return rounded(_event_points(spark, d))

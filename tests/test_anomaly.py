@@ -72,3 +72,27 @@ def test_missing_features_are_no_outliers(spark):
 def test_average_depth():
     assert anomaly.average_depth(1) == 0 and anomaly.average_depth(2) == 1
     assert float(anomaly.average_depth(256)) == pytest.approx(10.2448, abs=1e-3)
+
+
+def met(spark, n, dims, leaf):
+    """Cells of ``n`` points that fill more room the more they are, and the pairs that the boxes bring together."""
+    rng = np.random.default_rng(n)
+    x = rng.integers(0, 4 * n ** (1 / dims) + 1, (n, dims))
+    x[: n // 10, 0] = x[:, 0].max() + 40  # many cells at the end of an axis
+    x = np.unique(x, axis=0)
+    cells = spark.createDataFrame([(r.tolist(), 1, True) for r in x], "_cell array<long>, _n long, _thin boolean")
+    return x, anomaly._met(cells, dims, 3, leaf)
+
+
+def test_boxes_bring_every_near_pair_together_once(spark):
+    for dims in (1, 2, 6):
+        x, pairs = met(spark, 400, dims, 16)
+        got = [(tuple(r[0]), tuple(r[1])) for r in pairs.select("_cell", "_other").collect()]
+        assert len(got) == len(set(got))
+        want = {(tuple(a), tuple(b)) for a in x.tolist() for b in x[(np.abs(x - a) <= 3).all(1)].tolist()}
+        assert want <= set(got)
+
+
+def test_pairs_of_cells_grow_with_the_points_in_six_dimensions(spark):
+    small, large = (met(spark, n, 6, 32)[1].count() / n for n in (500, 4000))
+    assert large < 3 * small and large < 4000 / 4
