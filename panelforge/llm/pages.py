@@ -8,8 +8,10 @@ once, level by level; a run of text is kept if its marginal is above a half.
 
 Weights are learnt from labelled pages: pages whose markup names its article,
 with everything in the article content except what names itself otherwise.
-They start from, and are held to, a prior, which decides what those pages do
-not show.
+Each such page is shown twice, as it is and with all names held back, so that
+tags, lengths, links and ends of runs must explain the labels by themselves.
+The fit is the most probable one under a normal prior around weights that
+stand for layouts that those pages do not show.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from dataclasses import dataclass, field
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelforge.llm.base import col, query, table, without
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+EDGE = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I | re.S)
 
 #: Names of HTML elements by what they do in a page.
@@ -34,7 +38,7 @@ BLOCKS = set(
     "thead tr ul caption".split()
 )
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
-NEVER = {"head", "noscript", "template", "iframe", "svg", "math", "object", "button", "select", "option", "label", "legend", "canvas", "audio", "video", "datalist"}
+NEVER = {"head", "noscript", "template", "iframe", "svg", "button", "select", "option", "label", "legend", "canvas", "audio", "video", "datalist"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the key closes an open element of the values, up to a table or list that holds it.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -54,6 +58,8 @@ FEATURES = (
     "article", "nav", "header", "footer", "aside", "form", "heading", "paragraph", "list", "table",
     "named_other", "named_content", "outside", "leaf", "words", "links", "sentence",
 )
+#: Features that are names.
+NAMES = [FEATURES.index(x) for x in ("article", "named_other", "named_content", "outside")]
 PRIOR = np.array([4.0, -5.0, -1.0, -5.0, -5.0, -5.0, 0.3, 0.8, -0.3, 0.0, -6.0, 3.0, -4.0, -0.5, 0.6, -2.0, 0.7])
 #: Scores by kind of parent, then state of the parent, then state of the child.
 PRIOR_EDGES = np.array([
@@ -69,6 +75,45 @@ _TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt
 _GRIDS = {"table", "tbody", "thead", "tfoot", "tr"}
 
 
+class Scanner:
+    """Tags of a page from left to right; work is linear in the page whatever its quotes and brackets are."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.open_quotes: set[int] = set()  # from these quotes on no end of a tag is found outside quotes
+
+    def end(self, at: int) -> int:
+        """Behind the end of the tag whose name ends at ``at``: the first ``>`` outside quotes, else the first one."""
+        seen, i = [], at
+        while m := EDGE.search(self.source, i):
+            q = m.start()
+            if m[0] == ">":
+                return q + 1
+            if q in self.open_quotes:
+                break
+            seen.append(q)
+            i = self.source.find(m[0], q + 1) + 1
+            if not i:
+                break
+        self.open_quotes.update(seen)
+        return self.source.index(">", at) + 1
+
+    def next(self, at: int):
+        """The next tag: where it starts and ends, whether it closes, its name (none for comments) and attributes."""
+        while m := START.search(self.source, at):
+            if m[1]:
+                end = self.source.find("-->", m.end())
+                return m.start(), len(self.source) if end < 0 else end + 3, False, "", ""
+            if m.end() > self.last:
+                return None
+            if m[2]:
+                return m.start(), self.source.index(">", m.end()) + 1, False, "", ""
+            end = self.end(m.end())
+            return m.start(), end, bool(m[3]), m[4].lower(), self.source[m.end() : end - 1]
+        return None
+
+
 @dataclass
 class Forest:
     """Nodes of many pages, parents before children."""
@@ -76,6 +121,8 @@ class Forest:
     parent: list[int] = field(default_factory=list)
     depth: list[int] = field(default_factory=list)
     kind: list[int] = field(default_factory=list)
+    #: Kinds without what a named part passes on.
+    shape: list[int] = field(default_factory=list)
     values: list[list[float]] = field(default_factory=list)
     part: list[int] = field(default_factory=list)
     text: list[str | None] = field(default_factory=list)
@@ -88,6 +135,8 @@ class Forest:
         first = len(self.parent)
         self._node(-1, "html", "", [])
         stack: list[tuple[str, int]] = [("html", first)]  # open blocks and elements that are never content
+        places: dict[str, list[int]] = {}  # where in the stack each name is open
+        scanner = Scanner(source)
         words: list[str] = []  # the run of text at hand
         linked = [0, 0]
         links = never = at = 0
@@ -105,8 +154,16 @@ class Forest:
             flush()
             for name, _ in stack[depth:]:
                 never -= name in NEVER
+                places[name].pop()
             del stack[depth:]
 
+        def push(name: str, node: int) -> None:
+            places.setdefault(name, []).append(len(stack))
+            stack.append((name, node))
+
+        def top(names) -> int:
+            return max((places[x][-1] for x in names if places.get(x)), default=0)
+
         def take(text: str) -> None:
             if not never and text:
                 words.append(text)
@@ -115,24 +172,20 @@ class Forest:
                 linked[1] += size if links else 0
 
         def opened(names: set[str], stop: set[str]) -> int:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in names:
-                    return i
-                if stack[i][0] in stop:
-                    break
-            return 0
+            i = top(names)
+            return i if i > top(stop) else 0
 
         while at < len(source):
-            m = TAG.search(source, at)
-            if m is None:
+            tag = scanner.next(at)
+            if tag is None:
                 take(source[at:])
                 break
-            take(source[at : m.start()])
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
+            start, end, closing, name, attributes = tag
+            take(source[at:start])
+            at = end
             if not name:
                 continue
-            if m[1] or m[4]:  # a closing tag
+            if closing:
                 if name == "a":
                     links = max(0, links - 1)
                 elif name in BLOCKS or name in NEVER:
@@ -142,8 +195,8 @@ class Forest:
                     take(" ")
                 continue
             if name in RAW:
-                end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
-                at = end.start() if end else len(source)
+                close_ = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
+                at = close_.start() if close_ else len(source)
                 continue
             if name == "br":
                 take(" ")
@@ -153,7 +206,7 @@ class Forest:
                 if name == "option" and (i := opened({"option"}, {"select"})):
                     close(i)
                 flush()
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
                 never += 1
             elif name in BLOCKS:
                 if name in CLOSES and (i := opened(CLOSES[name], BARRIER)):
@@ -164,8 +217,8 @@ class Forest:
                 links = 0
                 if name in ("html", "body") or name in VOID:
                     continue
-                node = stack[-1][1] if never else self._node(stack[-1][1], name, m[3] or m[6] or "", stack)
-                stack.append((name, node))
+                node = stack[-1][1] if never else self._node(stack[-1][1], name, attributes, stack)
+                push(name, node)
         flush()
         self._finish(first)
 
@@ -190,6 +243,7 @@ class Forest:
             part = OTHER
         elif values[0] or values[11]:
             part = CONTENT
+        self.shape.append(kind)
         if part == OTHER or part == CONTENT and kind != TEXT:
             kind = part
         self.part.append(part)
@@ -237,56 +291,123 @@ class Model:
 
     def marginals(self, forest: Forest):
         """Probabilities of content; and, of each node with a parent, those of both states together."""
-        parent, kind = np.array(forest.parent), np.array(forest.kind)
-        n = len(parent)
-        up = np.zeros((n, 2))
-        up[:, 1] = np.array(forest.values).reshape(n, len(FEATURES)) @ self.weights
-        depth = np.array(forest.depth)
-        order = np.argsort(depth, kind="stable")
-        cuts = np.searchsorted(depth[order], np.arange(1, (depth.max(initial=0)) + 2))
-        levels = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        message = np.zeros((n, 2))
-        for at in reversed(levels):
+        p, both, _ = self._passed(Nodes(forest))
+        return p, both
+
+    def _passed(self, nodes: "Nodes"):
+        """Marginals, joint marginals of child and parent, and the log of the sum over all assignments."""
+        up = np.zeros((nodes.n, 2))
+        up[:, 1] = nodes.x @ self.weights
+        # Deep and thin trees are walked node by node, others a level at a time.
+        message, down = (self._by_nodes if nodes.n < 16 * len(nodes.levels) else self._by_levels)(nodes, up)
+        c, p = nodes.child, nodes.parent[nodes.child]
+        both = np.zeros((nodes.n, 2, 2))
+        joint = self.edges[nodes.kind[p]] + (up[p] + down[p] - message[c])[:, :, None] + up[c][:, None, :]
+        joint = np.exp(joint - joint.max((1, 2), keepdims=True))
+        both[c] = joint / joint.sum((1, 2), keepdims=True)
+        belief = up + down
+        total = np.logaddexp(*up[nodes.parent < 0].T).sum()
+        return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -40, 40))), both, total
+
+    def _by_levels(self, nodes: "Nodes", up):
+        parent, kind = nodes.parent, nodes.kind
+        message, down = np.zeros_like(up), np.zeros_like(up)
+        for at in reversed(nodes.levels):
             table_ = self.edges[kind[parent[at]]]  # parent's state, child's state
             message[at] = np.logaddexp(table_[:, :, 0] + up[at, None, 0], table_[:, :, 1] + up[at, None, 1])
             np.add.at(up, parent[at], message[at])
-        down = np.zeros((n, 2))
-        both = np.zeros((n, 2, 2))
-        for at in levels:
-            rest = up[parent[at]] + down[parent[at]] - message[at]
-            joint = self.edges[kind[parent[at]]] + rest[:, :, None]
+        for at in nodes.levels:
+            joint = self.edges[kind[parent[at]]] + (up[parent[at]] + down[parent[at]] - message[at])[:, :, None]
             down[at] = np.logaddexp(joint[:, 0], joint[:, 1])
-            joint = joint + up[at][:, None, :]
-            joint = np.exp(joint - joint.max((1, 2), keepdims=True))
-            both[at] = joint / joint.sum((1, 2), keepdims=True)
-        belief = up + down
-        return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -40, 40))), both
-
-    def fit(self, forest: Forest, rounds: int = 40, hold: float = 0.02) -> "Model":
-        """Climb the likelihood of the labels, less the squared distance from the prior."""
-        n = len(forest.parent)
-        if not n:
+        return message, down
+
+    def _by_nodes(self, nodes: "Nodes", up):
+        def either(a: float, b: float) -> float:
+            return max(a, b) + log1p(exp(-abs(a - b)))
+
+        edges, n = self.edges.tolist(), nodes.n
+        parent, kind = nodes.parent.tolist(), nodes.kind.tolist()
+        u, m, d = up.tolist(), [(0.0, 0.0)] * n, [(0.0, 0.0)] * n
+        for i in range(n - 1, -1, -1):
+            q = parent[i]
+            if q >= 0:
+                (a, b), (c, e) = edges[kind[q]]
+                x, y = u[i]
+                m[i] = either(a + x, b + y), either(c + x, e + y)
+                u[q][0] += m[i][0]
+                u[q][1] += m[i][1]
+        for i in range(n):
+            q = parent[i]
+            if q >= 0:
+                (a, b), (c, e) = edges[kind[q]]
+                x, y = u[q][0] + d[q][0] - m[i][0], u[q][1] + d[q][1] - m[i][1]
+                d[i] = either(a + x, c + y), either(b + x, e + y)
+        up[:] = np.array(u).reshape(n, 2)
+        return np.array(m).reshape(n, 2), np.array(d).reshape(n, 2)
+
+    def fit(self, forest: Forest, rounds: int = 200, hold: float = 0.02) -> "Model":
+        """The most probable weights: likelihood of the labels a page, less ``hold`` / 2 times the squared distance from the prior.
+
+        The likelihood is concave; steps are quasi-Newton (BFGS), halved until they climb, to a slope of 1e-4.
+        """
+        if not forest.parent:
             return self
-        y = np.array([bool(x) for x in forest.label], float)
-        x = np.array(forest.values)
-        parent, kind = np.array(forest.parent), np.array(forest.kind)
-        child = np.flatnonzero(parent >= 0)
-        seen = np.zeros_like(self.edges)
-        np.add.at(seen, (kind[parent[child]], y[parent[child]].astype(int), y[child].astype(int)), 1.0)
-        pace_w, pace_e = np.full(len(self.weights), 1e-3), np.full(self.edges.shape, 1e-3)
+        views = [Nodes(forest), Nodes(forest, names=False)]
+        size = 2 * (len(forest.pages) - 1)
+        y = np.array([bool(x) for x in forest.label], int)
+        center = np.concatenate([PRIOR, PRIOR_EDGES.ravel()])
+        k = len(PRIOR)
+
+        def climbed(theta):
+            """How good weights are, and the slope there."""
+            model = Model(theta[:k], theta[k:].reshape(self.edges.shape))
+            value, slope = -hold / 2 * ((theta - center) ** 2).sum(), -hold * (theta - center)
+            for v in views:
+                p, both, total = model._passed(v)
+                c, q = v.child, v.parent[v.child]
+                moved = np.zeros_like(self.edges)
+                np.add.at(moved, (v.kind[q], y[q], y[c]), 1.0)
+                seen = (v.x[y == 1].sum(0) @ model.weights) + (moved * model.edges).sum()
+                np.subtract.at(moved, v.kind[q], both[c])
+                value += (seen - total) / size
+                slope += np.concatenate([v.x.T @ (y - p), moved.ravel()]) / size
+            return value, slope
+
+        theta = np.concatenate([self.weights, self.edges.ravel()])
+        value, slope = climbed(theta)
+        inverse = np.eye(len(theta))
         for _ in range(rounds):
-            p, both = self.marginals(forest)
-            expected = np.zeros_like(self.edges)
-            np.add.at(expected, kind[parent[child]], both[child])
-            slope_w = x.T @ (y - p) / n - hold * (self.weights - PRIOR) / len(PRIOR)
-            slope_e = (seen - expected) / n - hold * (self.edges - PRIOR_EDGES) / PRIOR_EDGES.size
-            pace_w += slope_w**2
-            pace_e += slope_e**2
-            self.weights += 0.05 * slope_w / np.sqrt(pace_w)
-            self.edges += 0.05 * slope_e / np.sqrt(pace_e)
+            if np.abs(slope).max() < 1e-4:
+                break
+            way, pace = inverse @ slope, 1.0
+            while (new := climbed(theta + pace * way))[0] < value + 1e-4 * pace * (way @ slope) and pace > 1e-8:
+                pace /= 2
+            step, bend = pace * way, slope - new[1]
+            theta, value, slope = theta + step, *new
+            if (s := step @ bend) > 1e-12:
+                turn = np.eye(len(theta)) - np.outer(step, bend) / s
+                inverse = turn @ inverse @ turn.T + np.outer(step, step) / s
+        self.weights, self.edges = theta[:k], theta[k:].reshape(self.edges.shape)
         return self
 
 
+class Nodes:
+    """A forest as arrays; ``names=False`` holds back what names of elements, classes and ids say of the article."""
+
+    def __init__(self, forest: Forest, names: bool = True):
+        self.n = len(forest.parent)
+        self.x = np.array(forest.values).reshape(self.n, len(FEATURES))
+        self.parent = np.array(forest.parent, int)
+        self.kind = np.array(forest.kind if names else forest.shape, int)
+        if not names:
+            self.x[:, NAMES] = 0.0
+        depth = np.array(forest.depth, int)
+        order = np.argsort(depth, kind="stable")
+        cuts = np.searchsorted(depth[order], np.arange(1, depth.max(initial=0) + 2))
+        self.levels = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        self.child = np.flatnonzero(self.parent >= 0)
+
+
 def train(pages: DataFrame, id_: str = "page_id", html: str = "html", sample: int = 300, longest: int = 1 << 18) -> Model:
     """Fit on ``sample`` pages of at most ``longest`` bytes, by a hash of the id; of those, the ones that name an article."""
     short = pages.where(F.octet_length(col(html)) <= longest).select(col(html).alias("h"), F.xxhash64(col(id_), col(html)).alias("k"))

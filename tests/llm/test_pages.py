@@ -108,3 +108,93 @@ def test_parts_of_other_pages(spark):
                "</article></section></article></main><aside><p>Other things to read on this site today.</p></aside>") == ["Story", "Para.", "a"]
     assert run("<body><table><tr><td><a href=1>Home</a></td><td><h1>Big title</h1><p>This is the article text, long enough to be read.</p></td></tr></table>") == [
         "Big title", "This is the article text, long enough to be read."]
+
+
+def kept_by(model, html, names=True):
+    forest = p.Forest()
+    forest.add(html)
+    kept = model._passed(p.Nodes(forest, names))[0] > 0.5
+    return [t for t, k in zip(forest.text, kept) if k and t is not None]
+
+
+def test_labels_turn_a_decision_around():
+    """On pages that name no article, what is kept follows from the pages that do."""
+    shown = p.Forest()
+    for i in range(40):
+        shown.add(f"<body><div><p>Subscribe to letter {i}, and read it every day.</p></div><article><table><tr><td>cell {i}<td>value {i}</table></article></body>")
+    page = "<body><div><p>Subscribe to letter 99, and read it every day.</p></div><div><table><tr><td>cell 99<td>value 99</table></div></body>"
+    before, after = kept_by(p.Model(), page), kept_by(p.Model().fit(shown), page)
+    assert "cell 99" not in before or "Subscribe to letter 99, and read it every day." in before
+    assert after == ["cell 99", "value 99"]
+
+
+def test_fit_is_at_the_top_of_its_objective():
+    """Slopes vanish: marginals meet the labels up to the pull of the prior, however the steps got there."""
+    forest = p.Forest()
+    for i in range(20):
+        forest.add(f"<nav><a>home {i}</a></nav><article><p>Words of page {i}, enough of them.</p><p>short</p></article><div>More words {i} that are not the article.</div>")
+    model = p.Model().fit(forest, hold=0.05)
+    y, slope = np.array([bool(x) for x in forest.label], int), np.zeros(len(p.PRIOR))
+    for names in (True, False):
+        nodes = p.Nodes(forest, names)
+        slope += nodes.x.T @ (y - model._passed(nodes)[0]) / 40
+    assert np.allclose(slope, 0.05 * (model.weights - p.PRIOR), atol=2e-4)
+
+
+def test_training_explains_pages_without_their_names(spark):
+    """Fit on half of the labelled pages, judge runs of text of the other half with all names held back."""
+    rows = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    halves = [p.Forest(), p.Forest()]
+    for i, h in enumerate(rows):
+        one = p.Forest()
+        one.add(h or "")
+        if one.label[0] is not None:
+            halves[i % 2].add(h)
+    nodes = p.Nodes(halves[1], names=False)
+    y, leaf = np.array([bool(x) for x in halves[1].label]), np.array([t is not None for t in halves[1].text])
+
+    def right(model):
+        return ((model._passed(nodes)[0] > 0.5) == y)[leaf].mean()
+
+    assert right(p.Model().fit(halves[0])) > max(0.95, right(p.Model()))
+
+
+def test_walk_by_nodes_equals_walk_by_levels():
+    forest = p.Forest()
+    for html, _ in PAGES.values():
+        forest.add(html)
+    nodes, model = p.Nodes(forest), p.Model()
+    ways = []
+    for walk in (model._by_levels, model._by_nodes):
+        up = np.zeros((nodes.n, 2))
+        up[:, 1] = nodes.x @ model.weights
+        ways.append((*walk(nodes, up), up))
+    for a, b in zip(*ways):
+        assert np.allclose(a, b)
+
+
+HOSTILE = ["<div>", "</p>", "<a ", '<a ">"', "<a '\">", "<p>", "<b", "<div class='", "<li><ul>", "<!", "&amp", "<td><form>"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_work_is_linear_in_the_markup(piece):
+    """Twice the text takes about twice the time: the quadratic scan took sixteen times for four times the text."""
+    from time import process_time
+
+    def seconds(n):
+        at = process_time()
+        forest = p.Forest()
+        forest.add("<div>" * (n // 50) + piece * (n // len(piece)) + "'>x")
+        p.Model().marginals(forest)
+        return process_time() - at
+
+    seconds(1000)
+    assert seconds(400_000) < 9 * max(seconds(100_000), 0.05)
+
+
+def test_quotes_and_formulas():
+    model = p.Model()
+    assert kept_by(model, "<article><p title='a > b'>One <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == ["One x=2 holds."]
+    # Quotes hide the end of a tag wherever they stand in it, so this one ends with the next element's.
+    assert kept_by(model, "<article><p>a <a \">\"b</a> c</p></article>") == ["a c"]
+    assert kept_by(model, '<article><p>a <b x="y>open</b> c</p></article>') == ["a open c"]
