@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelforge.binding import col
+from panelforge.binding import col, quoted
 from panelforge.functions import zscore
 from panelforge.operators.aggregates import one_row
 from panelforge.operators.quantiles import quantile_table
@@ -36,7 +36,7 @@ def prepare(
 ) -> DataFrame:
     """Complete rows with standardised features, optionally a sample of at most ``most`` rows."""
     rows = df.select(*[col(c) for c in ids], *[col(c).cast("double").alias(c) for c in features])
-    rows = rows.dropna(subset=list(features))
+    rows = rows.dropna(subset=[quoted(c) for c in features])
     if most is not None:
         rows = hash_sample(rows, ids, most, seed)
     stats = one_row(
@@ -95,11 +95,12 @@ def fit_isolation_forest(
     A tree sees at most ``sample`` rows, so the table has at most
     ``2 * trees * sample`` rows however large the input is.
     """
-    names = list(features)
+    # Plain names, as grouped functions refuse columns with dots.
+    keys, names = [f"i{k}" for k in range(len(ids))], [f"f{k}" for k in range(len(features))]
     limit = math.ceil(math.log2(max(sample, 2)))
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(ids))  # the same tree for any arrival order
+        pdf = pdf.sort_values(keys)  # the same tree for any arrival order
         rng = np.random.default_rng([seed, int(key[0])])
         points = pdf[names].to_numpy(float)
         rows: list[list] = []
@@ -126,8 +127,10 @@ def fit_isolation_forest(
         out.insert(0, "tree", int(key[0]))
         return out
 
-    complete = df.select(*[col(c) for c in ids], *[col(c).cast("double").alias(c) for c in features])
-    samples = tree_samples(complete.dropna(subset=names), ids, trees, sample, seed)
+    complete = df.select(
+        *[col(c).alias(k) for c, k in zip(ids, keys)], *[col(c).cast("double").alias(k) for c, k in zip(features, names)]
+    )
+    samples = tree_samples(complete.dropna(subset=names), keys, trees, sample, seed)
     return by_group(samples, ["tree"]).groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 

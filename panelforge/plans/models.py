@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from panelforge.operators import anomaly, boost, cluster, ensemble, forecast, forest, importance, trees
+from panelforge.operators import anomaly, boost, cluster, ensemble, fitted, forecast, forest, importance, trees
 from panelforge.operators.aggregates import group_means
 from panelforge.operators.sampling import hash_split
 from panelforge.plans.panels import SERIES, nation_series
@@ -417,6 +418,49 @@ def fi_shap_dependence(spark, d):
     return found.withColumn("feature", F.lit(strongest["feature"]))
 
 
+LINES = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def _lines(spark, d):
+    return table(spark, d, "lineitem").select(
+        F.xxhash64("*").alias("row_id"), "l_returnflag", "l_shipdate", *[F.col(c).cast("double").alias(c) for c in LINES]
+    )
+
+
+def _reloaded(spark, stages, rows):
+    """A pipeline fitted to ``rows``, saved and loaded again."""
+    path = scratch_path(spark, "fitted")
+    Pipeline(stages=stages).fit(rows).write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+_SCALED = {c: f"(l.{c} - s.m_{c}) / CASE WHEN s.d_{c} > 0 THEN s.d_{c} ELSE 1 END" for c in LINES}
+
+
+@query("io_fitted_scaling", "WITH s AS (SELECT " + ", ".join(
+    f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS d_{c}" for c in LINES
+) + " FROM lineitem WHERE l_shipdate < DATE '1996-01-01') SELECT l_returnflag, count(*) AS n, " + ", ".join(
+    f"{R(f'avg({x})')} AS mean_{c}, {R(f'min({x})')} AS low_{c}, {R(f'max({x})')} AS high_{c}" for c, x in _SCALED.items()
+) + " FROM lineitem l CROSS JOIN s GROUP BY 1")
+def io_fitted_scaling(spark, d):
+    """All lines by the scaling of the early ones, which was saved and loaded again."""
+    rows = _lines(spark, d)
+    model = _reloaded(spark, [fitted.Scaling(columns=LINES)], rows.where("l_shipdate < DATE '1996-01-01'"))
+    each = [f(c).alias(f"{name}_{c}") for c in LINES for f, name in ((F.avg, "mean"), (F.min, "low"), (F.max, "high"))]
+    return rounded(model.transform(rows).groupBy("l_returnflag").agg(F.count("*").alias("n"), *each))
+
+
+@query("io_fitted_detector")
+def io_fitted_detector(spark, d):
+    """All lines scored by fences, scaling and an isolation forest of the early ones, which were saved and loaded again."""
+    rows = _lines(spark, d)
+    stages = [fitted.Fences(columns=LINES), fitted.Scaling(columns=LINES), fitted.IsolationForest(ids=["row_id"], columns=LINES)]
+    model = _reloaded(spark, stages, rows.where("l_shipdate < DATE '1996-01-01'"))
+    return model.transform(rows).groupBy("l_returnflag", "outlier_iforest").agg(
+        F.count("*").alias("n"), F.avg("score").alias("mean_score")
+    )
+
+
 @query("io_model_roundtrip")
 def io_model_roundtrip(spark, d):
     """Predictions of a model that was saved and loaded again."""
