@@ -1,11 +1,17 @@
 """Gradient boosting by histograms, with trees grown by levels or by leaves.
 
-Rows are binned once. More than ``finish`` of them become blocks that stay in
+Rows are binned once. Rows that agree in all bins, a cell, are in one leaf of
+every tree, so all that a round needs of them are the number and the sum of
+those it draws. Where the grid of all bins has at most ``grid`` cells, passes
+over the rows, sorted by cell, add these up for many rounds at a time, and the
+rounds run over the cells: a node is a box of the grid. The work after the
+passes then does not depend on the rows. At most ``finish`` rows
+are one bounded group, as the subtrees of a forest are, and the same rounds
+run inside its task. More rows on a larger grid become blocks that stay in
 the memory of the executors; a pass over them adds up, for the nodes in
 question, the rows and residuals of every bin, and only these sums reach the
-driver: targets x features x bins, whatever the rows. At most ``finish`` rows
-are one bounded group, as the subtrees of a forest are, and the same rounds
-run inside its task. Of two siblings the smaller is summed and the other
+driver: targets x features x bins, whatever the rows.
+Of two siblings the smaller is summed and the other
 subtracted from their parent. What the model holds is bounded by its rounds
 and leaves.
 """
@@ -13,20 +19,23 @@ and leaves.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.operators.forest import BINS, bin_cuts, binned
-from panelforge.session import durable
+from panelforge.session import discard, durable, scratch_path
 
 ROWS, FINISH = 1 << 16, 1 << 19
+# Cells of the largest grid that rounds run over, cells times rounds that are summed at a time, and rows summed at once.
+GRID, SUMMED, CHUNK = 1 << 22, 1 << 24, 1 << 15
 # Rounds between two rewritings of the residuals, and rewritings between two cuts of their lineage.
 KEEP, CUT = 10, 5
 AHEAD = 4
@@ -74,14 +83,50 @@ def _residuals(block, recent: Sequence[Tree]):
     return bins, key, r
 
 
+def boxes(feature: np.ndarray, cut: np.ndarray, left: np.ndarray, shape: Sequence[int]) -> Iterator[tuple[int, tuple[slice, ...]]]:
+    """Every leaf with the part of the grid of bins that it covers; parts without a cell are left out."""
+    held = [(0, tuple(slice(0, n) for n in shape))]
+    while held:
+        n, box = held.pop()
+        f = int(feature[n])
+        if any(s.start >= s.stop for s in box):
+            continue
+        if f < 0:
+            yield n, box
+            continue
+        held += [(int(left[n]) + side, part) for side, part in enumerate(halves(box, f, int(cut[n])))]
+
+
+def halves(box: tuple[slice, ...], f: int, cut: int) -> tuple[tuple[slice, ...], tuple[slice, ...]]:
+    """A box, split behind bin ``cut`` of feature ``f``."""
+    at = min(max(cut + 1, box[f].start), box[f].stop)
+    return box[:f] + (slice(box[f].start, at),) + box[f + 1 :], box[:f] + (slice(at, box[f].stop),) + box[f + 1 :]
+
+
 @dataclass
 class Boosted:
     cuts: list[np.ndarray]
     base: float
     trees: list[Tree]  # values hold the learning rate
 
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return tuple(len(c) + 1 for c in self.cuts)
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """The prediction of every cell."""
+        out = np.full(self.shape, self.base)
+        for t in self.trees:
+            for leaf, box in boxes(t.feature, t.bin, t.left, self.shape):
+                out[box] += t.value[leaf]
+        return out.ravel()
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        bins, out = binned(x, self.cuts), np.full(len(x), self.base)
+        bins = binned(x, self.cuts)
+        if math.prod(self.shape) <= GRID:
+            return self.table[np.ravel_multi_index(bins, self.shape)]
+        out = np.full(len(x), self.base)
         for t in self.trees:
             out += t.value[route(t.feature, t.bin, t.left, bins)]
         return out
@@ -90,13 +135,12 @@ class Boosted:
         """``rows`` with the prediction; a null vector gives null."""
         shared, width = rows.sparkSession.sparkContext.broadcast(self), len(self.cuts)
 
-        @F.pandas_udf("double")
-        def scored(x: pd.Series) -> pd.Series:
-            there = x.notna().to_numpy()
-            out = np.full(len(x), np.nan)
-            if there.any():
-                out[there] = shared.value.score(np.stack(x[there].to_numpy()).reshape(-1, width))
-            return pd.Series(out).where(there, None)
+        @F.arrow_udf("double")
+        def scored(x: pa.Array) -> pa.Array:
+            there = x.is_valid().to_numpy(zero_copy_only=False)
+            out = np.zeros(len(x))
+            out[there] = shared.value.score(np.asarray(x.flatten(), float).reshape(-1, width))
+            return pa.array(out, pa.float64(), mask=~there | np.isnan(out))
 
         return rows.withColumn(name, scored(F.when(F.col(vector).isNotNull(), vector_to_array(vector))))
 
@@ -286,6 +330,31 @@ class Group:
         return out
 
 
+class Cube:
+    """The ``ask`` of a round over a grid of cells, from the drawn rows and their residuals in each cell."""
+
+    def __init__(self, n: np.ndarray, r: np.ndarray, size: int):
+        self.n, self.r, self.size = n, r, size
+        self.boxes = {0: tuple(slice(0, k) for k in n.shape)}
+
+    def __call__(self, feature, cut, left, targets):
+        parents = {int(c): p for p, c in enumerate(left) if c >= 0}
+        out = np.zeros((len(targets), self.n.ndim, self.size, 2))
+        for i, t in enumerate(targets):
+            if t not in self.boxes:
+                p = parents[t] if t in parents else parents[t - 1]
+                child = int(left[p])
+                self.boxes[child], self.boxes[child + 1] = halves(self.boxes[p], int(feature[p]), int(cut[p]))
+            box = self.boxes[t]
+            for k, values in enumerate((self.n, self.r)):
+                # Sums by the bins of each feature in turn, which is then summed away.
+                rest = np.ascontiguousarray(values[box])
+                for f, s in enumerate(box):
+                    out[i, f, s, k] = rest.reshape(len(rest), -1).sum(axis=1)
+                    rest = rest.sum(axis=0)
+        return out
+
+
 PACKED = ("<i4", "<i4", "<i4", "<f8", "<f8", "<f8")
 
 
@@ -303,21 +372,129 @@ def _in_one_group(cuts, base: float, rounds: int, grown, draw, size: int):
             on = draw(key, number)
             tree = grown(Group(np.ascontiguousarray(bins[:, on]), r[on], size), number)
             r = r - tree.value[route(tree.feature, tree.bin, tree.left, bins)]
-            arrays = (tree.feature, tree.bin, tree.left, tree.value, tree.cover, tree.gain)
-            columns = [pa.array([number]), *[pa.array([a.astype(k).tobytes()]) for a, k in zip(arrays, PACKED)]]
-            yield pa.RecordBatch.from_arrays(columns, ["number", *"abcdef"])
+            yield _tree_batch(number, tree)
+
+    return run
+
+
+def _celled(cuts, shape):
+    """The cell, key and label of every row."""
+
+    def run(batches):
+        for b in batches:
+            bins = binned(np.asarray(b["x"].flatten(), float).reshape(b.num_rows, -1), cuts)
+            cell = np.ravel_multi_index(bins, shape) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), b["key"], b["y"]], ["cell", "key", "y"])
+
+    return run
+
+
+def chunks(batches, names: Sequence[str], least: int) -> Iterator[list[np.ndarray]]:
+    """Columns of batches that are put together to at least ``least`` rows."""
+    held, rows = [], 0
+    for b in batches:
+        held.append([b[n].to_numpy() for n in names])
+        rows += b.num_rows
+        if rows >= least:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, rows = [], 0
+    if rows:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _drawn_sums(numbers: range, base: float, draw):
+    """Rows and residuals against ``base`` that each round draws in the cells of a chunk of rows."""
+
+    def run(batches):
+        for cell, key, y in chunks(batches, ("cell", "key", "y"), CHUNK):
+            order = np.argsort(cell, kind="stable")
+            cell, key, y = cell[order], key[order], y[order] - base
+            starts = np.flatnonzero(np.diff(cell, prepend=-1))
+            n, s = np.empty((len(numbers), len(starts)), np.int32), np.empty((len(numbers), len(starts)))
+            for i, number in enumerate(numbers):
+                on = draw(key, number)
+                n[i], s[i] = np.add.reduceat(on, starts, dtype=np.int64), np.add.reduceat(y * on, starts)
+            columns = [[v.tobytes()] for v in (cell[starts], n, s)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["cells", "n", "s"])
 
     return run
 
 
+TREE = "number long, " + ", ".join(f"{c} binary" for c in "abcdef")
+
+
+def _tree_batch(number: int, tree: Tree) -> pa.RecordBatch:
+    arrays = (tree.feature, tree.bin, tree.left, tree.value, tree.cover, tree.gain)
+    columns = [pa.array([number]), *[pa.array([a.astype(k).tobytes()]) for a, k in zip(arrays, PACKED)]]
+    return pa.RecordBatch.from_arrays(columns, ["number", *"abcdef"])
+
+
+def _over_cells(shape, numbers: range, grown, size: int):
+    """Some rounds over the cells: a row of packed arrays for each tree, and one of number -1 with what the trees so far predict."""
+
+    def run(batches):
+        n, s = np.zeros((2, len(numbers), math.prod(shape)))
+        so_far = np.zeros(shape)
+        for batch in batches:
+            for cells, k, v, state in zip(*[batch[c] for c in ("cells", "n", "s", "state")]):
+                if state.is_valid:
+                    so_far = np.frombuffer(state.as_buffer()).reshape(shape).copy()
+                    continue
+                at = np.frombuffer(cells.as_buffer(), np.int64)
+                n[:, at] += np.frombuffer(k.as_buffer(), np.int32).reshape(len(numbers), -1)
+                s[:, at] += np.frombuffer(v.as_buffer()).reshape(len(numbers), -1)
+        for i, number in enumerate(numbers):
+            drawn = n[i].reshape(shape)
+            tree = grown(Cube(drawn, s[i].reshape(shape) - drawn * so_far, size), number)
+            for leaf, box in boxes(tree.feature, tree.bin, tree.left, shape):
+                so_far[box] += tree.value[leaf]
+            yield _tree_batch(number, tree)
+        none = pa.array([None], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([so_far.tobytes()]), *[none] * 5], ["number", *"abcdef"])
+
+    return run
+
+
+def _trees(rows) -> list[Tree]:
+    return [Tree(*[np.frombuffer(v, k) for v, k in zip(r[1:], PACKED)]) for r in sorted(rows, key=lambda r: r.number)]
+
+
+def celled(used: DataFrame, rows: int, cuts: list[np.ndarray], shape: Sequence[int]) -> DataFrame:
+    """(cell, key, y) of every row, dealt into ranges of them, so that a crowded cell is in many."""
+    parts = max(used.sparkSession.sparkContext.defaultParallelism, -(-rows // (ROWS << 4)))
+    found = durable(used.mapInArrow(_celled(cuts, shape), "cell long, key long, y double"))
+    return durable(found.repartitionByRange(parts, "cell", "key").sortWithinPartitions("cell", "key", "y"))
+
+
+def _by_cells(used: DataFrame, rows: int, cuts, shape, base: float, rounds: int, grown, draw, size: int) -> list[Tree]:
+    spark, dealt, trees, last = used.sparkSession, celled(used, rows, cuts, shape), [], None
+    step = max(1, SUMMED // math.prod(shape))
+    for at in range(0, rounds, step):
+        numbers = range(at, min(at + step, rounds))
+        paths = [scratch_path(spark, name) for name in ("sums", "rounds")]
+        sums = durable(dealt.mapInArrow(_drawn_sums(numbers, base, draw), "cells binary, n binary, s binary"), paths[0])
+        given = sums.withColumn("state", F.lit(None).cast("binary"))
+        if last:
+            state = spark.read.parquet(last).where("number < 0").select(F.col("a").alias("state"))
+            given = given.unionByName(state, allowMissingColumns=True)
+        done = durable(given.coalesce(1).mapInArrow(_over_cells(shape, numbers, grown, size), TREE), paths[1])
+        trees += _trees(done.where("number >= 0").collect())
+        for path in [paths[0], last] if last else paths[:1]:
+            discard(spark, path)
+        last = paths[1]
+    discard(spark, last)
+    return trees
+
+
 def fit(train: DataFrame, width: int, key: Sequence[str], rounds: int = 600, rate: float = 0.03, depth: int | None = None,
         leaves: int | None = None, least: int = 1, ridge: float = 1.0, rows: float = 0.9, columns: float = 0.9, bins: int = BINS,
-        seed: int = 42, finish: int = FINISH, vector: str = "features", label: str = "label") -> Boosted:
+        seed: int = 42, finish: int = FINISH, vector: str = "features", label: str = "label", grid: int = GRID) -> Boosted:
     """Boosting for squared error: ``depth`` grows trees by levels, ``leaves`` by leaves, the best first.
 
     Each round draws the share ``rows`` of the rows by the hash of ``key`` (rows
     that agree there are drawn together) and the share ``columns`` of the
-    features. At most ``finish`` rows are boosted in one group, more by passes. A leaf has at least ``least`` drawn rows; its value is the sum of
+    features. Rows are boosted by cells where the grid of all bins has at most ``grid``
+    and they are more than half of it; else at most ``finish`` rows in one group, more by passes. A leaf has at least ``least`` drawn rows; its value is the sum of
     its residuals over its rows and ``ridge``, times ``rate``. Rows without a
     label are left out; without rows the model predicts null.
     """
@@ -328,7 +505,6 @@ def fit(train: DataFrame, width: int, key: Sequence[str], rounds: int = 600, rat
     used = train.where(F.col(label).isNotNull() & ~F.isnan(label)).select(
         F.xxhash64(*key).alias("key"), vector_to_array(vector).alias("x"), F.col(label).cast("double").alias("y")
     )
-    used = durable(used)
     total = used.agg(F.avg("y").alias("m"), F.count("*").alias("n")).first()
     if not total["n"]:
         return Boosted(cuts, float("nan"), [])
@@ -341,10 +517,13 @@ def fit(train: DataFrame, width: int, key: Sequence[str], rounds: int = 600, rat
         grower = Grower(ask, width, bins, drawn_features(width, number, seed, columns), least, ridge, rate)
         return grower.by_leaves(leaves) if depth is None else grower.by_levels(depth)
 
+    shape = tuple(len(c) + 1 for c in cuts)
+    if math.prod(shape) <= grid and total["n"] > min(finish, math.prod(shape) // 2):
+        return Boosted(cuts, base, _by_cells(used, total["n"], cuts, shape, base, rounds, grown, draw, bins))
+    used = durable(used)
     if total["n"] <= finish:
-        schema = "number long, " + ", ".join(f"{c} binary" for c in "abcdef")
-        found = used.coalesce(1).mapInArrow(_in_one_group(cuts, base, rounds, grown, draw, bins), schema).collect()
-        return Boosted(cuts, base, [Tree(*[np.frombuffer(v, k) for v, k in zip(r[1:], PACKED)]) for r in sorted(found, key=lambda r: r.number)])
+        found = used.coalesce(1).mapInArrow(_in_one_group(cuts, base, rounds, grown, draw, bins), TREE).collect()
+        return Boosted(cuts, base, _trees(found))
 
     def block(part):
         data = list(part)

@@ -76,13 +76,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables of this application, once their results are written or read."""
-    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, _MADE.pop(spark.sparkContext.applicationId, []))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one scratch table early, which nothing reads any more."""
+    _MADE[spark.sparkContext.applicationId].remove(path)
+    _delete(spark, [path])
+
+
+def _delete(spark: SparkSession, paths: Sequence[str]) -> None:
     jvm = spark.sparkContext._jvm
     for path in map(jvm.org.apache.hadoop.fs.Path, paths):
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder of the cluster and read it back.
 
     Cuts the lineage, survives the loss of executors, and lets later passes
@@ -92,10 +101,11 @@ def durable(df: DataFrame) -> DataFrame:
     planner takes an aggregate to be as large as its input and would shuffle
     the many rows to meet it; of the written copy it knows the size. It
     broadcasts the copy if that is below the limit of the session, and joins by
-    a shuffle otherwise, where adaptive execution splits skewed keys.
+    a shuffle otherwise, where adaptive execution splits skewed keys. ``path``
+    is for a copy that :func:`discard` is to delete.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, "durable")
+    path = path or scratch_path(spark, "durable")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

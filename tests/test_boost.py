@@ -104,3 +104,36 @@ def test_odd_rows(spark, points):
         boost.fit(points, 3, ["id"])
     flat = boost.fit(points.withColumn("label", F.lit(4.0)), 3, ["id"], rounds=2, leaves=5)
     assert {r.prediction for r in flat.transform(points).collect()} == {4.0}
+
+
+@pytest.mark.parametrize("depth,leaves,rounds", [(3, None, 13), (None, 12, 5)])
+def test_cells_groups_and_passes_give_the_same(spark, points, monkeypatch, depth, leaves, rounds):
+    monkeypatch.setattr(boost, "ROWS", 90)
+    monkeypatch.setattr(boost, "SUMMED", 12_000)  # a few rounds at a time
+    monkeypatch.setattr(boost, "CHUNK", 50)  # cells that lie in several chunks
+    ways = {"cells": {"finish": 0}, "group": {"grid": 0}, "passes": {"finish": 0, "grid": 0}}
+    asked, over_cells = [], boost._by_cells
+    monkeypatch.setattr(boost, "_by_cells", lambda *a: asked.append(1) or over_cells(*a))
+    copies = points.unionByName(points.withColumns({"id": F.col("id") + 1000, "label": F.col("label") + 1}))
+    got = {}
+    for way, settings in ways.items():
+        model = boost.fit(copies, 3, ["id"], rounds=rounds, rate=0.3, depth=depth, leaves=leaves, least=5, columns=0.7, seed=2, **settings)
+        got[way] = [r.prediction for r in model.transform(copies).orderBy("id").collect()]
+    assert got["cells"] == pytest.approx(got["group"]) and got["cells"] == pytest.approx(got["passes"]) and len(asked) == 1
+
+
+def test_rounds_do_not_ask_for_the_rows(spark, points):
+    before = boost.fit(points, 3, ["id"], rounds=3, depth=3, finish=0)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    boost.fit(points, 3, ["id"], rounds=60, depth=3, finish=0)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(before.trees) == 3 and len(jobs.getJobIdsForGroup("rounds")) < 40
+
+
+def test_table_of_cells_scores_as_the_trees_do(points, monkeypatch):
+    model = boost.fit(points, 3, ["id"], rounds=9, leaves=7, rate=0.3)
+    x = np.vstack([np.random.default_rng(1).normal(5, 9, (400, 3)), [[np.nan, 0.0, 1.0], [np.inf, -np.inf, np.nan]]])
+    by_table = model.score(x)
+    monkeypatch.setattr(boost, "GRID", 0)
+    assert by_table.tolist() == model.score(x).tolist()
