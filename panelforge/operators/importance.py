@@ -7,15 +7,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelforge.binding import col
 from panelforge.operators.aggregates import regression_metrics
 from panelforge.operators.boost import Boosted
+from panelforge.operators.forest import binned
 from panelforge.operators.sampling import hash_sample
 from panelforge.operators.trees import node_table
-from panelforge.session import spread
+from panelforge.session import durable, spread
 
 BUCKET_ROWS = 10_000
 MOST_PLAYERS = 8
@@ -100,7 +102,9 @@ def shap_values(
     path only, so its part is looked up in a table by the set of features that a
     row agrees with. The tables are broadcast: their size follows from the
     number and depth of the trees. ``partitions`` deals a short
-    table out to so many tasks first.
+    table out to so many tasks first. Rows that agree in all bins of a
+    :class:`Boosted` model have equal values, which are found once for all of
+    them; a null vector has null.
     """
     spark = rows.sparkSession
     nodes = model.nodes(spark) if isinstance(model, Boosted) else node_table(model, spark)
@@ -108,6 +112,8 @@ def shap_values(
     tables = [(*path_table(value, items), items) for value, items in paths if items and value]
     width = len(features)
     expected = sum(v * math.prod(share for _, (_, _, share) in items) for v, items in paths)
+    if isinstance(model, Boosted):
+        return _by_bins(rows, model.cuts, tables, name, partitions).withColumn(base, F.lit(float(expected)))
     shared = spark.sparkContext.broadcast(tables)
 
     @F.pandas_udf("array<double>")
@@ -124,6 +130,57 @@ def shap_values(
     )
 
 
+def _by_bins(rows: DataFrame, cuts: list[np.ndarray], tables: list, name: str, partitions: int | None) -> DataFrame:
+    """``rows`` with the Shapley values of their bins; each row of bins is explained once."""
+    spark, width = rows.sparkSession, len(cuts)
+
+    @F.arrow_udf("binary")
+    def packed(x: pa.Array) -> pa.Array:
+        there = x.is_valid().to_numpy(zero_copy_only=False)
+        bins = np.ascontiguousarray(binned(np.asarray(x.flatten(), float).reshape(-1, width), cuts).T)
+        found = np.full(len(x), None, object)
+        found[there] = [b.tobytes() for b in bins]
+        return pa.array(found, pa.binary())
+
+    # Of each leaf: the value by set, and for each feature of its path by bin whether that stays on it.
+    leaves = []
+    for table, shares, items in tables:
+        on = []
+        for f, (low, high, _) in items:
+            first, last = [(0 if v < 0 else len(cuts[f])) if np.isinf(v) else int(np.searchsorted(cuts[f], v)) + d for v, d in ((low, 1), (high, 0))]
+            at = np.arange(len(cuts[f]) + 1)
+            on.append((at >= first) & (at <= last))
+        if table.ndim > 1:
+            on = [o.astype(np.uint8) << j for j, o in enumerate(on)]
+            table = np.ascontiguousarray(table.T)
+        leaves.append((table, shares, [f for f, _ in items], on))
+    shared = spark.sparkContext.broadcast(leaves)
+
+    @F.arrow_udf("array<double>")
+    def explain(each: pa.Array) -> pa.Array:
+        bins = np.frombuffer(b"".join(each.to_pylist()), np.uint8).reshape(-1, width).T
+        at = [np.ascontiguousarray(b, dtype=np.intp) for b in bins]
+        phi = np.zeros((width, len(each)))
+        for table, shares, path, on in shared.value:
+            if table.ndim == 1:
+                _add_long_path(phi.T, float(table[0]), shares, [o[at[f]] for o, f in zip(on, path)], path)
+                continue
+            number = np.zeros(len(each), np.uint8)
+            for o, f in zip(on, path):
+                number |= o[at[f]]
+            number = number.astype(np.intp)
+            for values, f in zip(table, path):
+                phi[f] += values[number]
+        return pa.ListArray.from_arrays(np.arange(len(each) + 1, dtype=np.int32) * width, phi.T.ravel())
+
+    marked = rows.withColumn("_bins", packed(F.when(F.col("features").isNotNull(), vector_to_array("features"))))
+    each = marked.where("_bins is not null").select("_bins").distinct()
+    # Few bytes, long work: a given number of tasks.
+    tasks = partitions or 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = durable(spread(each, tasks).withColumn(name, explain("_bins")))
+    return marked.join(found, "_bins", "left").select(*rows.columns, name)
+
+
 def path_table(value: float, items: list) -> tuple[np.ndarray, np.ndarray]:
     """What a leaf adds to each feature of its path, by the set of features whose values stay on the path.
 
