@@ -1,12 +1,15 @@
 """Random forests grown and applied as partitioned tables.
 
-Rows become blocks: for each tree, up to ``BLOCK`` rows of one node with their
-bins, draws and labels packed into binary columns. Nodes of more than
-``finish`` rows are split level by level from sums by (tree, node, feature,
-bin); a node of at most so many rows has its whole subtree grown in one group.
-The trees stay tables, the top by nodes and the rest by subtrees, and rows are
+Rows that agree in all bins, a cell, take the same way through every tree: they
+are sorted together and count as one entry, with the rows drawn, their draws
+and their label sum. Entries become blocks: for each tree, up to ``BLOCK``
+of one node, packed into binary columns. Nodes of more than
+``finish`` entries are split level by level from sums by (tree, node, feature,
+bin); a node of at most so many has its whole subtree grown in one group.
+The trees stay tables, the top by nodes and the rest by subtrees, and cells are
 scored by walking the top in joins and meeting their subtree. Neither the
-rows of a tree nor its nodes are ever in one task or on the driver.
+rows of a tree nor its nodes are ever in one task or on the driver, and what
+is kept for each tree grows with the cells, not with the rows.
 """
 
 from __future__ import annotations
@@ -17,23 +20,28 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelforge.session import durable
 
-BINS, BLOCK, FINISH = 32, 8192, 1 << 17
+BINS, BLOCK, FINISH = 32, 8192, 1 << 19
+# Rows of a task that are drawn from at once.
+CHUNK = 1 << 15
+# Rows that are sorted in a task, and cells that are scored in one.
+SORTED, CELLS = 1 << 20, 1 << 16
 LEAST_GAIN = 1e-10
 # Poisson numbers of mean 1: the share of rows drawn at most 0, 1, 2, ... times.
 DRAWN = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(12)])
-PACKED = "tree int, node long, n long, bins binary, w binary, y binary"
+PACKED = "tree int, node long, n long, bins binary, c binary, w binary, s binary"
 
 
 @dataclass
 class Forest:
     """``top``: (tree, node, feature, bin, value, cover, gain) of nodes above the subtrees; a node's children are 2 and 2 + 1 times it.
 
-    ``subtrees``: (tree, node, feature, bin, left, value, cover, gains), one row each, nodes packed; ``cuts``: per feature the
-    largest values of all bins but the last; ``levels``: of ``top``.
+    ``subtrees``: (tree, node, feature, bin, value, cover, gains), one row each. ``feature`` and ``bin`` pack all nodes by levels,
+    the children of the k-th split, from 0, at 2k + 1 and 2k + 2; ``value`` and ``cover`` pack the leaves, in the same order.
+    ``cuts``: per feature the largest values of all bins but the last; ``levels``: of ``top``.
     """
 
     top: DataFrame
@@ -70,30 +78,82 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(len(column), -1)
 
 
-def _blocks(cuts, trees: int, seed: int):
+def bins_of(cuts: list[np.ndarray]):
+    """The bins of a column of arrays, a byte each; null for null."""
+
+    @F.arrow_udf("binary")
+    def packed(x: pa.Array) -> pa.Array:
+        there = x.is_valid().to_numpy(zero_copy_only=False)
+        bins = np.ascontiguousarray(binned(np.asarray(x.flatten(), float).reshape(-1, len(cuts)), cuts).T)
+        found = np.full(len(x), None, object)
+        found[there] = [b.tobytes() for b in bins]
+        return pa.array(found, pa.binary())
+
+    return packed
+
+
+def unpacked_bins(column: pa.Array, width: int) -> np.ndarray:
+    """Bins by feature and row."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width).T
+
+
+def _chunks(batches, width: int):
+    held, rows = [], 0
+    for b in batches:
+        held.append((unpacked_bins(b["bins"], width), b["key"].to_numpy(), b["y"].to_numpy()))
+        rows += b.num_rows
+        if rows >= CHUNK:
+            yield [np.concatenate(c, axis=-1) for c in zip(*held)]
+            held, rows = [], 0
+    if rows:
+        yield [np.concatenate(c, axis=-1) for c in zip(*held)]
+
+
+def _blocks(width: int, trees: int, seed: int):
+    """Entries of every tree, from rows sorted by their bins."""
+
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                bins = binned(_matrix(part["x"]), cuts)
-                key, y = part["key"].to_numpy(), part["y"].to_numpy()
+        held, least = [[] for _ in range(trees)], BLOCK
+        for bins, key, y in _chunks(batches, width):
+            starts = np.concatenate([[0], 1 + np.flatnonzero((bins[:, 1:] != bins[:, :-1]).any(axis=0))])
+            cells = bins[:, starts]
+            for t in range(trees):
+                w = draws(key, t, seed)
+                c, s = np.add.reduceat(w > 0, starts, dtype=np.uint32), np.add.reduceat(w * y, starts)
+                on = c > 0
+                held[t].append((cells[:, on], c[on], np.add.reduceat(w, starts, dtype=np.uint32)[on], s[on]))
+            if (least := least - len(starts)) <= 0:
                 for t in range(trees):
-                    w = draws(key, t, seed)
-                    on = w > 0
-                    yield _packed([(t, 1, bins[:, on], w[on], y[on])])
+                    yield from _filled(t, 1, held[t])
+                held, least = [[] for _ in range(trees)], BLOCK
+        for t in range(trees):
+            yield from _filled(t, 1, held[t])
 
     return run
 
 
-def _packed(blocks: list) -> pa.RecordBatch:
-    columns = zip(*[(t, node, len(w), np.ascontiguousarray(b).tobytes(), w.tobytes(), y.tobytes()) for t, node, b, w, y in blocks])
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["tree", "node", "n", "bins", "w", "y"])
+def _joined(parts: list) -> list[np.ndarray]:
+    return [np.concatenate(p, axis=-1) for p in zip(*parts)]
+
+
+def _filled(tree: int, node: int, parts: list):
+    """Blocks of the entries in ``parts``."""
+    if parts:
+        joined = _joined(parts)
+        for a in range(0, joined[0].shape[1], BLOCK):
+            yield _packed(tree, node, *[p[..., a : a + BLOCK] for p in joined])
+
+
+def _packed(tree: int, node: int, b: np.ndarray, c: np.ndarray, w: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    columns = [[tree], [node], [len(c)], *[[np.ascontiguousarray(v).tobytes()] for v in (b, c, w, s)]]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], ["tree", "node", "n", "bins", "c", "w", "s"])
 
 
 def _unpacked(batch, i: int, width: int):
-    w = np.frombuffer(batch["w"][i].as_py(), np.uint8)
-    return np.frombuffer(batch["bins"][i].as_py(), np.uint8).reshape(width, -1), w, np.frombuffer(batch["y"][i].as_py(), float)
+    """Bins by feature and entry, and of each entry the rows, draws and label sum."""
+    c, w = [np.frombuffer(batch[n][i].as_py(), np.uint32) for n in ("c", "w")]
+    return np.frombuffer(batch["bins"][i].as_py(), np.uint8).reshape(width, -1), c, w, np.frombuffer(batch["s"][i].as_py(), float)
 
 
 def _sums(width: int, bins: int):
@@ -102,11 +162,9 @@ def _sums(width: int, bins: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                b, w, y = _unpacked(batch, i, width)
+                b, *sums = _unpacked(batch, i, width)
                 f, k = np.divmod(np.arange(width * bins), bins)
-                count, weight, total = [
-                    np.concatenate([np.bincount(b[j], v, bins) for j in range(width)]) for v in (np.ones(len(w)), w.astype(float), w * y)
-                ]
+                count, weight, total = [np.concatenate([np.bincount(b[j], v, bins) for j in range(width)]) for v in sums]
                 on = count > 0
                 names = [batch[c][i].as_py() for c in ("tree", "node")]
                 yield pa.RecordBatch.from_arrays(
@@ -139,40 +197,36 @@ def _children(width: int):
 
     def run(batches):
         held: dict[tuple[int, int], list] = {}
-
-        def full(key):
-            parts = held.pop(key)
-            b, w, y = [np.concatenate([p[i] for p in parts], axis=-1) for i in range(3)]
-            return [(*key, b[:, a : a + BLOCK], w[a : a + BLOCK], y[a : a + BLOCK]) for a in range(0, len(w), BLOCK)]
-
         for batch in batches:
             for i in range(batch.num_rows):
                 tree, node, f, cut = [batch[c][i].as_py() for c in ("tree", "node", "feature", "cut")]
-                b, w, y = _unpacked(batch, i, width)
+                entries = _unpacked(batch, i, width)
                 for key in [k for k in held if k[0] != tree or k[1] >> 1 != node]:
-                    yield _packed(full(key))
-                for side, on in enumerate((b[f] <= cut, b[f] > cut)):
+                    yield from _filled(*key, held.pop(key))
+                at = entries[0][f]
+                for side, on in enumerate((at <= cut, at > cut)):
                     if on.any():
                         key = (tree, 2 * node + side)
-                        held.setdefault(key, []).append((b[:, on], w[on], y[on]))
+                        held.setdefault(key, []).append([e[..., on] for e in entries])
                         if sum(len(p[1]) for p in held[key]) >= BLOCK:
-                            yield _packed(full(key))
+                            yield from _filled(*key, held.pop(key))
         for key in list(held):
-            yield _packed(full(key))
+            yield from _filled(*key, held.pop(key))
 
     return run
 
 
-def subtree(bins: np.ndarray, w: np.ndarray, y: np.ndarray, leaf: int, depth: int, size: int):
+def subtree(bins: np.ndarray, c: np.ndarray, w: np.ndarray, s: np.ndarray, leaf: int, depth: int, size: int):
     """All splits below one node, a level at a time: (feature, bin, left, value, cover, gain) by node; a leaf has feature -1.
 
+    Entries stand for ``c`` rows, ``w`` draws and the label sum ``s``.
     Children of a node stand next to each other, the first at ``left``.
     """
     out = [[] for _ in range(6)]
-    node, w = np.zeros(len(w), np.int64), w.astype(float)
-    wy, frontier, made = w * y, 1, 1
+    node, c, w = np.zeros(len(w), np.int64), c.astype(float), w.astype(float)
+    frontier, made = 1, 1
     for level in range(depth + 1):
-        cover, total, count = np.bincount(node, w, frontier), np.bincount(node, wy, frontier), np.bincount(node, minlength=frontier)
+        cover, total, count = np.bincount(node, w, frontier), np.bincount(node, s, frontier), np.bincount(node, c, frontier)
         base = total * total / cover
         best, feature, cut = LEAST_GAIN * base, np.full(frontier, -1), np.full(frontier, -1)
         open_ = np.flatnonzero((count >= 2 * leaf) & (level < depth))
@@ -180,13 +234,13 @@ def subtree(bins: np.ndarray, w: np.ndarray, y: np.ndarray, leaf: int, depth: in
             place = np.full(frontier, -1)
             place[open_] = np.arange(len(open_))
             on = place[node] >= 0
-            at, bins, w, wy = place[node[on]], bins[:, on], w[on], wy[on]
-            k, c, W, S = len(open_), count[open_, None], cover[open_, None], total[open_, None]
+            at, bins, c, w, s = place[node[on]], bins[:, on], c[on], w[on], s[on]
+            k, C, W, S = len(open_), count[open_, None], cover[open_, None], total[open_, None]
             for f in range(len(bins)):
                 key = at * size + bins[f]
-                cl, wl, sl = [np.cumsum(np.bincount(key, v, k * size).reshape(k, size), axis=1) for v in (None, w, wy)]
+                cl, wl, sl = [np.cumsum(np.bincount(key, v, k * size).reshape(k, size), axis=1) for v in (c, w, s)]
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = np.where((cl >= leaf) & (c - cl >= leaf), sl * sl / wl + (S - sl) * (S - sl) / (W - wl) - S * S / W, -np.inf)
+                    gain = np.where((cl >= leaf) & (C - cl >= leaf), sl * sl / wl + (S - sl) * (S - sl) / (W - wl) - S * S / W, -np.inf)
                 j = np.argmax(gain, axis=1)
                 g = gain[np.arange(k), j]
                 better = open_[g > best[open_]]
@@ -196,7 +250,7 @@ def subtree(bins: np.ndarray, w: np.ndarray, y: np.ndarray, leaf: int, depth: in
             left = np.where(split, made + 2 * (np.cumsum(split) - 1), -1)
             of = open_[at]
             stay = split[of]
-            of, bins, w, wy = of[stay], bins[:, stay], w[stay], wy[stay]
+            of, bins, c, w, s = of[stay], bins[:, stay], c[stay], w[stay], s[stay]
             node = left[of] - made + (bins[feature[of], np.arange(len(of))] > cut[of])
         else:
             split, left = np.zeros(frontier, bool), np.full(frontier, -1)
@@ -209,25 +263,30 @@ def subtree(bins: np.ndarray, w: np.ndarray, y: np.ndarray, leaf: int, depth: in
     return [np.concatenate(o) for o in out]
 
 
-PARTS = "tree int, node long, feature binary, bin binary, left binary, value binary, cover binary, gains array<double>"
-KINDS = ("<i2", "<i2", "<i4", "<f8", "<f8")
+PARTS = "tree int, node long, feature binary, bin binary, value binary, cover binary, gains array<double>"
+KINDS = ("<i2", "u1", "<f8", "<u4")
 
 
 def _finish(width: int, size: int, leaf: int, depth: int):
     def run(key, table):
         parts = [_unpacked(table, i, width) for i in range(table.num_rows)]
-        b, w, y = [np.concatenate([p[i] for p in parts], axis=-1) for i in range(3)]
         tree, node = [k.as_py() for k in key]
-        *packed, gain = subtree(b, w, y, leaf, depth - (node.bit_length() - 1), size)
-        gains = np.bincount(np.maximum(packed[0], 0), gain, width)
+        feature, cut, _, value, cover, gain = subtree(*_joined(parts), leaf, depth - (node.bit_length() - 1), size)
+        gains, ends = np.bincount(np.maximum(feature, 0), gain, width), feature < 0
+        packed = (feature, np.maximum(cut, 0), value[ends], cover[ends])
         columns = [[tree], [node], *[[p.astype(k).tobytes()] for p, k in zip(packed, KINDS)], [gains.tolist()]]
-        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.float64()))
-        names = ["tree", "node", "feature", "bin", "left", "value", "cover", "gains"]
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.float64()))
+        names = ["tree", "node", "feature", "bin", "value", "cover", "gains"]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return run
 
 
+def _parts(spark: SparkSession, rows: int, each: int) -> int:
+    """How many tasks to deal rows to, ``each`` at most and all cores at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def _apart(df: DataFrame, tasks: int) -> DataFrame:
     """Groups of a slow function over so many tasks, whatever their bytes."""
     return df.repartition(tasks, "tree", "node")
@@ -245,14 +304,22 @@ def grow(train: DataFrame, width: int, key: Sequence[str], trees: int = 400, lea
     """
     spark = train.sparkSession
     cuts = bin_cuts(train, vector, width, bins)
-    rows = train.where(F.col(label).isNotNull() & ~F.isnan(label)).select(
-        F.xxhash64(*key).alias("key"), vector_to_array(vector).alias("x"), F.col(label).cast("double").alias("y")
-    )
+    x = bins_of(cuts)(vector_to_array(vector))
+    rows = durable(train.where(F.col(label).isNotNull() & ~F.isnan(label)).select(
+        F.xxhash64(*key).alias("key"), x.alias("bins"), F.col(label).cast("double").alias("y")
+    ))
     tasks = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = durable(rows.mapInArrow(_blocks(cuts, trees, seed), PACKED).where("n > 0"))
+    # By key as well, so that a crowded cell is dealt to many tasks.
+    count = rows.count()
+    parts = _parts(spark, count, SORTED)
+    sorted_ = rows.repartitionByRange(parts, "bins", "key").sortWithinPartitions("bins", "key", "y")
+    blocks = sorted_.mapInArrow(_blocks(width, trees, seed), PACKED).where("n > 0")
+    # Where the cells of all rows fit a group, so do those of a tree, and their blocks go to it at once. A chunk may begin amid a cell.
+    small = rows.select("bins").distinct().count() + count // CHUNK + parts <= finish
+    blocks = blocks if small else durable(blocks)
     names = "tree int, node long, feature int, bin int, value double, cover double, gain double"
     top, levels = spark.createDataFrame([], names), 0
-    while levels < depth:
+    while levels < depth and not small:
         large = blocks.groupBy("tree", "node").agg(F.sum("n").alias("_n")).where(F.col("_n") > finish).select("tree", "node")
         large = durable(large)
         if large.isEmpty():
@@ -270,18 +337,19 @@ def grow(train: DataFrame, width: int, key: Sequence[str], trees: int = 400, lea
 
 SCORED = "tree int, node long, block long, rows binary, bins binary"
 SCORED_NAMES = ["tree", "node", "block", "rows", "bins"]
+VALUED = "block long, rows binary, sums binary, trees binary"
 
 
-def _score_blocks(cuts):
+def _score_blocks(width: int):
+    """Cells by the block, with their places in it."""
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                rows = part["row"].to_numpy()
-                bins = binned(_matrix(part["x"]), cuts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows[0]]), pa.array([rows.tobytes()]), pa.array([bins.tobytes()])], ["block", "rows", "bins"]
-                )
+                ids, bins = part["row"].to_numpy(), np.ascontiguousarray(unpacked_bins(part["bins"], width))
+                columns = [ids[:1], [ids.tobytes()], [np.arange(len(ids), dtype=np.uint16).tobytes()], [bins.tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "ids", "rows", "bins"])
 
     return run
 
@@ -296,7 +364,7 @@ def _step(width: int):
                 if r["feature"] is None:
                     out.append([r[n] for n in SCORED_NAMES])
                     continue
-                bins, rows = np.frombuffer(r["bins"], np.uint8).reshape(width, -1), np.frombuffer(r["rows"], np.int64)
+                bins, rows = np.frombuffer(r["bins"], np.uint8).reshape(width, -1), np.frombuffer(r["rows"], np.uint16)
                 for side, on in enumerate((bins[r["feature"]] <= r["cut"], bins[r["feature"]] > r["cut"])):
                     if on.any():
                         out.append([r["tree"], 2 * r["node"] + side, r["block"], rows[on].tobytes(), np.ascontiguousarray(bins[:, on]).tobytes()])
@@ -311,11 +379,14 @@ def _walk(width: int):
         names, rows, values = [], [], []
         if parts.num_rows:
             part = parts.slice(0, 1).to_pylist()[0]
-            feature, cut, left, value = [np.frombuffer(part[n], k) for n, k in zip(("feature", "bin", "left", "value"), KINDS)]
+            feature, cut, ends = [np.frombuffer(part[n], k) for n, k in zip(("feature", "bin", "value"), KINDS)]
+            split = feature >= 0
+            left, value = 2 * np.cumsum(split) - 1, np.zeros(len(feature))
+            value[~split] = ends
             for r in blocks.to_pylist():
                 bins = np.frombuffer(r["bins"], np.uint8).reshape(width, -1)
                 at, each = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
-                while (inner := feature[at] >= 0).any():
+                while (inner := split[at]).any():
                     f = np.maximum(feature[at], 0)
                     at = np.where(inner, left[at] + (bins[f, each] > cut[at]), at)
                 names.append(r["block"])
@@ -326,45 +397,74 @@ def _walk(width: int):
     return run
 
 
-def _mean(table):
-    rows = np.concatenate([np.frombuffer(x, np.int64) for x in table["rows"].to_pylist()])
-    values = np.concatenate([np.frombuffer(x, float) for x in table["values"].to_pylist()])
-    found, at = np.unique(rows, return_inverse=True)
-    return pa.table([pa.array(found), pa.array(np.bincount(at, values) / np.bincount(at))], names=["row", "mean"])
+def _totals(batches):
+    """Sums over the trees that a task has of a block, for a bounded number of blocks at a time."""
+    held: dict[int, np.ndarray] = {}
+
+    def full():
+        for block, sums in held.items():
+            on = np.flatnonzero(sums[1])
+            columns = [[block], [on.astype(np.uint16).tobytes()], [sums[0, on].tobytes()], [sums[1, on].tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "rows", "sums", "trees"])
+        held.clear()
+
+    for batch in batches:
+        for block, rows, values in zip(*[batch[c].to_pylist() for c in ("block", "rows", "values")]):
+            at = np.frombuffer(rows, np.uint16)
+            sums = held.setdefault(block, np.zeros((2, BLOCK)))
+            sums[0, at] += np.frombuffer(values, float)
+            sums[1, at] += 1
+            if len(held) == 256:
+                yield from full()
+    yield from full()
+
+
+def _mean(totals, ids):
+    """The mean over the trees for every cell of a block."""
+    ids = np.frombuffer(ids["ids"][0].as_py(), np.int64)
+    sums = np.zeros((2, BLOCK))
+    for rows, total, trees in zip(*[totals[c].to_pylist() for c in ("rows", "sums", "trees")]):
+        at = np.frombuffer(rows, np.uint16)
+        sums[0, at] += np.frombuffer(total, float)
+        sums[1, at] += np.frombuffer(trees, float)
+    there = sums[1, : len(ids)] > 0
+    return pa.table([pa.array(ids[there]), pa.array((sums[0] / np.maximum(sums[1], 1))[: len(ids)][there])], names=["row", "mean"])
 
 
 def predict(forest: Forest, rows: DataFrame, vector: str = "features", name: str = "prediction") -> DataFrame:
     """``rows`` with the mean over the trees; a null vector gives a null prediction.
 
-    Many blocks that meet at one subtree are dealt over copies of it, 64 to a task.
+    Cells are scored once for all their rows. Many blocks of them that meet at
+    one subtree are dealt over copies of it, 64 to a task.
     """
     width = len(forest.cuts)
-    numbered = durable(rows.withColumn("_row", F.monotonically_increasing_id()))
-    blocks = numbered.where(F.col(vector).isNotNull()).select(F.col("_row").alias("row"), vector_to_array(vector).alias("x"))
-    blocks = blocks.mapInArrow(_score_blocks(forest.cuts), "block long, rows binary, bins binary")
-    blocks = blocks.withColumns({"tree": F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))), "node": F.lit(1).cast("long")}).select(*SCORED_NAMES)
+    marked = rows.withColumn("_bins", bins_of(forest.cuts)(F.when(F.col(vector).isNotNull(), vector_to_array(vector))))
+    cells = durable(marked.where("_bins is not null").select(F.col("_bins").alias("bins")).distinct())
+    numbered = durable(cells.repartitionByRange(_parts(rows.sparkSession, cells.count(), CELLS), "bins").sortWithinPartitions("bins").withColumn("row", F.monotonically_increasing_id()))
+    once = durable(numbered.mapInArrow(_score_blocks(width), "block long, ids binary, rows binary, bins binary"))
+    blocks = once.withColumns({"tree": F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))), "node": F.lit(1).cast("long")}).select(*SCORED_NAMES)
     steps = forest.top.select("tree", "node", "feature", F.col("bin").alias("cut"))
     for _ in range(forest.levels):
         blocks = durable(blocks.join(steps, ["tree", "node"], "left").mapInArrow(_step(width), SCORED))
-    blocks = durable(blocks)
-    copies = blocks.groupBy("tree", "node").agg(F.ceil(F.count("*") / 64).cast("int").alias("copies"))
+    copies = durable(blocks.groupBy("tree", "node").agg(F.ceil(F.count("*") / 64).cast("int").alias("copies")))
     parts = forest.subtrees.join(copies, ["tree", "node"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    dealt = blocks.join(durable(copies), ["tree", "node"]).withColumn("copy", F.pmod(F.xxhash64("block", "rows"), F.col("copies")).cast("int"))
+    dealt = blocks.join(copies, ["tree", "node"]).withColumn("copy", F.pmod(F.xxhash64("block", "rows"), F.col("copies")).cast("int"))
     by = ("tree", "node", "copy")
-    met = dealt.select(*by, "block", "rows", "bins").groupBy(*by).cogroup(parts.select(*by, "feature", "bin", "left", "value").groupBy(*by))
+    met = dealt.select(*by, "block", "rows", "bins").groupBy(*by).cogroup(parts.select(*by, "feature", "bin", "value").groupBy(*by))
     valued = met.applyInArrow(_walk(width), "block long, rows binary, values binary")
     # Leaves above the subtrees: every row of such a block has the node's value.
     whole = forest.top.where("feature is null").select("tree", "node", "value")
     early = blocks.join(whole, ["tree", "node"]).mapInArrow(_constant, "block long, rows binary, values binary") if forest.levels else None
     valued = valued if early is None else valued.unionByName(early)
-    means = valued.groupBy("block").applyInArrow(_mean, "row long, mean double")
-    means = means.select(F.col("row").alias("_row"), F.col("mean").alias(name))
-    return numbered.join(means, "_row", "left").drop("_row")
+    totals = valued.mapInArrow(_totals, VALUED).groupBy("block").cogroup(once.select("block", "ids").groupBy("block"))
+    means = totals.applyInArrow(_mean, "row long, mean double")
+    found = durable(numbered.join(means, "row").select(F.col("bins").alias("_bins"), F.col("mean").alias(name)))
+    return marked.join(found, "_bins", "left").drop("_bins")
 
 
 def _constant(batches):
     for batch in batches:
-        values = [np.full(len(r.as_py()) // 8, v.as_py()).tobytes() for r, v in zip(batch["rows"], batch["value"])]
+        values = [np.full(len(r.as_py()) // 2, v.as_py()).tobytes() for r, v in zip(batch["rows"], batch["value"])]
         yield pa.RecordBatch.from_arrays([batch["block"], batch["rows"], pa.array(values, pa.binary())], ["block", "rows", "values"])
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelforge.binding import col
 from panelforge.operators.aggregates import regression_metrics
 from panelforge.operators.boost import Boosted
-from panelforge.operators.forest import binned
+from panelforge.operators.forest import bins_of, unpacked_bins
 from panelforge.operators.sampling import hash_sample
 from panelforge.operators.trees import node_table
 from panelforge.session import durable, spread
@@ -134,14 +134,6 @@ def _by_bins(rows: DataFrame, cuts: list[np.ndarray], tables: list, name: str, p
     """``rows`` with the Shapley values of their bins; each row of bins is explained once."""
     spark, width = rows.sparkSession, len(cuts)
 
-    @F.arrow_udf("binary")
-    def packed(x: pa.Array) -> pa.Array:
-        there = x.is_valid().to_numpy(zero_copy_only=False)
-        bins = np.ascontiguousarray(binned(np.asarray(x.flatten(), float).reshape(-1, width), cuts).T)
-        found = np.full(len(x), None, object)
-        found[there] = [b.tobytes() for b in bins]
-        return pa.array(found, pa.binary())
-
     # Of each leaf: the value by set, and for each feature of its path by bin whether that stays on it.
     leaves = []
     for table, shares, items in tables:
@@ -158,8 +150,7 @@ def _by_bins(rows: DataFrame, cuts: list[np.ndarray], tables: list, name: str, p
 
     @F.arrow_udf("array<double>")
     def explain(each: pa.Array) -> pa.Array:
-        bins = np.frombuffer(b"".join(each.to_pylist()), np.uint8).reshape(-1, width).T
-        at = [np.ascontiguousarray(b, dtype=np.intp) for b in bins]
+        at = [np.ascontiguousarray(b, dtype=np.intp) for b in unpacked_bins(each, width)]
         phi = np.zeros((width, len(each)))
         for table, shares, path, on in shared.value:
             if table.ndim == 1:
@@ -173,7 +164,7 @@ def _by_bins(rows: DataFrame, cuts: list[np.ndarray], tables: list, name: str, p
                 phi[f] += values[number]
         return pa.ListArray.from_arrays(np.arange(len(each) + 1, dtype=np.int32) * width, phi.T.ravel())
 
-    marked = rows.withColumn("_bins", packed(F.when(F.col("features").isNotNull(), vector_to_array("features"))))
+    marked = rows.withColumn("_bins", bins_of(cuts)(F.when(F.col("features").isNotNull(), vector_to_array("features"))))
     each = marked.where("_bins is not null").select("_bins").distinct()
     # Few bytes, long work: a given number of tasks.
     tasks = partitions or 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

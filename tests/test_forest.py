@@ -81,3 +81,16 @@ def test_odd_rows(spark):
     assert len(empty) == 20 and all(r.prediction is None for r in empty)
     same = f.grow(df.withColumn("label", F.lit(2.0)), 2, ["id"], trees=2, finish=1)
     assert {r.prediction for r in f.predict(same, df).collect()} == {2.0}
+
+
+def test_rows_of_equal_bins_are_kept_and_scored_once(spark, points, monkeypatch):
+    copies = points.crossJoin(spark.range(8).withColumnRenamed("id", "copy"))
+    written, write = [], f.durable
+    monkeypatch.setattr(f, "durable", lambda df: written.append(write(df)) or written[-1])
+    grown = f.grow(copies, 3, ["id", "copy"], trees=5, finish=40)
+    cells = len(np.unique(f.binned(np.array([r.features.toArray() for r in points.collect()]), grown.cuts), axis=1).T)
+    first = next(df for df in written if "s" in df.columns)
+    assert first.agg(F.sum("n")).first()[0] <= 5 * (cells + 20) < 0.63 * 5 * copies.count()
+    out = f.predict(grown, copies).collect()
+    scored = next(df for df in written if "ids" in df.columns)
+    assert len(out) == copies.count() and scored.agg(F.sum(F.length("ids") / 8)).first()[0] == cells
