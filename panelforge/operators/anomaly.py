@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelforge.binding import col, quoted
 from panelforge.functions import zscore
 from panelforge.operators.aggregates import one_row
+from panelforge.operators.boost import boxes
 from panelforge.operators.quantiles import quantile_table
 from panelforge.operators.sampling import hash_sample, row_hash
 from panelforge.session import by_group, durable, spread
@@ -51,6 +52,8 @@ def prepare(
 
 # ------------------------------------------------------------ isolation forest
 
+# Of the grid that a tree cuts, in which rows are looked up.
+MOST_CELLS = 1 << 17
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, depth double"
 
 
@@ -134,6 +137,33 @@ def fit_isolation_forest(
     return by_group(samples, ["tree"]).groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
+def depth_tables(trees: list[tuple], width: int) -> tuple[list[np.ndarray], list[tuple | None]]:
+    """All thresholds of each feature, and for each tree how to look a row's depth up by its ranks among them.
+
+    A tree tells apart a grid of cells, between its own thresholds. Per feature an array
+    turns the rank into the place on the grid, and the grid holds numbers of depths.
+    A tree whose grid has more than ``MOST_CELLS`` cells has none.
+    """
+    inner = [left != np.arange(len(left)) for _, _, left, _, _ in trees]
+    own = [[np.unique(t[on & (f == k)]) for k in range(width)] for (f, t, *_), on in zip(trees, inner)]
+    every = [np.unique(np.concatenate([np.empty(0), *[o[k] for o in own]])) for k in range(width)]
+    tables: list[tuple | None] = []
+    for (feature, threshold, left, _, depth), on, at in zip(trees, inner, own):
+        shape = tuple(len(a) + 1 for a in at)
+        if math.prod(shape) > MOST_CELLS:
+            tables.append(None)
+            continue
+        cut = np.array([np.searchsorted(at[f], t) for f, t in zip(feature, threshold)])
+        depths, number = np.unique(depth, return_inverse=True)
+        grid = np.zeros(shape, np.min_scalar_type(len(depths)))
+        for leaf, box in boxes(np.where(on, feature, -1), cut, left, shape):
+            grid[box] = number[leaf]
+        steps = [math.prod(shape[k + 1 :]) for k in range(width)]
+        places = [np.searchsorted(np.searchsorted(e, a), np.arange(len(e) + 1)) * step for e, a, step in zip(every, at, steps)]
+        tables.append((places, grid.ravel(), depths))
+    return every, tables
+
+
 def isolation_scores(
     df: DataFrame, features: Sequence[str], forest: DataFrame, sample: int = 256,
     score: str = "score", partitions: int | None = None,
@@ -152,25 +182,31 @@ def isolation_scores(
         tuple(part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "depth"))
         for _, part in nodes.groupby("tree")
     ]
-    shared = df.sparkSession.sparkContext.broadcast(trees)
+    shared = df.sparkSession.sparkContext.broadcast((trees, *depth_tables(trees, len(features))))
     norm = float(average_depth(sample))
     steps = math.ceil(math.log2(max(sample, 2)))
 
     @F.pandas_udf("double")
     def path_score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        trees, every, tables = shared.value
         for frame in batches:
             points = frame.to_numpy(float)
             missing = np.isnan(points).any(axis=1)
             flat, width = points.ravel(), points.shape[1]
             first = np.arange(len(points)) * width
+            ranks = [np.searchsorted(e, points[:, k]) for k, e in enumerate(every)]
             total = np.zeros(len(points))
-            for feature, threshold, left, right, depth in shared.value:
+            for (feature, threshold, left, right, depth), table in zip(trees, tables):
+                if table is not None:
+                    places, grid, depths = table
+                    total += depths[grid[sum(place[r] for place, r in zip(places, ranks))]]
+                    continue
                 at = np.zeros(len(points), dtype=np.intp)
                 for _ in range(steps):  # a leaf leads to itself
                     low = flat[first + feature[at]] <= threshold[at]
                     at = np.where(low, left[at], right[at])
                 total += depth[at]
-            score_ = 2.0 ** (-total / len(shared.value) / norm)
+            score_ = 2.0 ** (-total / len(trees) / norm)
             yield pd.Series(np.where(missing, np.nan, score_))
 
     inputs = F.struct(*[col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])

@@ -77,3 +77,26 @@ def test_empty_and_missing(spark, points, tmp_path):
     assert Scaling(columns=["a"]).fit(points).transform(empty).collect() == []
     with pytest.raises(AttributeError):
         Scaling(colums=["a"])
+
+
+def test_depths_are_looked_up_as_the_trees_give_them(spark, monkeypatch):
+    import numpy as np
+
+    from panelforge.operators import anomaly
+
+    r = np.random.default_rng(4)
+    data = [(i, float(r.normal()), float(r.integers(0, 9)), float(r.exponential())) for i in range(3000)]
+    data += [(-1, None, 1.0, 2.0), (-2, float("inf"), -1e9, 0.0)]
+    df = spark.createDataFrame(data, "id long, a double, b double, c double").cache()
+    names = ["a", "b", "c"]
+    nodes = anomaly.fit_isolation_forest(df.where("id >= 0"), ["id"], names, trees=12).cache()
+    made, build = [], anomaly.depth_tables
+    monkeypatch.setattr(anomaly, "depth_tables", lambda *a: made.append(build(*a)) or made[-1])
+
+    def scores():
+        return {x.id: x.score for x in anomaly.isolation_scores(df, names, nodes).collect()}
+
+    by_table = scores()
+    monkeypatch.setattr(anomaly, "MOST_CELLS", 0)
+    assert by_table == scores() and by_table[-1] is None and by_table[-2] is not None
+    assert all(made[0][1]) and not any(made[1][1])
