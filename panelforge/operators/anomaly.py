@@ -9,7 +9,9 @@ from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from panelforge.binding import col, quoted
 from panelforge.functions import zscore
@@ -52,6 +54,8 @@ def prepare(
 
 # ------------------------------------------------------------ isolation forest
 
+# Points that are compared with each other before any cells are.
+TOGETHER = 2048
 # Of the grid that a tree cuts, in which rows are looked up.
 MOST_CELLS = 1 << 17
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, depth double"
@@ -247,6 +251,9 @@ def dbscan_noise(
     one cell lies within ``eps`` of the other as a whole, point by point only
     where that stays open. A thin cell has fewer than ``min_samples`` points,
     so the pairs grow with the number of points, not with its square.
+    Before that, points are dealt into blocks of neighbours: one that has
+    ``min_samples`` points within ``eps`` in its own block is core. Only cells
+    with another point are thin.
     """
     d = len(features)
     side = eps / math.sqrt(d) * (1 - 1e-9)
@@ -258,8 +265,10 @@ def dbscan_noise(
     points = durable(points.withColumn(
         "_cell", F.transform("_x", lambda x: F.floor(x / side).cast("long"))
     ))
-    cells = points.groupBy("_cell").agg(F.count("*").alias("_n"))
-    pairs = _cell_pairs(cells, side, near, sure, eps, d, min_samples)
+    points = durable(_marked(points, d, eps, min_samples))
+    cells = durable(points.groupBy("_cell").agg(F.count("*").alias("_n"), F.bool_and("_sure").alias("_sure")).select(
+        "_cell", "_n", ((F.col("_n") < min_samples) & ~F.col("_sure")).alias("_thin")))
+    pairs = _cell_pairs(cells, side, near, sure, eps, d)
     pairs = durable(pairs)
 
     # What the counts of whole cells already decide.
@@ -273,7 +282,7 @@ def dbscan_noise(
         .when(F.col("_at_most") < min_samples, "sparse").otherwise("open").alias("_state"),
     )
     thin = points.join(durable(state), "_cell")
-    open_points = thin.where(F.col("_state") == "open").select(*ids, "_x", "_cell", "_at_least")
+    open_points = thin.where((F.col("_state") == "open") & ~F.col("_sure")).select(*ids, "_x", "_cell", "_at_least")
     edges = pairs.where(~F.col("_inside")).select("_cell", "_other")
     others = points.select(F.col("_cell").alias("_other"), F.col("_x").alias("_y"))
     distance = F.aggregate(
@@ -291,14 +300,14 @@ def dbscan_noise(
     )
     judged = thin.join(resolved, list(ids), "left").select(
         *ids, "_x", "_cell",
-        ((F.col("_state") == "core") | F.coalesce("_core", F.lit(False))).alias("_core"),
+        ((F.col("_state") == "core") | F.col("_sure") | F.coalesce("_core", F.lit(False))).alias("_core"),
     )
     judged = durable(judged)
 
     # Points that are not core: is any core point within reach?
     lonely = judged.where(~F.col("_core")).select(*ids, "_x", "_cell")
     thin_cores = judged.where("_core")
-    dense_cells = cells.where(F.col("_n") >= min_samples).select(F.col("_cell").alias("_other"))
+    dense_cells = cells.where(~F.col("_thin")).select(F.col("_cell").alias("_other"))
     core_cells = dense_cells.unionByName(
         thin_cores.select(F.col("_cell").alias("_other")).distinct()
     )
@@ -321,6 +330,29 @@ def dbscan_noise(
     )
 
 
+def _marked(points: DataFrame, dims: int, eps: float, min_samples: int) -> DataFrame:
+    """``points`` with ``_sure``: core by the points of its own block, at most ``TOGETHER`` that stand together on a curve through the cells."""
+    bits = min(63 // dims, 16)
+    at = [F.least(F.greatest(F.col("_cell")[i] + 2 ** (bits - 1), F.lit(0)), F.lit(2**bits - 1)) for i in range(dims)]
+    curve = reduce(add, [F.shiftleft(F.shiftright(x, b).bitwiseAND(F.lit(1)).cast("long"), b * dims + i) for b in range(bits) for i, x in enumerate(at)])
+
+    def mark(batches):
+        for batch in batches:
+            x = np.asarray(batch["_x"].flatten(), float).reshape(batch.num_rows, dims)
+            sure = np.zeros(len(x), bool)
+            for a in range(0, len(x), TOGETHER):
+                part = x[a : a + TOGETHER]
+                apart = np.zeros((len(part), len(part)))
+                for k in range(dims):
+                    apart += (part[:, k, None] - part[:, k]) ** 2
+                sure[a : a + TOGETHER] = (apart <= eps * eps).sum(axis=1) >= min_samples
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sure)], [*batch.schema.names, "_sure"])
+
+    schema = StructType([*points.schema.fields, StructField("_sure", BooleanType())])
+    dealt = points.withColumn("_at", curve).repartitionByRange("_at").sortWithinPartitions("_at")
+    return dealt.drop("_at").mapInArrow(mark, schema)
+
+
 def _leaves(cells: DataFrame, dims: int, span: int, leaf: int) -> DataFrame:
     """Cells dealt into the boxes of a k-d tree: one row of ``_own`` each, and copies of thin cells in all boxes in reach.
 
@@ -379,8 +411,7 @@ def _met(cells: DataFrame, dims: int, span: int, leaf: int) -> DataFrame:
 
 
 def _cell_pairs(
-    cells: DataFrame, side: float, near: float, sure: float, eps: float, dims: int,
-    min_samples: int, leaf: int = 1024,
+    cells: DataFrame, side: float, near: float, sure: float, eps: float, dims: int, leaf: int = 1024,
 ) -> DataFrame:
     """Thin cells with every cell that may hold a point within reach, itself included.
 
@@ -393,5 +424,5 @@ def _cell_pairs(
     def squared(extra: int) -> Column:
         return reduce(add, [F.pow(F.greatest(g + extra, F.lit(0.0)) * side, F.lit(2.0)) for g in gaps])
 
-    joined = _met(cells.withColumn("_thin", F.col("_n") < min_samples), dims, span, leaf).where(squared(-1) <= near)
+    joined = _met(cells, dims, span, leaf).where(squared(-1) <= near)
     return joined.select("_cell", "_other", "_n", (squared(1) <= sure).alias("_inside"))

@@ -96,3 +96,19 @@ def test_boxes_bring_every_near_pair_together_once(spark):
 def test_pairs_of_cells_grow_with_the_points_in_six_dimensions(spark):
     small, large = (met(spark, n, 6, 32)[1].count() / n for n in (500, 4000))
     assert large < 3 * small and large < 4000 / 4
+
+
+def test_points_with_enough_neighbours_in_their_block_need_no_cells(spark, monkeypatch):
+    monkeypatch.setattr(anomaly, "TOGETHER", 300)
+    r = np.random.default_rng(8)
+    x = np.vstack([r.normal(size=(1500, 4)), r.uniform(-9, 9, (60, 4))])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, a double, b double, c double, d double")
+    asked, pairs = [], anomaly._cell_pairs
+    monkeypatch.setattr(anomaly, "_cell_pairs", lambda cells, *a: asked.append(cells) or pairs(cells, *a))
+    got = {v.id for v in anomaly.dbscan_noise(df, ["id"], ["a", "b", "c", "d"], eps=1.0, min_samples=8).where("is_noise").collect()}
+    near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= 1.0
+    core = near.sum(axis=1) >= 8
+    assert got == set(np.flatnonzero(~(near & core).any(axis=1)).tolist())
+    found = asked[0].collect()
+    small, thin = sum(c._n < 8 for c in found), sum(c._thin for c in found)
+    assert 0 < thin < small / 2
