@@ -18,6 +18,7 @@ round, as far as suffixes are still tied), and ties get the smallest id.
 Texts go in chunks, and triggers in buckets, of bounded size and a number that
 follows the input. A chunk asks each bucket once for each distinct phrase, so a
 passage that is in a third of all documents reaches a bucket once per chunk.
+What takes several numbers a byte is done by slices of a chunk or a bucket.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from panelforge.llm.base import (
 )
 
 WINDOW, GRAM = 50, 16
-CHUNK, BUCKET, SLICE = 8 << 20, 16 << 20, 1 << 17
+CHUNK, BUCKET, SLICE, STRINGS = 8 << 20, 16 << 20, 1 << 17, 1 << 20
 _BYTES = (byte_values(11) >> np.uint64(32)).astype(np.uint32)
 _U8 = np.dtype("<u8")
 
@@ -267,13 +268,18 @@ def _sort(sent: pa.Table) -> pa.Table:
     trigger, id_, length, data = (np.concatenate(x) for x in zip(*parts))
     begin = np.cumsum(length) - length
     many = length - WINDOW + 1
-    start, of = ranges(begin, many), np.repeat(np.arange(len(length)), many)
-    own = id_[of]
-    equal, runs = same_strings(data, start, trigger[of])
-    earlier = np.zeros(len(start), bool)
-    if len(equal):
-        least = np.minimum.reduceat(own[equal], runs)
-        earlier[equal] = np.repeat(least, np.diff(np.append(runs, len(equal)))) < own[equal]
+    place = np.cumsum(many) - many
+    earlier = np.zeros(int(many.sum()), bool)
+    order = np.argsort(trigger)
+    groups = np.append(starts_of(trigger[order]), len(order))
+    for a, b in slices(np.append(0, np.cumsum(many[order]))[groups], STRINGS):
+        some = order[groups[a] : groups[b]]
+        of = np.repeat(some, many[some])
+        equal, runs = same_strings(data, ranges(begin[some], many[some]), trigger[of])
+        if len(equal):
+            own = id_[of][equal]
+            least = np.repeat(np.minimum.reduceat(own, runs), np.diff(np.append(runs, len(equal))))
+            earlier[ranges(place[some], many[some])[equal]] = least < own
     rows, a = [], 0
     for chunk, (_, _, n, _) in zip(chunks, parts):
         b = a + int((n - WINDOW + 1).sum())
@@ -286,10 +292,11 @@ def _sort(sent: pa.Table) -> pa.Table:
 def _removed(p: Parse, said: pa.Table, bits: int, size: int) -> np.ndarray:
     """A mask over the bytes of a chunk."""
     code, least, late, where = _codes(p, said, bits)
-    edge = np.zeros(size + 1, np.int32)
     copy = p.id > least[p.of]
-    np.add.at(edge, p.first[copy], 1)
-    np.add.at(edge, p.last[copy] + WINDOW, -1)
+    edge = np.zeros(size + 1, np.int8)
+    edge[p.first[copy]] += 1
+    edge[p.last[copy] + 1] -= 1
+    mask = np.cumsum(edge[:-1], dtype=np.int8).view(bool)  # where the strings to remove start
     if late:
         # The strings of each sent phrase, as bits from ``place`` on.
         length = (p.last - p.first + 1)[p.example]
@@ -301,13 +308,18 @@ def _removed(p: Parse, said: pa.Table, bits: int, size: int) -> np.ndarray:
             place[mine] = used + np.cumsum(length[mine]) - length[mine]
             flags.append(np.unpackbits(np.frombuffer(c, np.uint8), count=n))
             used += n
-        flags = np.concatenate(flags)
+        flags = np.concatenate(flags).view(bool)
         mine = np.flatnonzero((place[p.of] >= 0) & ~copy)
         many = length[p.of[mine]]
-        hit = ranges(p.first[mine], many)[flags[ranges(place[p.of[mine]], many)] > 0]
-        np.add.at(edge, hit, 1)
-        np.add.at(edge, hit + WINDOW, -1)
-    return np.cumsum(edge[:-1]) > 0
+        for a, b in slices(np.append(0, np.cumsum(many)), SLICE):
+            some, n = mine[a:b], many[a:b]
+            mask[ranges(p.first[some], n)[flags[ranges(place[p.of[some]], n)]]] = True
+    wide = 1
+    while wide < WINDOW:  # from starts to all bytes of the strings, none of which leaves its text
+        more = min(wide, WINDOW - wide)
+        mask[more:] |= mask[:-more]
+        wide += more
+    return mask
 
 
 def whole_characters(data: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -319,23 +331,33 @@ def whole_characters(data: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.repeat(np.add.reduceat(mask.astype(np.int64), starts) == size, size)
 
 
+def _covered(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each text the mask covers."""
+    return np.diff(np.append(0, np.cumsum(mask))[offsets])
+
+
 def _apply(text: str, id_: str, bits: int, characters: bool):
     def run(docs: pa.Table, said: pa.Table) -> pa.Table:
         data, offsets, p = _parse(docs, text, id_)
         mask = _removed(p, said, bits, len(data))
-        if characters:
-            mask = whole_characters(data, mask)
+        del p
+        removed, spans = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1, np.int64)
+        for a, b in slices(offsets, SLICE):
+            at = offsets[a : b + 1] - offsets[a]
+            part = mask[offsets[a] : offsets[b]]
+            if characters:
+                part[:] = whole_characters(data[offsets[a] : offsets[b]], part)
+            removed[a:b] = _covered(part, at)
+            begin = part.copy()
+            begin[1:] &= ~part[:-1]
+            inner = at[:-1][at[:-1] < len(part)]
+            begin[inner] = part[inner]
+            spans[a:b] = _covered(begin, at)
         keep = data[~mask]
-        removed = np.concatenate([[0], np.cumsum(mask)])[offsets]
-        begin = mask.copy()
-        begin[1:] &= ~mask[:-1]
-        inner = offsets[:-1][offsets[:-1] < len(data)]
-        begin[inner] = mask[inner]
-        spans = np.concatenate([[0], np.cumsum(begin)])[offsets]
-        ends = (offsets - removed).astype(np.int32)
+        ends = (offsets - np.append(0, np.cumsum(removed))).astype(np.int32)
         kept = pa.Array.from_buffers(pa.string() if characters else pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(keep.tobytes())])
         out = docs.drop_columns(["_chunk"])
-        for name, column in (("kept", kept), ("n_bytes", np.diff(offsets)), ("n_removed", np.diff(removed)), ("n_spans", np.diff(spans))):
+        for name, column in (("kept", kept), ("n_bytes", np.diff(offsets)), ("n_removed", removed), ("n_spans", spans)):
             out = out.append_column(name, column if name == "kept" else pa.array(column, pa.int64()))
         return out
 
